@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets
+from . import gif, secrets
 from .common import table
 
 
@@ -26,5 +26,9 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_secrets": op2_secrets}
+def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.payload_digests(gif.text_media(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op2_secrets": op2_secrets, "op9_gif": op9_gif}
 ORACLES: dict[str, str] = {}
