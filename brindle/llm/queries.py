@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, secrets
+from . import gif, packing, secrets
 from .common import table
 
 
@@ -26,9 +27,13 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.payload_digests(gif.text_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op2_secrets": op2_secrets, "op9_gif": op9_gif}
+QUERIES = {"op2_secrets": op2_secrets, "op5_packing": op5_packing, "op9_gif": op9_gif}
 ORACLES: dict[str, str] = {}
