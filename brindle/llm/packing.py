@@ -2,7 +2,7 @@
 
 The documents of a partition, in its row order, are one line of tokens. Window cuts are chosen among the ends of
 documents, the ends of sentences and, where sentences are far apart, places between; a window holds at most 2048
-tokens. The cost of a window is its padding (none at a power of two) and the penalty of its last cut (none at a
+tokens. The cost of a window is its padding (none at a power of two from 256 on) and the penalty of its last cut (none at a
 document's end). For a window from cut j to cut i, padding is 2048 - (b[i] - b[j]), so the best j is the one with the
 smallest cost[j] + b[j] among those in reach: a queue of rising values gives it in constant time a cut. Lengths that are
 powers of two cost less and are looked up besides.
@@ -10,6 +10,7 @@ powers of two cost less and are looked up besides.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections import deque
@@ -25,15 +26,21 @@ from .common import slices, texts
 WINDOW = 2048
 SENTENCE_PENALTY, INNER_PENALTY = 4, 12
 #: Where no sentence ends for this many tokens, cuts between are offered so far apart.
-GAP, STEP = 48, 32
+GAP, STEP = 96, 48
+#: Windows of fewer than 2^8 tokens count as padded even at a power of two: such short sequences are not sought.
+SHORTEST_POWER = 8
 #: Words kept with their ids from slice to slice; only speed depends on it.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 400_000
 END_ID = 1
 _tokenizers: dict[str, object] = {}
 
 
 class WordTokens:
-    """Ids of whole texts by a tokenizer that never joins what white space separates: each distinct word is encoded once."""
+    """Ids of whole texts by a tokenizer that never joins what white space separates: each distinct word is encoded once.
+
+    The tokenizer must lower-case and part letters from marks, so that small letters and a space before a lone full stop
+    or comma change nothing.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,24 +49,60 @@ class WordTokens:
         if path not in _tokenizers:
             _tokenizers[path] = Tokenizer.from_file(path)
         self.tokenizer = _tokenizers[path]
-        self.known: dict[str, tuple[np.ndarray, bool]] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.lengths, self.ends, self.flat = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint32)
+
+    def learn(self, fresh: list[str]) -> None:
+        """Encodes the words and keeps them; plain words go as one line, a word for each stretch between spaces."""
+        plain = [w for w in fresh if w.isalpha()]
+        other = [w for w in fresh if not w.isalpha()]
+        flats, lengths = [self.flat], [self.lengths]
+
+        def one_by_one(words: list[str]) -> None:
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            flats.append(np.fromiter(itertools.chain.from_iterable(lists), np.uint32))
+            lengths.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            line = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            ids = np.array(line.ids, np.uint32)
+            last = np.flatnonzero(self.ends_word[ids])
+            if len(last) == len(part):
+                flats.append(ids)
+                lengths.append(np.diff(last, prepend=-1))
+            else:  # a word that the tokenizer cuts
+                one_by_one(part)
+        one_by_one(other)
+        self.known.update(zip(plain + other, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        marks = np.fromiter((w.rstrip("\"')]*%&$#|")[-1:] in (".", "?", "!") for w in other), bool, len(other))
+        self.flat, self.lengths, self.ends = np.concatenate(flats), np.concatenate(lengths), np.concatenate([self.ends, np.zeros(len(plain), bool), marks])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts with END_ID after each, the texts' ends, the sentences' ends) as places in the line."""
+        if not pc.any(pc.match_substring(column, "<|")).as_py():  # marks of special ids keep their case
+            column = pc.replace_substring_regex(pc.ascii_lower(column), r"([a-z0-9])([.,]) ", r"\1 \2 ")
         words = pc.ascii_split_whitespace(column)
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        fresh = [w for w in distinct if w not in self.known]
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[w] = (np.array(e.ids, np.uint32), w.rstrip("\"')]*%&$#!|")[-1:] in (".", "?", "!") or w[-1:] == "!")
-        ids = [self.known[w] for w in distinct]
-        ids.append((np.array([END_ID], np.uint32), False))
-        lengths = np.array([len(x) for x, _ in ids], np.int64)
-        flat = np.concatenate([x for x, _ in ids])
+            self.forget()
+        fresh = [w for w in distinct if w and w not in self.known]
+        if fresh:
+            self.learn(fresh)
+        own = np.fromiter((self.known[w] if w else -1 for w in distinct), np.int64, len(distinct))
+        # The ids that are kept, then an empty word (-2) and the end mark (-1).
+        lengths = np.concatenate([self.lengths, [0, 1]])
         first = np.cumsum(lengths) - lengths
-        ends_sentence = np.array([e for _, e in ids])
+        flat = np.concatenate([self.flat, np.array([END_ID], np.uint32)])
+        ends_sentence = np.concatenate([self.ends, [False, False]])
+        own[own < 0] = len(lengths) - 2
 
         counts = np.diff(words.offsets.to_numpy(zero_copy_only=False).astype(np.int64))
         total = int(counts.sum()) + len(counts)
@@ -67,8 +110,8 @@ class WordTokens:
         marks = np.cumsum(counts + 1) - 1
         is_end = np.zeros(total, bool)
         is_end[marks] = True
-        word[marks] = len(ids) - 1
-        word[~is_end] = coded.indices.to_numpy(zero_copy_only=False)
+        word[marks] = len(lengths) - 1
+        word[~is_end] = own[coded.indices.to_numpy(zero_copy_only=False)]
 
         n = lengths[word]
         after = np.cumsum(n)
@@ -91,12 +134,11 @@ def candidate_cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.
 
 def best_cuts(places: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> list[int]:
     """Indices of the cuts of least cost from places[0] to places[-1]; no two neighbours in places are further apart than a window."""
-    exact: dict[int, list[int]] = {}
-    for k in range(window.bit_length()):
+    exact: list[list[int]] = [[]] * len(places)
+    for k in range(SHORTEST_POWER, window.bit_length() - 1):
         at = np.searchsorted(places, places - (1 << k))
-        at = np.minimum(at, len(places) - 1)
-        for i in np.flatnonzero(places[at] == places - (1 << k)):
-            exact.setdefault(int(i), []).append(int(at[i]))
+        for i in np.flatnonzero(places[at] == places - (1 << k)).tolist():
+            exact[i] = [*exact[i], int(at[i])]
     b, pen = places.tolist(), penalty.tolist()
     n = len(b)
     cost, back = [0] * n, [0] * n
@@ -107,7 +149,7 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, window: int = WINDOW) ->
             queue.popleft()
         least, j = queue[0]
         least += window - here
-        for m in exact.get(i, ()):
+        for m in exact[i]:
             if cost[m] < least:
                 least, j = cost[m], m
         least += pen[i]
