@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import itertools
 import os
-import zlib
 from collections import deque
 
 import numpy as np
@@ -166,10 +165,10 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, window: int = WINDOW) ->
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row a piece: id, start, length, ids array<int>, doc_tokens, sequence_id, offset, at_boundary.
+    """One row a piece: id, start, length, ids, doc_tokens, sequence_id, offset, at_boundary.
 
-    A piece is a stretch of one document's ids (with END_ID at their end) in one sequence; a document's pieces follow
-    each other, and a sequence's pieces lie gapless in it. Partitions are packed on their own, in slices of whole
+    A piece is a stretch of one document's ids (with END_ID at their end; little-endian unsigned 32-bit numbers) in one
+    sequence; a document's pieces follow each other, and a sequence's pieces lie gapless in it. Partitions are packed on their own, in slices of whole
     documents, with no shuffle: sequence_id is the partition's number times 2^40 and a running number. Only the last
     window of a slice may be cut short for the slice's sake. A null text counts as empty: one piece, END_ID alone.
     Repeated rows are packed as often as they come; an empty table gives no rows; other columns are left out.
@@ -189,10 +188,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_c
             doc_start = np.concatenate([[0], doc_ends[:-1]])
             seq = np.searchsorted(cuts, begin, side="right") - 1
             kept = np.isin(end, sentence_ends) | np.isin(end, doc_ends)
-            for part in range(0, len(begin), 4096):
-                s = slice(part, part + 4096)
+            for part in range(0, len(begin), 1024):
+                s = slice(part, part + 1024)
                 lo, hi = begin[s], end[s]
-                values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], hi - lo[0]]).astype(np.int32)), pa.array(ids[lo[0] : hi[-1]].astype(np.int32)))
+                bounds = 4 * np.concatenate([[0], hi - lo[0]]).astype(np.int32)
+                values = pa.BinaryArray.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(bounds), pa.py_buffer(ids[lo[0] : hi[-1]].astype("<u4"))])
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0).take(pa.array(doc[s])), *(pa.array(x, pa.int64()) for x in (lo - doc_start[doc[s]], hi - lo)), values, *(pa.array(x, pa.int64()) for x in ((doc_ends - doc_start)[doc[s]], sequence + seq[s], lo - cuts[seq[s]])), pa.array(kept[s])],
                     [id_column, "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "at_boundary"],
@@ -200,20 +200,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_c
             sequence += len(cuts) - 1
 
     kept = docs.select(id_column, docs[text_column].cast("string").alias(text_column))
-    return kept.mapInArrow(run, f"`{id_column}` {id_type}, start bigint, length bigint, ids array<int>, doc_tokens bigint, sequence_id bigint, offset bigint, at_boundary boolean")
-
-
-def piece_digests(pieces: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The pieces with the CRC-32 of their ids (little-endian, 32 bits) in place of the ids."""
-    id_type = pieces.schema[id_column].dataType.simpleString()
-    columns = [id_column, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(3)
-            bounds = lists.offsets.to_numpy(zero_copy_only=False)
-            raw = lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 2)), pa.array(crc, pa.int64()), *(batch.column(i) for i in (4, 5, 6))], [id_column, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return pieces.select(*columns).mapInArrow(run, f"`{id_column}` {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return kept.mapInArrow(run, f"`{id_column}` {id_type}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, at_boundary boolean")

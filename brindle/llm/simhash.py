@@ -130,67 +130,70 @@ def links(distinct: DataFrame, radius: int, tree_most: int = TREE_MOST) -> DataF
     """Star links (a, b), b < a, whose components are those of all pairs within the radius. distinct: column fp, once each."""
     parts = radius + 1
     first = _stretches(BITS, parts)
-    dealt = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_mask(*s))).alias("key")) for k, s in enumerate(first)))).alias("s")).select("fp", "s.k", "s.key")
-    sizes = dealt.groupBy("k", "key").count()
-    large = sizes.where(F.col("count") > tree_most).select("k", "key")
-    alone = sizes.where((F.col("count") > 1) & (F.col("count") <= tree_most)).select("k", "key")
-    small = dealt.join(alone, ["k", "key"]).select("fp", "k", "key", F.lit(-1).alias("k2"), F.lit(0).cast("bigint").alias("key2"))
-
-    def rest(k: int) -> list[tuple[int, int, int]]:
-        """Stretches of the bits outside stretch k, as masks."""
+    masks = [(k, _mask(*s)) for k, s in enumerate(first)]
+    dealt = _deal(distinct, ["fp"], masks, "k", "key")
+    once, _ = stored(dealt.repartition("k", "key").sortWithinPartitions("k", "key").mapInArrow(_grow(2, radius, tree_most), "a bigint, b bigint, k bigint, key bigint"), "shards")
+
+    def rest(k: int) -> list[int]:
+        """Masks of stretches of the bits outside stretch k."""
         others = [b for b in range(BITS) if not first[k][0] <= b < first[k][0] + first[k][1]]
-        out = []
-        for j, (a, w) in enumerate(_stretches(len(others), parts)):
-            value = sum(1 << b for b in others[a : a + w])
-            out.append((k, j, value - (1 << 64) if value >> 63 else value))
-        return out
-
-    again = F.array(*(F.struct(F.lit(k).alias("of"), F.lit(j).alias("k2"), F.lit(m).cast("bigint").alias("mask")) for k in range(parts) for k, j, m in rest(k)))
-    split = dealt.join(large, ["k", "key"]).select("fp", "k", "key", F.explode(F.filter(again, lambda s: s["of"] == F.col("k"))).alias("s"))
-    split = split.select("fp", "k", "key", "s.k2", F.col("fp").bitwiseAND(F.col("s.mask")).alias("key2"))
-    sharded = small.unionByName(split)
-
-    def grow(key, batches):
-        values = [v for b in batches for v in b.column(0).to_numpy(zero_copy_only=False).view(np.uint64).tolist()]
-        pairs = np.array(forest(values, radius), np.uint64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c]).view(np.int64)) for c in (0, 1)], ["a", "b"])
-
-    def trees(batches):
-        """Whole shards, one after the other: the rows come sorted by shard."""
+        sums = [sum(1 << b for b in others[a : a + w]) for a, w in _stretches(len(others), parts)]
+        return [v - (1 << 64) if v >> 63 else v for v in sums]
+
+    large = once.where("b is null").select(F.col("a").alias("fp"), "k", "key")
+    again = reduce(DataFrame.unionByName, [_deal(large.where(F.col("k") == k), ["fp", "k", "key"], list(enumerate(rest(k))), "k2", "key2") for k in range(parts)])
+    split = again.repartition("k", "key", "k2", "key2").sortWithinPartitions("k", "key", "k2", "key2").mapInArrow(_grow(4, radius, None), "a bigint, b bigint, k bigint, key bigint")
+    return once.where("b is not null").select("a", "b").union(split.select("a", "b"))
+
+
+def _deal(values: DataFrame, columns: list[str], masks: list[tuple[int, int]], k: str, key: str) -> DataFrame:
+    """Each row once for each mask, with the mask's number and the bits under it."""
+    shards = F.explode(F.array(*(F.struct(F.lit(i).cast("bigint").alias("i"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("bits")) for i, m in masks))).alias("s")
+    return values.select(*columns, shards).select(*columns, F.col("s.i").alias(k), F.col("s.bits").alias(key))
+
+
+def _grow(width: int, radius: int, tree_most: int | None):
+    """A task over rows sorted by shard (fp, then `width` columns that name the shard).
+
+    Gives the links of each shard; the values of a shard with more than tree_most of them come back as they are, with
+    their shard and no b. At most one tree's values are held.
+    """
+
+    def run(batches):
         held: list[np.ndarray] = []
-        current = None
+        count, current, passing = 0, None, False
 
-        def emit(values: list[np.ndarray]):
-            flat = np.concatenate(values).view(np.uint64).tolist()
-            return forest(flat, radius) if len(flat) > 1 else []
+        def close() -> list[tuple]:
+            flat = np.concatenate(held).view(np.uint64).tolist() if held else []
+            return [(a, b, None, None) for a, b in np.array(forest(flat, radius), np.uint64).reshape(-1, 2).view(np.int64).tolist()] if len(flat) > 1 else []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], ["a", "b", "k", "key"])
 
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1 + width)]
             if not len(columns[0]):
                 continue
             keys = np.stack(columns[1:])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            out = []
+            cuts = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
+            out: list[tuple] = []
             for a, b in zip([0, *cuts], [*cuts, len(columns[0])], strict=True):
-                key = tuple(keys[:, a])
-                if key != current and held:
-                    out += emit(held)
-                    held = []
-                current = key
+                key = tuple(keys[:, a].tolist())
+                if key != current:
+                    out += close()
+                    held, count, current, passing = [], 0, key, False
                 held.append(columns[0][a:b])
+                count += b - a
+                passing = passing or tree_most is not None and count > tree_most
+                if passing:
+                    out += [(v, None, key[0], key[1]) for part in held for v in part.tolist()]
+                    held = []
             if out:
-                yield _pairs(out)
-        if held and (out := emit(held)):
-            yield _pairs(out)
-
-    sorted_shards = sharded.repartition("k", "key", "k2", "key2").sortWithinPartitions("k", "key", "k2", "key2").select("fp", F.col("k").cast("bigint"), "key", F.col("k2").cast("bigint"), "key2")
-    return sorted_shards.mapInArrow(trees, "a bigint, b bigint")
+                yield batch_of(out)
+        if out := close():
+            yield batch_of(out)
 
-
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    pairs = np.array(found, np.uint64).reshape(-1, 2)
-    a, b = (pa.array(np.ascontiguousarray(pairs[:, c]).view(np.int64)) for c in (0, 1))
-    return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+    return run
 
 
 def components(stars: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -201,22 +204,25 @@ def components(stars: DataFrame, most_rounds: int = 60) -> DataFrame:
     at most, and only a count of changes reaches the driver.
     """
     spark = stars.sparkSession
+    def mark(table: DataFrame) -> tuple:
+        return tuple(table.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(38, 0)))")).first())
+
     edges, path = stored(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    before = mark(edges)
     for _ in range(most_rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        outward = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = outward.distinct()
-        # small: of each node's smaller neighbours and itself, all but the least are linked to the least
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = edges.select(F.col("b").alias("u"), F.col("a").alias("v")).join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = large.withColumnRenamed("a", "u").join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b")
-        further, further_path = stored(small.distinct(), "links")
-        sums = "sum(cast(hash(a, b) as decimal(38, 0)))"
-        same = further.agg(F.count("*"), F.expr(sums)).first() == edges.agg(F.count("*"), F.expr(sums)).first()
+        small = large.withColumnRenamed("a", "u").join(least, "u")
+        pairs = small.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        further, further_path = stored(pairs.select("e.a", "e.b").where("a != b").distinct(), "links")
         discard(spark, path)
         edges, path = further, further_path
-        if same:
+        now = mark(edges)
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -231,11 +237,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_column:
     """
     printed, _ = stored(fingerprints(docs, width, id_column, text_column), "fingerprints")
     least = printed.groupBy("fp").agg(F.min(id_column).alias("least"))
-    roots = components(links(printed.select("fp").distinct(), radius))
-    rooted = least.join(roots, least.fp == roots.node, "inner").select("fp", "root", "least")
-    ends = least.join(roots.select("root").distinct(), least.fp == F.col("root")).select("fp", "root", "least")
-    named, _ = stored(rooted.unionByName(ends), "rooted")
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp, _ = stored(named.join(names, "root").select(F.col("fp").alias("f"), "component_id"), "components")
-    all_fp = least.join(of_fp, least.fp == of_fp.f, "left").select(F.col("fp").alias("f"), F.coalesce("component_id", "least").alias("component_id"))
-    return printed.join(all_fp, F.col("fp") == F.col("f")).select(id_column, "fp", "component_id")
+    roots = components(links(least.select("fp"), radius))
+    labelled, _ = stored(least.join(roots, least.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "roots")
+    names = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = labelled.join(names, "root").select(F.col("fp").alias("f"), "component_id")
+    return printed.join(named, F.col("fp") == F.col("f")).select(id_column, "fp", "component_id")

@@ -1,8 +1,10 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A text is a line of words. Each word enters as the embedding of its hash (word input) joined with the mean embedding of
-its character trigrams (character input). Windows of WINDOW words that overlap run through a GRU in both directions,
-attention pools a window's states, and a document's score is that of its highest window, so every window counts. Training
+A text is a line of words. Each word enters as the embedding of its hash (word input) joined with the pooled embeddings of
+its character n-grams of two sizes (character input), so that new words on a known stem are seen. Embeddings are fitted
+first and then held: how far a word or an n-gram occurs in more toxic training texts than chance says, in standard
+deviations, and how common the word is. Windows of WINDOW words that overlap run through a GRU in both directions, attention
+pools a window's states, and a document's score is that of its highest window, so every window counts. Training
 knows only documents' labels: in each pass a document stands for its highest window, and each clean one for another
 window drawn at random too.
 """
@@ -18,10 +20,11 @@ from pyspark.sql import functions as F
 from .common import slices, texts
 
 WINDOW, STRIDE = 64, 48
-WORD_BUCKETS, GRAM_BUCKETS = 1 << 14, 1 << 12
-WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 4, 4, 6, 4
+WORD_BUCKETS = GRAM_BUCKETS = 1 << 16
+GRAM_SIZES = (4, 7)
+INPUTS, HIDDEN, ATTEND = 2 + 2 * len(GRAM_SIZES), 6, 4
 #: At most so many labelled rows are learnt from, those of the smallest hashes.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2500
 
 
 class Words:
@@ -39,28 +42,40 @@ class Words:
         raw = np.frombuffer(pc.binary_join(pa.array([plain.cast(pa.binary()).to_pylist()], pa.list_(pa.binary())), b"")[0].as_py() or b"", np.uint8)
         lengths = pc.binary_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)
         self.distinct = len(plain)
-        self.word, self.gram, self.gram_of = _hashes(raw, lengths)
+        self.word, self.grams = _hashes(raw, lengths)
 
 
-def _hashes(raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each word; bucket and word of each trigram, the word set between marks. Sums wrap at 64 bits."""
+def _hashes(raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The bucket of each word, and for each size the buckets of its n-grams with each word's first one.
+
+    A word stands between two marks; one that is shorter than n is one n-gram. Sums wrap at 64 bits.
+    """
     n = len(lengths)
+    if not n:
+        return np.zeros(0, np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in GRAM_SIZES]
     padded = lengths + 2
     start = np.cumsum(padded) - padded
-    line = np.full(int(padded.sum()), 1, np.uint64)
+    line = np.full(int(padded.sum()) + max(GRAM_SIZES), 1, np.uint64)
     owner = np.repeat(np.arange(n), padded)
-    inside = np.arange(len(line)) - start[owner]
-    body = (inside > 0) & (inside <= lengths[owner])
-    line[body] = raw
+    inside = np.arange(len(owner)) - start[owner]
+    line[np.flatnonzero((inside > 0) & (inside <= lengths[owner]))] = raw
+
+    def bucket(sums: np.ndarray, buckets: int) -> np.ndarray:
+        mixed = (sums ^ sums >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (mixed >> np.uint64(32)).astype(np.int64) % buckets
+
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(int(padded.max(initial=2)) + 1, 0x100000001B3, np.uint64))
-        mixed = (line + np.uint64(11)) * (line + np.uint64(0x9E3779B97F4A7C15)) * powers[inside]
-        total = np.add.reduceat(mixed, start) if n else np.zeros(0, np.uint64)
-        word = ((total ^ total >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(WORD_BUCKETS)
-        first = np.flatnonzero(inside <= lengths[owner] - 1)
-        gram = (line[first] * np.uint64(65599) + line[first + 1]) * np.uint64(65599) + line[first + 2]
-        gram = (gram * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(GRAM_BUCKETS)
-    return word.astype(np.int64), gram.astype(np.int64), owner[first]
+        powers = np.cumprod(np.full(int(padded.max()), 0x100000001B3, np.uint64))
+        word = bucket(np.add.reduceat((line[: len(owner)] + np.uint64(11)) * powers[inside], start), WORD_BUCKETS)
+        grams = []
+        for size in GRAM_SIZES:
+            first = np.flatnonzero(inside <= np.maximum(padded - size, 0)[owner])
+            sums = np.zeros(len(first), np.uint64)
+            for k in range(size):
+                sums = sums * np.uint64(0x100000001B3) + line[first + k]
+            count = np.maximum(padded - size, 0) + 1
+            grams.append((bucket(sums, GRAM_BUCKETS), np.cumsum(count) - count))
+    return word, grams
 
 
 def windows(codes: np.ndarray, counts: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,22 +98,25 @@ class BiGru:
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        d = WORD_DIM + GRAM_DIM
 
         def normal(*shape):
             return rng.normal(0, 0.4 / np.sqrt(shape[0] if len(shape) > 1 else 1), shape).astype(np.float32)
 
-        self.p = {"word": rng.normal(0, 0.05, (WORD_BUCKETS, WORD_DIM)).astype(np.float32), "gram": rng.normal(0, 0.05, (GRAM_BUCKETS, GRAM_DIM)).astype(np.float32)}
+        self.word, self.grams = np.zeros((WORD_BUCKETS, 2), np.float32), [np.zeros(GRAM_BUCKETS, np.float32) for _ in GRAM_SIZES]
+        self.p: dict[str, np.ndarray] = {}
         for side in "fb":
-            self.p |= {f"W{side}": normal(d, 3 * HIDDEN), f"U{side}": normal(HIDDEN, 3 * HIDDEN), f"c{side}": np.zeros(3 * HIDDEN, np.float32)}
+            self.p |= {f"W{side}": normal(INPUTS, 3 * HIDDEN), f"U{side}": normal(HIDDEN, 3 * HIDDEN), f"c{side}": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"A": normal(2 * HIDDEN, ATTEND), "v": normal(ATTEND, 1)[:, 0], "w": normal(2 * HIDDEN, 1)[:, 0], "o": np.array([-2.0], np.float32)}
 
     def inputs(self, words: Words) -> np.ndarray:
         """Word inputs, one row more for padding."""
-        n = np.maximum(np.bincount(words.gram_of, minlength=words.distinct), 1)
-        sums = np.stack([np.bincount(words.gram_of, self.p["gram"][words.gram, k], words.distinct) for k in range(GRAM_DIM)], axis=1)
-        both = np.concatenate([self.p["word"][words.word], (sums / n[:, None]).astype(np.float32)], axis=1)
-        return np.concatenate([both, np.zeros((1, both.shape[1]), np.float32)])
+        columns = [self.word[words.word]]
+        for table, (gram, first) in zip(self.grams, words.grams, strict=True):
+            z = table[gram]
+            n = np.diff(first, append=len(gram))
+            columns += [(np.maximum.reduceat(z, first) if len(z) else z)[:, None], (np.add.reduceat(z, first) / n if len(z) else z)[:, None]]
+        both = np.concatenate(columns, axis=1).astype(np.float32)
+        return np.concatenate([both, np.zeros((1, INPUTS), np.float32)])
 
     def run(self, x: np.ndarray, index: np.ndarray, keep: bool = False):
         """Logits of the windows in index (windows x WINDOW, codes into x, the last one padding)."""
@@ -133,7 +151,7 @@ class BiGru:
         logits = pooled @ p["w"] + p["o"][0]
         return (logits, (x, index, states, e, weight, pooled, saved)) if keep else logits
 
-    def gradients(self, words: Words, cache, d_logit: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, cache, d_logit: np.ndarray) -> dict[str, np.ndarray]:
         p, h = self.p, HIDDEN
         x, index, states, e, weight, pooled, saved = cache
         g = {"w": pooled.T @ d_logit, "o": d_logit.sum(keepdims=True)}
@@ -145,7 +163,6 @@ class BiGru:
         d_e = d_s[..., None] * p["v"] * (1 - e * e)
         g["A"] = np.einsum("tbi,tbk->ik", states, d_e)
         d_states = d_states + d_e @ p["A"].T
-        d_x = np.zeros_like(x)
         for side in "fb":
             u, cut = p[f"U{side}"], slice(0, h) if side == "f" else slice(h, None)
             d_own = np.zeros((len(x), 3 * h), np.float32)
@@ -163,12 +180,6 @@ class BiGru:
                 d_u += before.T @ d_g
                 d_state = np.where(m, d_new * z, d_state) + d_g @ u.T
             g[f"U{side}"], g[f"c{side}"], g[f"W{side}"] = d_u, d_own.sum(axis=0), x.T @ d_own
-            d_x += d_own @ p[f"W{side}"].T
-        g["word"] = np.zeros_like(p["word"])
-        np.add.at(g["word"], words.word, d_x[:-1, :WORD_DIM])
-        share = d_x[:-1, WORD_DIM:] / np.maximum(np.bincount(words.gram_of, minlength=words.distinct), 1)[:, None]
-        g["gram"] = np.zeros_like(p["gram"])
-        np.add.at(g["gram"], words.gram, share[words.gram_of])
         return g
 
     def scores(self, column: pa.Array, batch: int = 4096) -> np.ndarray:
@@ -182,7 +193,17 @@ class BiGru:
         return _sigmoid(best)
 
 
-def train(column: pa.Array, labels: np.ndarray, passes: int = 14, rate: float = 0.02, seed: int = 7) -> BiGru:
+def _surprise(codes: np.ndarray, texts_of: np.ndarray, labels: np.ndarray, buckets: int) -> np.ndarray:
+    """(how many standard deviations more toxic texts hold the bucket than chance says, halved and clipped; log of its texts)."""
+    in_text = np.unique(np.stack([codes, texts_of]), axis=1)
+    rate = labels.mean()
+    n = np.bincount(in_text[0], minlength=buckets)
+    ones = np.bincount(in_text[0], labels[in_text[1]], buckets)
+    z = (ones - n * rate) / np.sqrt(n * rate * (1 - rate) + 3)
+    return np.stack([np.clip(z / 2, -1, 4), np.log1p(n) / np.log1p(len(labels)) - 0.5], axis=1).astype(np.float32)
+
+
+def train(column: pa.Array, labels: np.ndarray, passes: int = 8, size: int = 192, least_steps: int = 160, rate: float = 0.03, seed: int = 7) -> BiGru:
     """Fits the network to labelled texts. Without two classes it keeps to the labels' mean."""
     net = BiGru(seed)
     labels = np.asarray(labels, np.float32)
@@ -193,41 +214,40 @@ def train(column: pa.Array, labels: np.ndarray, passes: int = 14, rate: float =
         return net
     rng = np.random.default_rng(seed)
     words = Words(column)
-    index, owner = windows(words.codes, words.counts, words.distinct)
-    # The first unit of a word's embedding starts at its log odds, drawn to 0 for rare words.
-    in_doc = np.unique(np.stack([words.word[words.codes], np.repeat(np.arange(len(labels)), words.counts)]), axis=1)
+    text_of = np.repeat(np.arange(len(labels)), words.counts)
+    net.word = _surprise(words.word[words.codes], text_of, labels, WORD_BUCKETS)
+    pairs = np.unique(np.stack([words.codes, text_of]), axis=1)
+    for k, (gram, first) in enumerate(words.grams):
+        n = np.diff(first, append=len(gram))[pairs[0]]
+        at = np.repeat(first[pairs[0]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        net.grams[k] = _surprise(gram[at], np.repeat(pairs[1], n), labels, GRAM_BUCKETS)[:, 0]
     rate_of = positive / len(labels)
-    ones = np.bincount(in_doc[0], labels[in_doc[1]], WORD_BUCKETS)
-    zeros = np.bincount(in_doc[0], 1 - labels[in_doc[1]], WORD_BUCKETS)
-    odds = np.log((ones + 10 * rate_of) / (zeros + 10 * (1 - rate_of))) - np.log(rate_of / (1 - rate_of))
-    net.p["word"][:, 0] = np.clip(odds, -1, 3)
     net.p["o"][0] = np.log(rate_of / (1 - rate_of))
+    x = net.inputs(words)
+    index, owner = windows(words.codes, words.counts, words.distinct)
     first = np.searchsorted(owner, np.arange(len(labels)))
     count = np.bincount(owner, minlength=len(labels))
-    moments: dict[str, list[np.ndarray]] = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
+    moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
+    clean = np.flatnonzero(labels == 0)
+    passes = max(passes, -(-least_steps * size // (len(labels) + len(clean))))
     step = 0
     for turn in range(passes):
-        x = net.inputs(words)
         logits = np.concatenate([net.run(x, index[a : a + 4096]) for a in range(0, len(index), 4096)])
-        order = np.lexsort((logits, owner))
-        highest = order[first + count - 1]
+        highest = np.lexsort((logits, owner))[first + count - 1]
         drawn = first + (rng.random(len(labels)) * count).astype(np.int64)
-        clean = np.flatnonzero(labels == 0)
         chosen = np.concatenate([highest, drawn[clean]])
         wanted = np.concatenate([labels, np.zeros(len(clean), np.float32)])
         shuffled = rng.permutation(len(chosen))
-        for a in range(0, len(shuffled), 64):
+        for a in range(0, len(shuffled), size):
             step += 1
-            pick = shuffled[a : a + 64]
-            x = net.inputs(words)
+            pick = shuffled[a : a + size]
             out, cache = net.run(x, index[chosen[pick]], keep=True)
             slope = ((_sigmoid(out) - wanted[pick]) / len(pick)).astype(np.float32)
-            for k, g in net.gradients(words, cache, slope).items():
+            for k, g in net.gradients(cache, slope).items():
                 m, v = moments[k]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                lr = rate * (0.1 if k in ("word", "gram") else 1) * (1 - turn / passes)
-                net.p[k] -= (lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                net.p[k] -= (rate * (1 - turn / passes) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     return net
 
 
