@@ -22,6 +22,7 @@ from .common import slices, texts
 WINDOW, STRIDE = 64, 48
 WORD_BUCKETS = GRAM_BUCKETS = 1 << 16
 GRAM_SIZES = (4, 7)
+FOLDS = 5
 INPUTS, HIDDEN, ATTEND = 2 + 2 * len(GRAM_SIZES), 6, 4
 #: At most so many labelled rows are learnt from, those of the smallest hashes.
 TRAIN_ROWS = 2500
@@ -193,6 +194,14 @@ class BiGru:
         return _sigmoid(best)
 
 
+def _compact(x: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The inputs that the windows use, padding last, and the windows over those."""
+    used = np.unique(np.append(index, len(x) - 1))
+    place = np.zeros(len(x), np.int64)
+    place[used] = np.arange(len(used))
+    return x[used], place[index]
+
+
 def _surprise(codes: np.ndarray, texts_of: np.ndarray, labels: np.ndarray, buckets: int) -> np.ndarray:
     """(how many standard deviations more toxic texts hold the bucket than chance says, halved and clipped; log of its texts)."""
     in_text = np.unique(np.stack([codes, texts_of]), axis=1)
@@ -215,16 +224,29 @@ def train(column: pa.Array, labels: np.ndarray, passes: int = 8, size: int = 192
     rng = np.random.default_rng(seed)
     words = Words(column)
     text_of = np.repeat(np.arange(len(labels)), words.counts)
-    net.word = _surprise(words.word[words.codes], text_of, labels, WORD_BUCKETS)
+    # Each distinct pair of a text and a word, then of a text and an n-gram.
     pairs = np.unique(np.stack([words.codes, text_of]), axis=1)
-    for k, (gram, first) in enumerate(words.grams):
+    grams = []
+    for gram, first in words.grams:
         n = np.diff(first, append=len(gram))[pairs[0]]
         at = np.repeat(first[pairs[0]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        net.grams[k] = _surprise(gram[at], np.repeat(pairs[1], n), labels, GRAM_BUCKETS)[:, 0]
+        grams.append((gram[at], np.repeat(pairs[1], n)))
+
+    def embed(known: np.ndarray) -> np.ndarray:
+        """Fits the embeddings to the known texts; inputs of all words."""
+        ok = known[pairs[1]]
+        net.word = _surprise(words.word[pairs[0][ok]], pairs[1][ok], labels, WORD_BUCKETS)
+        net.grams = [_surprise(g[known[t]], t[known[t]], labels, GRAM_BUCKETS)[:, 0] for g, t in grams]
+        return net.inputs(words)
+
+    # The network learns from inputs that were fitted without the text at hand, as it will meet new texts.
+    fold = rng.permutation(len(labels)) % FOLDS
+    index, owner = windows(words.codes, words.counts, words.distinct)
+    x = np.concatenate([*(embed(fold != f)[:-1] for f in range(FOLDS)), np.zeros((1, INPUTS), np.float32)])
+    index = np.where(index == words.distinct, len(x) - 1, index + fold[owner][:, None] * words.distinct)
+    embed(np.ones(len(labels), bool))
     rate_of = positive / len(labels)
     net.p["o"][0] = np.log(rate_of / (1 - rate_of))
-    x = net.inputs(words)
-    index, owner = windows(words.codes, words.counts, words.distinct)
     first = np.searchsorted(owner, np.arange(len(labels)))
     count = np.bincount(owner, minlength=len(labels))
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
@@ -232,7 +254,7 @@ def train(column: pa.Array, labels: np.ndarray, passes: int = 8, size: int = 192
     passes = max(passes, -(-least_steps * size // (len(labels) + len(clean))))
     step = 0
     for turn in range(passes):
-        logits = np.concatenate([net.run(x, index[a : a + 4096]) for a in range(0, len(index), 4096)])
+        logits = np.concatenate([net.run(*_compact(x, index[a : a + 4096])) for a in range(0, len(index), 4096)])
         highest = np.lexsort((logits, owner))[first + count - 1]
         drawn = first + (rng.random(len(labels)) * count).astype(np.int64)
         chosen = np.concatenate([highest, drawn[clean]])
@@ -241,7 +263,7 @@ def train(column: pa.Array, labels: np.ndarray, passes: int = 8, size: int = 192
         for a in range(0, len(shuffled), size):
             step += 1
             pick = shuffled[a : a + size]
-            out, cache = net.run(x, index[chosen[pick]], keep=True)
+            out, cache = net.run(*_compact(x, index[chosen[pick]]), keep=True)
             slope = ((_sigmoid(out) - wanted[pick]) / len(pick)).astype(np.float32)
             for k, g in net.gradients(cache, slope).items():
                 m, v = moments[k]
