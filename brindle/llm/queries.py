@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, gif, packing, pii, secrets, sharding, simhash, toxicity
+from . import chat, decontaminate, gif, packing, pii, secrets, sharding, simhash, suffix, toxicity
 from .common import table
 
 
@@ -67,6 +67,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.payload_digests(gif.text_media(table(spark, sf_dir, "documents")))
 
@@ -76,5 +82,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_decontaminate, op4_sharding, op5_packing, op6_chat, op7_pii, op9_gif, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_decontaminate, op4_sharding, op5_packing, op6_chat, op7_pii, op8_suffix, op9_gif, op10_simhash)}
 ORACLES: dict[str, str] = {}
