@@ -83,4 +83,43 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_decontaminate, op4_sharding, op5_packing, op6_chat, op7_pii, op8_suffix, op9_gif, op10_simhash)}
-ORACLES: dict[str, str] = {}
+
+
+def _sql_words(text: str) -> tuple[str, str]:
+    """DuckDB: the template's words, and the list of (word, value) pairs."""
+    q = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    d = decontaminate
+    placed = text
+    for pattern, put in ((d.NAME, r"\1‹name›"), (d.NAME, r"\1‹name›"), (d.NUMBER, "‹num›"), (d.UNIT, r"\1‹unit›\2")):
+        placed = f"regexp_replace({placed}, {q(pattern)}, {q(put)}, 'g')"
+    bare = lambda x: f"regexp_replace({x}, {q(d.PUNCTUATION)}, '', 'g')"
+    cut = lambda x: f"regexp_split_to_array({x}, {q(d.SPACE)})"
+    words = f"list_filter({cut(bare(f'lower({placed})'))}, lambda w: w <> '')"
+    each = lambda x: f"list_transform({cut(x)}, lambda w: {bare('w')})"
+    pairs = f"list_filter(list_zip({each(f'lower({placed})')}, {each(text)}), lambda z: z[1] <> '')"
+    return words, pairs
+
+
+def _decontaminate_sql() -> str:
+    words, pairs = _sql_words("text")
+    n = decontaminate.WIDTH
+    cut = f"case when len(w) < {n} then w else w[i + 1 : i + {n}] end"
+    return f"""with b as (select item_id item, text, {words} w from benchmark), d as (select doc_id doc, text, {words} w from documents),
+ bw as (select item, i, {cut} g from b, unnest(range(greatest(len(w) - {n - 1}, 1))) u(i) where len(w) > 0), bm as (select item, g, min(i) i from bw group by all),
+ dw as (select doc, i j, {cut} g from d, unnest(range(greatest(len(w) - {n - 1}, 1))) u(i) where len(w) > 0),
+ hits as (select distinct doc, item, j - i diagonal, bm.i from dw join bm using (g)),
+ slots as (select item, p, x[p + 1][2] theirs from (select item, {pairs} x from b), unnest(range(len(x))) u(p) where x[p + 1][1] like '%‹%'),
+ asked as (select distinct doc, item, diagonal, p, theirs from hits join slots using (item) where p between i and i + {n - 1}),
+ found as (select a.*, x[p + diagonal + 1][2] ours from asked a join (select doc, {pairs} x from d where doc in (select doc from asked)) using (doc)),
+ forth as (select doc, item, diagonal, theirs, min(ours) low, max(ours) high from found group by all),
+ judged as (select doc, item, diagonal, max((low <> high)::int) = 0 and count(*) = count(distinct low) consistent from forth group by all),
+ counted as (select doc, item, diagonal, count(*) windows from hits group by all),
+ met as (select doc, item, sum(windows) total from counted left join judged using (doc, item, diagonal) where coalesce(consistent, true) group by all),
+ sizes as (select item, max(greatest(len(w) - {n - 1}, least(len(w), 1))) windows from b group by all),
+ leaks as (select doc, item, least(total, windows) covered from met join sizes using (item) where least(total, windows) >= 0.3 * windows and (least(total, windows) >= 8 or total >= windows)),
+ by_doc as (select doc, count(*) n_items, string_agg(item::varchar, ',' order by item) items, sum(covered) n_windows from leaks group by doc)
+ select doc_id, n_items is not null contaminated, coalesce(n_items, 0)::bigint n_items, coalesce(items, '') items, coalesce(n_windows, 0)::bigint n_windows from documents left join by_doc on doc_id = doc"""
+
+
+#: The other operators' results cannot be said in SQL; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op3_decontaminate": _decontaminate_sql()}
