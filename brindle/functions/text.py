@@ -63,16 +63,24 @@ def summarize(text: Column, most: int = 280) -> Column:
 
 def keywords(text: Column, n: int = 8) -> Column:
     """The n most frequent words of three letters or more that are no stopwords, ties by the alphabet."""
-    words = F.filter(tokenize(text), lambda t: (F.length(t) >= 3) & ~t.isin(*STOPWORDS))
-    # Sorted words make each distinct word's run one stretch, so counting costs no second pass over all pairs.
-    ordered = F.array_sort(words)
-    runs = F.aggregate(
-        ordered,
-        F.array().cast("array<struct<n:int,w:string>>"),
-        lambda found, w: F.when((F.size(found) > 0) & (F.element_at(found, -1)["w"] == w), F.concat(F.slice(found, 1, F.size(found) - 1), F.array(F.struct((F.element_at(found, -1)["n"] + 1).alias("n"), w.alias("w"))))).otherwise(F.concat(found, F.array(F.struct(F.lit(1).alias("n"), w.alias("w"))))),
-    )
-    best = F.array_sort(F.transform(runs, lambda r: F.struct((-r["n"]).alias("n"), r["w"].alias("w"))))
-    return F.transform(F.slice(best, 1, n), lambda r: r["w"])
+    words = F.array_sort(F.filter(tokenize(text), lambda t: (F.length(t) >= 3) & ~t.isin(*STOPWORDS)))
+
+    def best(o: Column) -> Column:
+        """o: sorted words; each distinct one is a stretch from one change to the next."""
+        changes = F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda i: (i == 0) | (F.get(o, i) != F.get(o, i - 1)))
+
+        def counted(at: Column) -> Column:
+            runs = F.transform(at, lambda s, k: F.struct((s - F.coalesce(F.get(at, k + 1), F.size(o))).alias("n"), F.get(o, s).alias("w")))
+            return F.transform(F.slice(F.array_sort(runs), 1, n), lambda r: r["w"])
+
+        return F.when(F.size(o) > 0, _bound(changes, counted)).otherwise(F.array().cast("array<string>"))
+
+    return _bound(words, best)
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once and not again for each element that use looks at."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def char_count(text: Column) -> Column:
