@@ -11,7 +11,6 @@ regions don't.
 from __future__ import annotations
 
 import gc
-import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +23,12 @@ LENGTH, K = 50, 20
 WINDOW = LENGTH - K + 1
 LAST = (1 << 63) - 1
 #: Bytes of text that a task works on at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 MIX = 0x9E3779B97F4A7C15
 _P = 0x100000001B3
 _INV = pow(_P, -1, 1 << 64)
+_P2 = 0x9E3779B97F4A7C15
+_INV2 = pow(_P2, -1, 1 << 64)
 
 
 # The suffix array
@@ -54,22 +55,53 @@ def suffix_array(s: list[int]) -> list[int]:
     members: list[list[int]] = [[] for _ in names]
     for i, g in enumerate(group):
         members[g].append(i)
+    size = [len(m) for m in members]
     below = [g - 1 for g in range(len(members))]
     above = [g + 1 for g in range(len(members))]
-    done = [False] * len(members)
+    passed = [False] * (n + 1)  # of groups whose turn has come; the last place answers for -1, before all suffixes
     before = [-1] * n
     falling: list[int] = []
+
+    def rise(old: int, own: list[int], beneath: int) -> int:
+        """Moves suffixes of group `old` to a new group right above `beneath`."""
+        new = len(members)
+        over = above[beneath]
+        members.append(own)
+        size.append(len(own))
+        size[old] -= len(own)
+        below.append(beneath)
+        above.append(over)
+        above[beneath] = new
+        if over < new:
+            below[over] = new
+        for p in own:
+            group[p] = new
+        return new
+
     g = len(members) - 1
     while g >= 0:
-        own = [i for i in members[g] if group[i] == g]
-        done[g] = True
-        if own:
-            own.sort()
+        if size[g] == 1:
+            falling.append(g)
+            i = members[g][0]
+            if group[i] != g:
+                i = next(i for i in members[g] if group[i] == g)
+            passed[i] = True
+            p = i - 1
+            while passed[p]:
+                p = before[p]
+            before[i] = p
+            if p >= 0 and size[group[p]] > 1:  # alone in its group it need not move
+                rise(group[p], [p], group[p])
+        elif size[g]:
             falling.append(g)
+            own = [i for i in members[g] if group[i] == g]
+            own.sort()
+            for i in own:
+                passed[i] = True
             named: dict[int, int] = {}
             for i in own:
                 p = i - 1
-                while p >= 0 and done[group[p]]:
+                while passed[p]:
                     p = before[p]
                 before[i] = p
                 if p >= 0:
@@ -77,34 +109,24 @@ def suffix_array(s: list[int]) -> list[int]:
             moved: dict[tuple[int, int], list[int]] = {}
             for p, times in named.items():
                 moved.setdefault((group[p], times), []).append(p)
-            lower: dict[int, int] = {}
+            beneath: dict[int, int] = {}
             for key in sorted(moved) if len(moved) > 1 else moved:
-                old = lower.get(key[0], key[0])
-                new = len(members)
-                members.append(moved[key])
-                done.append(False)
-                over = above[old]
-                below.append(old)
-                above.append(over)
-                above[old] = new
-                if over < new:
-                    below[over] = new
-                lower[key[0]] = new
-                for p in moved[key]:
-                    group[p] = new
+                old = key[0]
+                if size[old] > len(moved[key]) or old in beneath:
+                    beneath[old] = rise(old, moved[key], beneath.get(old, old))
         g = below[g]
     start = [0] * len(members)
     at = 0
     for g in reversed(falling):
         start[g] = at
-        at += sum(1 for i in members[g] if group[i] == g)
+        at += size[g]
     array = [0] * n
     array[0] = n - 1
-    placed = [False] * n
+    placed = [False] * n + [True]
     placed[n - 1] = True
     for i in range(n):
         j = array[i] - 1
-        while j >= 0 and not placed[j]:
+        while not placed[j]:
             g = group[j]
             array[start[g]] = j
             start[g] += 1
@@ -113,33 +135,65 @@ def suffix_array(s: list[int]) -> list[int]:
     return array[1:]
 
 
-def equal_strings(regions: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """The classes of two or more equal strings of `length` bytes, as (region, place), by the suffix array of all regions."""
+def equal_strings(regions: list[tuple[int, bytes]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """The classes of two or more equal strings of `length` bytes over the anchor, as (region, start), by suffix arrays.
+
+    regions: (the anchor's place, bytes). The anchor, alike in all, is one symbol. A string reaches over the anchor by
+    length - K bytes, so by half of that to one side at least: regions that share no such half are kept apart.
+    """
+    half = (length - K + 1) // 2
+    root = list(range(len(regions)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    seen: dict[tuple[bool, bytes], int] = {}
+    for k, (off, raw) in enumerate(regions):
+        for side in ((True, raw[off - half : off]) if off >= half else None, (False, raw[off + K : off + K + half])):
+            if side is not None and len(side[1]) == half:
+                other = find(seen.setdefault(side, k))
+                if other != find(k):
+                    root[find(k)] = other
+    parts: dict[int, list[int]] = {}
+    for k in range(len(regions)):
+        parts.setdefault(find(k), []).append(k)
+    out: list[list[tuple[int, int]]] = []
+    for part in parts.values():
+        if len(part) > 1:
+            out += _classes(part, regions, length)
+    return out
+
+
+def _classes(part: list[int], regions: list[tuple[int, bytes]], length: int) -> list[list[tuple[int, int]]]:
     line: list[int] = []
-    region: list[int] = []
-    for k, r in enumerate(regions):
-        line += r
+    where: list[tuple[int, int] | None] = []
+    for k in part:
+        off, raw = regions[k]
+        line += raw[:off]
+        line.append(257)
+        line += raw[off + K :]
         line.append(256)
-        region += [k] * (len(r) + 1)
-    starts = np.cumsum([0] + [len(r) + 1 for r in regions]).tolist()
+        last = min(off, len(raw) - length)
+        where += [(k, at) for at in range(last + 1)]
+        where += [None] * (len(line) - len(where))
     out: list[list[tuple[int, int]]] = []
-    last, open_ = b"", False
-    previous = (0, 0)
+    known, previous, open_ = b"", (0, 0), False
     for i in suffix_array(line):
-        k = region[i]
-        at = i - starts[k]
-        r = regions[k]
-        if len(r) - at < length:
+        at = where[i]
+        if at is None:
             continue
-        own = r[at : at + length]
-        if own == last:
+        own = regions[at[0]][1][at[1] : at[1] + length]
+        if own == known:
             if not open_:
                 out.append([previous])
                 open_ = True
-            out[-1].append((k, at))
+            out[-1].append(at)
         else:
             open_ = False
-        last, previous = own, (k, at)
+        known, previous = own, at
     return out
 
 
@@ -161,6 +215,18 @@ def _argmin(h: np.ndarray, width: int) -> np.ndarray:
     return at[:n]
 
 
+def _prefix(data: np.ndarray, base: int) -> np.ndarray:
+    """Sums of (byte + 1) x base^place before each place, modulo 2^64."""
+    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(data) - 1, base, np.uint64)]))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers)])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * np.uint64(MIX)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, place, first start, last start) of each anchor of texts that lie in data one after the other.
 
@@ -170,16 +236,10 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if len(data) < LENGTH:
         return none.view(np.uint64), none, none, none
     with np.errstate(over="ignore"):
-        n = len(data)
-        powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _P, np.uint64)]))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
-        inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - K, _INV, np.uint64)]))
-        h = (sums[K:] - sums[:-K]) * inverse
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(MIX)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
+        sums = _prefix(data, _P)
+        inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(data) - K, _INV, np.uint64)]))
+        h = _mixed((sums[K:] - sums[:-K]) * inverse)
+    del sums, inverse
     least = _argmin(h, WINDOW)
     start = np.arange(len(least))
     text_end = ends[np.searchsorted(ends, start, side="right")]
@@ -208,8 +268,28 @@ def _values(planes: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _first_pass(buckets_bits: int):
-    """Texts to anchors: (bucket, h, doc, place) in bulk for the search of equals elsewhere, and (doc, places) of those
+BULK = pa.schema([("bucket", pa.int64()), ("h", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())])
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _runs(keys: np.ndarray) -> list[np.ndarray]:
+    """Places of each stretch of equal keys."""
+    return np.split(np.arange(len(keys)), np.flatnonzero(keys[1:] != keys[:-1]) + 1) if len(keys) else []
+
+
+def _marks(doc: np.ndarray, place: np.ndarray) -> list[tuple]:
+    """Marked places in bulk, by shard of the document: bucket -1 - shard, no h."""
+    shard = (doc.view(np.uint64) * np.uint64(MIX) >> np.uint64(52)).astype(np.int64)
+    order = np.lexsort((doc, shard))
+    shard, doc, place = shard[order], doc[order], place[order]
+    return [(-1 - int(shard[r[0]]), None, _planes(doc[r]), _planes(place[r])) for r in _runs(shard)]
+
+
+def _first_pass(bits: int):
+    """Texts to anchors in bulk (bucket, hashes, documents, places) for the search of equals elsewhere, and marks of those
     that have an equal in the same slice already. Of anchors that are equal in several documents of a slice only that of
     the least id is sent on."""
 
@@ -228,162 +308,182 @@ def _first_pass(buckets_bits: int):
             start = np.flatnonzero(fresh)
             span = np.diff(start, append=len(h))
             several = np.repeat(doc[start] != doc[start + span - 1], span)
-            known = np.flatnonzero(several)
-            out = []
-            if len(known):
-                by = known[np.argsort(doc[known], kind="stable")]
-                cut = np.flatnonzero(np.diff(doc[by])) + 1
-                for part in np.split(by, cut):
-                    out.append((-1, None, None, None, int(doc[part[0]]), local[part].tobytes()))
+            out = _marks(doc[several], local[several])
             sent = np.flatnonzero(fresh | ~several)
-            bucket = (h[sent] >> np.uint64(64 - buckets_bits)).astype(np.int64)
-            cut = np.flatnonzero(np.diff(bucket)) + 1
-            for part in np.split(np.arange(len(sent)), cut):
-                own = sent[part]
-                out.append((int(bucket[part[0]]), _planes(h[own]), _planes(doc[own]), _planes(local[own]), None, None))
-            yield _bulk(out)
+            h, doc, local = h[sent], doc[sent], local[sent]
+            out += [(int(h[r[0]] >> np.uint64(64 - bits)), _planes(h[r]), _planes(doc[r]), _planes(local[r])) for r in _runs(h >> np.uint64(64 - bits))]
+            yield _table(out, BULK)
 
     return run
 
 
-BULK = pa.schema([("bucket", pa.int64()), ("h", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("doc", pa.int64()), ("own", pa.binary())])
-
-
-def _bulk(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), BULK, strict=True)], schema=BULK)
+def _by_bucket(batches, width: int):
+    """(bucket, its rows) of rows sorted by their first column."""
+    held: list[tuple] = []
+    current = None
+    for batch in batches:
+        for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(width)), strict=True):
+            if bucket != current:
+                if held:
+                    yield current, held
+                held, current = [], bucket
+            held.append(tuple(row))
+    if held:
+        yield current, held
 
 
 def _meet(batches):
-    """Bulk rows sorted by bucket: (doc, places) of the anchors whose hash has two documents in its bucket."""
-    held: list[tuple] = []
-    current = None
+    """Anchors sorted by bucket: marks of those whose hash has two documents in its bucket."""
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
+
+    def flush():
+        return _table(_marks(np.concatenate([d for d, _ in waiting]), np.concatenate([p for _, p in waiting])), BULK)
 
-    def close():
-        if len(held) < 2:
-            return None
-        h = np.concatenate([_values(x[0], np.uint64) for x in held])
-        doc = np.concatenate([_values(x[1], np.int64) for x in held])
-        place = np.concatenate([_values(x[2], np.int32) for x in held])
+    for _, rows in _by_bucket(batches, 4):
+        h, doc, place = (np.concatenate([_values(x[k], kind) for x in rows]) for k, kind in ((0, np.uint64), (1, np.int64), (2, np.int32)))
         order = np.lexsort((doc, h))
         h, doc, place = h[order], doc[order], place[order]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         span = np.diff(start, append=len(h))
-        both = np.flatnonzero(np.repeat(doc[start] != doc[start + span - 1], span))
-        if not len(both):
-            return None
-        both = both[np.argsort(doc[both], kind="stable")]
-        cut = np.flatnonzero(np.diff(doc[both])) + 1
-        parts = np.split(both, cut)
-        return pa.RecordBatch.from_arrays([pa.array(doc[[p[0] for p in parts]]), pa.array([place[p].tobytes() for p in parts], pa.binary())], ["doc", "own"])
-
-    for batch in batches:
-        for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if bucket != current:
-                if (out := close()) is not None:
-                    yield out
-                held, current = [], bucket
-            held.append(tuple(row))
-    if (out := close()) is not None:
-        yield out
+        both = np.repeat(doc[start] != doc[start + span - 1], span)
+        if both.any():
+            waiting.append((doc[both], place[both]))
+            count += int(both.sum())
+        if count > 1_000_000:
+            yield flush()
+            waiting, count = [], 0
+    if waiting:
+        yield flush()
+
+
+def _gather(batches):
+    """Marks sorted by shard: (document, places) of each document once."""
+    for _, rows in _by_bucket(batches, 3):
+        doc, place = (np.concatenate([_values(x[k], kind) for x in rows]) for k, kind in ((0, np.int64), (1, np.int32)))
+        order = np.argsort(doc, kind="stable")
+        doc, place = doc[order], place[order]
+        parts = _runs(doc)
+        yield pa.RecordBatch.from_arrays([pa.array([int(doc[p[0]]) for p in parts]), pa.array([place[p].tobytes() for p in parts], pa.binary())], ["doc", "marks"])
 
 
 # Regions
 
-REGION = pa.schema([("h", pa.int64()), ("r", pa.int64()), ("off", pa.int32()), ("doc", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("bytes", pa.binary())])
+REGION = pa.schema([("h", pa.int64()), ("r", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("bucket", pa.int64()), ("hs", pa.binary()), ("rs", pa.binary()), ("docs", pa.binary()), ("offs", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])
 
 
-def _region_hash(raw: bytes, off: int) -> int:
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8, salt=off.to_bytes(2, "little")).digest(), "little", signed=True)
+def _cut(bits: int):
+    """(doc, text, th, marks) to the regions around the marked anchors: a row (h, r, doc, th, start) for each, and the bytes
+    of each different one of a slice once, with the least id, in bulk by bucket."""
 
+    def run(batches):
+        for piece in slices(batches, "text", SLICE):
+            ids = piece.column(0).to_numpy(zero_copy_only=False)
+            hashes = piece.column(2).to_numpy(zero_copy_only=False)
+            data, ends, begins = _joined([t.encode() for t in texts(piece.column(1)).to_pylist()])
+            h, place, first, last = anchors(data, ends)
+            if not len(h):
+                continue
+            marked = np.zeros(len(data) + 1, bool)
+            for base, end, own in zip(begins.tolist(), ends.tolist(), piece.column(3).to_pylist(), strict=True):
+                places = np.frombuffer(own, np.int32).astype(np.int64) + base
+                marked[places[places < end]] = True
+            hit = np.flatnonzero(marked[place])
+            if not len(hit):
+                continue
+            h, place, a, b = h[hit], place[hit], first[hit], last[hit] + LENGTH
+            row = np.searchsorted(ends, place, side="right")
+            with np.errstate(over="ignore"):
+                sums = _prefix(data, _P2)
+                inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(data), _INV2, np.uint64)]))
+                off, size = place - a, b - a
+                r = _mixed((sums[b] - sums[a]) * inverse[a] + (off * 131 + size).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
+                del sums, inverse
+            doc, th, start = ids[row], hashes[row], (a - begins[row]).astype(np.int32)
+            none = pa.nulls(len(h), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(r.view(np.int64)), pa.array(doc), pa.array(th), pa.array(start), pa.nulls(len(h), pa.int64()), *[none] * 6], schema=REGION)
+            order = np.lexsort((doc, r, h))
+            keep = order[np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (r[order][1:] != r[order][:-1])])]
+            h, r, doc, a, off, size = h[keep], r[keep], doc[keep], a[keep], off[keep].astype(np.int32), size[keep].astype(np.int32)
+            out = []
+            for x in _runs(h >> np.uint64(64 - bits)):
+                at = np.repeat(a[x] - (np.cumsum(size[x]) - size[x]), size[x]) + np.arange(int(size[x].sum()))
+                out.append((None, None, None, None, None, int(h[x[0]] >> np.uint64(64 - bits)), _planes(h[x]), _planes(r[x]), _planes(doc[x]), _planes(off[x]), _planes(size[x]), data[at].tobytes()))
+            yield _table(out, REGION)
 
-def _cut(batches):
-    """(doc, text, th, marks) to the regions around the marked anchors; the bytes only once a slice, with the least id."""
-    for piece in slices(batches, "text", SLICE):
-        ids = piece.column(0).to_numpy(zero_copy_only=False)
-        hashes = piece.column(2).to_numpy(zero_copy_only=False)
-        raw = [t.encode() for t in texts(piece.column(1)).to_pylist()]
-        data, ends, begins = _joined(raw)
-        h, place, first, last = anchors(data, ends)
-        if not len(h):
-            continue
-        marked = np.concatenate([begins[k] + np.frombuffer(m, np.int32) for k, own in enumerate(piece.column(3).to_pylist()) for m in own] or [np.zeros(0, np.int64)])
-        hit = np.flatnonzero(np.isin(place, marked))
-        row = np.searchsorted(ends, place[hit], side="right")
-        h = h.view(np.int64)
-        seen: dict[tuple[int, int], int] = {}
-        rows: list[list] = []
-        for i, k in zip(hit.tolist(), row.tolist(), strict=True):
-            a, b, base = int(first[i]), int(last[i]) + LENGTH, int(begins[k])
-            own = raw[k][a - base : b - base]
-            off = int(place[i]) - a
-            key = (int(h[i]), _region_hash(own, off))
-            at = seen.get(key)
-            doc = int(ids[k])
-            if at is None:
-                seen[key] = len(rows)
-                rows.append([*key, off, doc, int(hashes[k]), a - base, own])
-            else:
-                rows.append([*key, off, doc, int(hashes[k]), a - base, None])
-                if doc < rows[at][3]:  # the bytes go with the least id
-                    rows[-1][6], rows[at][6] = rows[at][6], None
-                    seen[key] = len(rows) - 1
-        for a in range(0, len(rows), 20_000):
-            part = rows[a : a + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*part, strict=True), REGION, strict=True)], schema=REGION)
+    return run
 
 
 VERDICT = pa.schema([("h", pa.int64()), ("r", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("least", pa.int64())])
 
 
-def judge(group: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
-    """(r, a, b, least id) of an anchor's regions (r, off, doc, bytes): the strings that start at a..b of region r start
-    in document `least` too, and in none with a smaller id."""
-    regions: dict[int, list] = {}
-    for r, _, doc, raw in group:
-        own = regions.setdefault(r, [doc, raw])
-        own[0] = min(own[0], doc)
-    keys = list(regions)
-    least = [[regions[r][0]] * (len(regions[r][1]) - LENGTH + 1) for r in keys]
-    if len(keys) > 1:
-        for found in equal_strings([regions[r][1] for r in keys]):
-            low = min(regions[keys[k]][0] for k, _ in found)
-            for k, at in found:
-                least[k][at] = min(least[k][at], low)
+def judge(regions: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int, int]]:
+    """(k, a, b, least id) of an anchor's different regions (off, least id, bytes): the strings that start at a..b of
+    region k start in document `least` too, and in none with a smaller id."""
+    least = [[doc] * (len(raw) - LENGTH + 1) for _, doc, raw in regions]
+    for found in equal_strings([(off, raw) for off, _, raw in regions]):
+        low = min(regions[k][1] for k, _ in found)
+        for k, at in found:
+            least[k][at] = low
     out = []
-    for r, own in zip(keys, least, strict=True):
+    for k, own in enumerate(least):
         a = 0
         for b in range(1, len(own) + 1):
             if b == len(own) or own[b] != own[a]:
-                out.append((r, a, b - 1, own[a]))
+                out.append((k, a, b - 1, own[a]))
                 a = b
     return out
 
 
 def _judge_all(batches):
-    held: list[tuple] = []
-    current = None
-    rows: list[tuple] = []
+    for _, rows in _by_bucket(batches, 7):
+        h, r, doc, off, size = (np.concatenate([_values(x[k], kind) for x in rows]) for k, kind in ((0, np.uint64), (1, np.uint64), (2, np.int64), (3, np.int32), (4, np.int32)))
+        data = b"".join(x[5] for x in rows)
+        begin = np.cumsum(size, dtype=np.int64) - size
+        order = np.lexsort((doc, r, h))
+        order = order[np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (r[order][1:] != r[order][:-1])])]
+        h, r, doc, off, size, begin = (x[order] for x in (h, r, doc, off, size, begin))
+        fresh = np.concatenate([[True], h[1:] != h[:-1]])
+        start = np.flatnonzero(fresh)
+        span = np.diff(start, append=len(h))
+        alone = start[span == 1]
+        columns = [[h[alone].view(np.int64)], [r[alone].view(np.int64)], [np.zeros(len(alone), np.int32)], [size[alone] - LENGTH], [doc[alone]]]
+        many: list[tuple[int, int, int, int]] = []
+        for s, n in zip(start[span > 1].tolist(), span[span > 1].tolist(), strict=True):
+            own = [(int(off[k]), int(doc[k]), data[begin[k] : begin[k] + size[k]]) for k in range(s, s + n)]
+            many += [(s + k, a, b, low) for k, a, b, low in judge(own)]
+        if many:
+            k, a, b, low = (np.array(c, np.int64) for c in zip(*many, strict=True))
+            for column, values in zip(columns, (h[k].view(np.int64), r[k].view(np.int64), a, b, low), strict=True):
+                column.append(values)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(columns, VERDICT, strict=True)], schema=VERDICT)
+
+
+def _merge(batches):
+    """(doc, th, start, end) sorted by document, text and start: the maximal runs of each text, once."""
+    current, starts, ends = None, [], []
+    out: list[tuple] = []
+    for batch in batches:
+        for doc, th, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if (doc, th) != current:
+                if starts:
+                    out.append((*current, starts, ends))
+                current, starts, ends = (doc, th), [a], [b]
+            elif a <= ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
+            if len(out) >= 2000:
+                yield _table(out, MERGED)
+                out = []
+    if starts:
+        out.append((*current, starts, ends))
+    if out:
+        yield _table(out, MERGED)
 
-    def table() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), VERDICT, strict=True)], schema=VERDICT)
 
-    for batch in batches:
-        for h, r, off, doc, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if h != current:
-                if held:
-                    rows += [(current, *v) for v in judge(held)]
-                held, current = [], h
-            if not held or held[-1][0] != r:
-                held.append((r, off, doc, raw))
-            else:  # the same region from another slice
-                held[-1] = (r, off, min(doc, held[-1][2]), raw)
-        if rows:
-            yield table()
-            rows = []
-    if held:
-        rows += [(current, *v) for v in judge(held)]
-    if rows:
-        yield table()
+MERGED = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 
 
 # The operator
@@ -396,29 +496,33 @@ def _settle(spark) -> None:
 
 
 def repeated_ranges(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc, th, start, end): byte ranges covered by strings of LENGTH bytes that start in a document with a smaller id.
+    """(doc, th, starts, ends): the maximal runs of bytes covered by strings of LENGTH bytes that start in a document with
+    a smaller id; a row for each text that has some.
 
     th is the text's xxhash64, for several texts under one id; a null id counts as the largest, a null text as empty.
-    Ranges of one document may overlap.
     """
     spark = docs.sparkSession
     bits = max(4, min(20, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() + 3))
     rows = docs.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(LAST)).alias("doc"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
-    bulk, bulk_path = stored(rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_first_pass(bits), "bucket bigint, h binary, docs binary, places binary, doc bigint, own binary"), "anchors")
-    met = bulk.where("bucket >= 0").select("bucket", "h", "docs", "places").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "doc bigint, own binary")
-    marks, marks_path = stored(bulk.where("bucket < 0").select("doc", "own").union(met).groupBy("doc").agg(F.collect_list("own").alias("marks")), "marks")
+    bulk_type = "bucket bigint, h binary, docs binary, places binary"
+    bulk, bulk_path = stored(rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_first_pass(bits), bulk_type), "anchors")
+    met = bulk.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, bulk_type)
+    marks, marks_path = stored(bulk.where("bucket < 0").union(met).select("bucket", "docs", "places"), "marks")
     discard(spark, bulk_path)
     _settle(spark)
+    gathered = marks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "doc bigint, marks binary")
     named = rows.withColumn("th", F.xxhash64("text")).withColumnRenamed("doc", "of")
-    marked = named.join(marks, F.col("of") == F.col("doc")).select("doc", "text", "th", "marks")
-    regions, regions_path = stored(marked.mapInArrow(_cut, "h bigint, r bigint, off int, doc bigint, th bigint, start int, bytes binary"), "regions")
+    marked = named.join(gathered, F.col("of") == F.col("doc")).select("doc", "text", "th", "marks")
+    region_type = "h bigint, r bigint, doc bigint, th bigint, start int, bucket bigint, hs binary, rs binary, docs binary, offs binary, sizes binary, bytes binary"
+    regions, regions_path = stored(marked.mapInArrow(_cut(bits), region_type), "regions")
     discard(spark, marks_path)
     _settle(spark)
-    sent = regions.where("bytes is not null").select("h", "r", "off", "doc", "bytes")
-    verdicts = sent.repartition("h").sortWithinPartitions("h", "r").mapInArrow(_judge_all, "h bigint, r bigint, a int, b int, least bigint")
-    ruled, ruled_path = stored(verdicts, "verdicts")
-    found = regions.select("h", "r", "doc", "th", "start").join(ruled, ["h", "r"]).where("least < doc")
-    ranges, _ = stored(found.select("doc", "th", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b") + LENGTH).alias("end")), "ranges")
+    sent = regions.where("bucket is not null").select("bucket", "hs", "rs", "docs", "offs", "sizes", "bytes")
+    ruled, ruled_path = stored(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge_all, "h bigint, r bigint, a int, b int, least bigint"), "verdicts")
+    found = regions.where("bucket is null").select("h", "r", "doc", "th", "start").join(ruled, ["h", "r"]).where("least < doc")
+    covered = found.select("doc", "th", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b") + LENGTH).alias("end"))
+    merged = covered.repartition("doc", "th").sortWithinPartitions("doc", "th", "start").mapInArrow(_merge, "doc bigint, th bigint, starts array<int>, ends array<int>")
+    ranges, _ = stored(merged, "ranges")
     discard(spark, regions_path)
     discard(spark, ruled_path)
     _settle(spark)
@@ -431,28 +535,20 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Strings are judged on the input, not on what is left. Rows with one id never remove each other's strings.
     """
     id_type = docs.schema[id_column].dataType.simpleString()
-    ranges = repeated_ranges(docs, id_column, text_column).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    ranges = repeated_ranges(docs, id_column, text_column)
     rows = docs.select(F.col(id_column).alias("__id"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
     keyed = rows.withColumns({"__doc": F.coalesce(F.col("__id").cast("bigint"), F.lit(LAST)), "__th": F.xxhash64("text")})
-    joined = keyed.join(ranges, (F.col("__doc") == F.col("doc")) & (F.col("__th") == F.col("th")), "left").select("__id", "text", "ranges")
+    joined = keyed.join(ranges, (F.col("__doc") == F.col("doc")) & (F.col("__th") == F.col("th")), "left").select("__id", "text", "starts", "ends")
     out = pa.schema([("n_bytes", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
     def run(batches):
         for piece in slices(batches, "text"):
             values = []
-            for text, own in zip(texts(piece.column(1)).to_pylist(), piece.column(2).to_pylist(), strict=True):
+            for text, starts, ends in zip(texts(piece.column(1)).to_pylist(), piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True):
                 raw = text.encode()
-                runs: list[list[int]] = []
-                for r in sorted((x["start"], x["end"]) for x in own or ()):
-                    if runs and r[0] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], r[1])
-                    else:
-                        runs.append(list(r))
-                kept, at = [], 0
-                for a, b in runs:
-                    kept.append(raw[at:a])
-                    at = b
-                values.append((len(raw), [{"start": a, "end": b} for a, b in runs], b"".join([*kept, raw[at:]])))
+                runs = list(zip(starts or (), ends or (), strict=True))
+                kept = [raw[a:b] for a, b in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(raw)], strict=True)]
+                values.append((len(raw), [{"start": a, "end": b} for a, b in runs], b"".join(kept)))
             yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(list(c), f.type) for c, f in zip(zip(*values, strict=True), out, strict=True))], [id_column, *out.names])
 
     return joined.mapInArrow(run, f"`{id_column}` {id_type}, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary")
