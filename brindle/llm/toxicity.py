@@ -25,7 +25,9 @@ GRAM_SIZES = (4, 7)
 FOLDS = 5
 INPUTS, HIDDEN, ATTEND = 2 + 2 * len(GRAM_SIZES), 6, 4
 #: At most so many labelled rows are learnt from, those of the smallest hashes.
-TRAIN_ROWS = 2500
+TRAIN_ROWS = 2000
+#: Texts whose n-grams are counted at a time.
+BLOCK = 100
 
 
 class Words:
@@ -202,17 +204,24 @@ def _compact(x: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[used], place[index]
 
 
-def _surprise(codes: np.ndarray, texts_of: np.ndarray, labels: np.ndarray, buckets: int) -> np.ndarray:
-    """(how many standard deviations more toxic texts hold the bucket than chance says, halved and clipped; log of its texts)."""
-    in_text = np.unique(np.stack([codes, texts_of]), axis=1)
+def _distinct(codes: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of a bucket and a text once, in 32 bits."""
+    n = int(text_of.max(initial=0)) + 1
+    pairs = np.unique(codes.astype(np.int64) * n + text_of)
+    return (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
+
+
+def _surprise(codes: np.ndarray, text_of: np.ndarray, labels: np.ndarray, buckets: int) -> np.ndarray:
+    """(how many standard deviations more toxic texts hold the bucket than chance says, halved and clipped; log of its
+    texts), for distinct pairs of a bucket and a text."""
     rate = labels.mean()
-    n = np.bincount(in_text[0], minlength=buckets)
-    ones = np.bincount(in_text[0], labels[in_text[1]], buckets)
+    n = np.bincount(codes, minlength=buckets)
+    ones = np.bincount(codes, labels[text_of], buckets)
     z = (ones - n * rate) / np.sqrt(n * rate * (1 - rate) + 3)
     return np.stack([np.clip(z / 2, -1, 4), np.log1p(n) / np.log1p(len(labels)) - 0.5], axis=1).astype(np.float32)
 
 
-def train(column: pa.Array, labels: np.ndarray, passes: int = 8, size: int = 192, least_steps: int = 160, rate: float = 0.03, seed: int = 7) -> BiGru:
+def train(column: pa.Array, labels: np.ndarray, passes: int = 8, size: int = 192, least_steps: int = 260, rate: float = 0.03, seed: int = 7) -> BiGru:
     """Fits the network to labelled texts. Without two classes it keeps to the labels' mean."""
     net = BiGru(seed)
     labels = np.asarray(labels, np.float32)
@@ -224,18 +233,24 @@ def train(column: pa.Array, labels: np.ndarray, passes: int = 8, size: int = 192
     rng = np.random.default_rng(seed)
     words = Words(column)
     text_of = np.repeat(np.arange(len(labels)), words.counts)
-    # Each distinct pair of a text and a word, then of a text and an n-gram.
-    pairs = np.unique(np.stack([words.codes, text_of]), axis=1)
-    grams = []
-    for gram, first in words.grams:
-        n = np.diff(first, append=len(gram))[pairs[0]]
-        at = np.repeat(first[pairs[0]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        grams.append((gram[at], np.repeat(pairs[1], n)))
+    # The pairs of a text and a word, and of a text and an n-gram, a block of texts at a time.
+    word_pairs = _distinct(words.codes, text_of)
+    parts: list[list] = [[] for _ in words.grams]
+    cuts = np.searchsorted(word_pairs[1][by_text := np.argsort(word_pairs[1], kind="stable")], np.arange(0, len(labels) + BLOCK, BLOCK))
+    for at, end in zip(cuts, cuts[1:], strict=False):
+        code, text = word_pairs[0][by_text[at:end]], word_pairs[1][by_text[at:end]]
+        for k, (gram, first) in enumerate(words.grams):
+            n = np.diff(first, append=len(gram))[code]
+            place = np.repeat(first[code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            parts[k].append(_distinct(gram[place], np.repeat(text, n)))
+    grams = [tuple(np.concatenate(c) for c in zip(*p, strict=True)) for p in parts]
+    del parts, by_text
+    word_pairs = _distinct(words.word[word_pairs[0]], word_pairs[1])
 
     def embed(known: np.ndarray) -> np.ndarray:
         """Fits the embeddings to the known texts; inputs of all words."""
-        ok = known[pairs[1]]
-        net.word = _surprise(words.word[pairs[0][ok]], pairs[1][ok], labels, WORD_BUCKETS)
+        ok = known[word_pairs[1]]
+        net.word = _surprise(word_pairs[0][ok], word_pairs[1][ok], labels, WORD_BUCKETS)
         net.grams = [_surprise(g[known[t]], t[known[t]], labels, GRAM_BUCKETS)[:, 0] for g, t in grams]
         return net.inputs(words)
 
@@ -245,6 +260,9 @@ def train(column: pa.Array, labels: np.ndarray, passes: int = 8, size: int = 192
     x = np.concatenate([*(embed(fold != f)[:-1] for f in range(FOLDS)), np.zeros((1, INPUTS), np.float32)])
     index = np.where(index == words.distinct, len(x) - 1, index + fold[owner][:, None] * words.distinct)
     embed(np.ones(len(labels), bool))
+    # Deviations grow with the square root of the texts; the network learnt from all folds but one.
+    net.word[:, 0] *= np.sqrt(1 - 1 / FOLDS)
+    net.grams = [(g * np.sqrt(1 - 1 / FOLDS)).astype(np.float32) for g in net.grams]
     rate_of = positive / len(labels)
     net.p["o"][0] = np.log(rate_of / (1 - rate_of))
     first = np.searchsorted(owner, np.arange(len(labels)))
@@ -254,7 +272,7 @@ def train(column: pa.Array, labels: np.ndarray, passes: int = 8, size: int = 192
     passes = max(passes, -(-least_steps * size // (len(labels) + len(clean))))
     step = 0
     for turn in range(passes):
-        logits = np.concatenate([net.run(*_compact(x, index[a : a + 4096])) for a in range(0, len(index), 4096)])
+        logits = np.concatenate([net.run(*_compact(x, index[a : a + 2048])) for a in range(0, len(index), 2048)])
         highest = np.lexsort((logits, owner))[first + count - 1]
         drawn = first + (rng.random(len(labels)) * count).astype(np.int64)
         chosen = np.concatenate([highest, drawn[clean]])
