@@ -85,8 +85,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.3
     """(doc, item, covered, windows) of each leak: consistent alignments cover enough of the item's windows.
 
     Enough is the share least_share and at least least_windows windows, or the whole item if it has fewer. Several rows
-    with one id count as one document; a null id is an id of its own; null texts and null items never match. An empty
-    table on either side gives no rows.
+    with one id count as one document; a null id is an id of its own; null texts and null items never match. An item of
+    fewer than WIDTH words leaks only to a document that is just its words. An empty table on either side gives no rows.
     """
     sizes = benchmark.select(F.col(item_column).alias("item"), template_words(F.col("text").cast("string")).alias("words")).where("words is not null and item is not null")
     sizes = sizes.groupBy("item").agg(F.max(F.greatest(F.size("words") - WIDTH + 1, F.least(F.size("words"), F.lit(1)))).alias("windows"))

@@ -3,7 +3,7 @@
 At that similarity fingerprints differ in about 10 of 64 bits, too many for shards by equal stretches of bits. So the
 shards are named by least hashes of the shingles instead (two similar texts share each one with a chance of their
 similarity), and the BK-tree of a shard is asked within a radius that similar texts exceed with a chance below 1 in
-200. In each shard the closest pairs that span it become candidates; each candidate pair is then compared exactly.
+200. In each shard each row's closest pairs and those that span it become candidates; each candidate pair is then compared exactly.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from .common import slices, stored, texts
 from .simhash import BKTree, _majority, components
 
 WIDTH, LEAST, RADIUS, KEYS = 5, 0.8, 18, 7
+#: Pairs that a row of a shard is compared in at least, if it has so many within the radius.
+NEAREST = 3
 #: Fingerprints so close to one in the tree are linked to it and not put into the tree themselves.
 CLOSE = 3
 #: Shards with more rows are dealt again by a second least hash.
@@ -66,7 +68,10 @@ def _renamed(run, text_column: str):
 
 
 def closest_pairs(ids: list[int], fps: list[int], radius: int) -> list[tuple[int, int]]:
-    """Pairs that span the rows as far as fingerprints within the radius link them, the closest first."""
+    """Pairs of rows within the radius: each row's NEAREST closest, and those that span the rows, the closest first.
+
+    The closest fingerprint need not be the most similar text, so a row stands not by one pair alone.
+    """
     tree = BKTree(fps[0])
     rows: dict[int, int] = {0: 0}
     pairs: list[tuple[int, int, int]] = []
@@ -75,7 +80,8 @@ def closest_pairs(ids: list[int], fps: list[int], radius: int) -> list[tuple[int
         pairs += [(d, j, i) for d, j in near[:1] if d <= CLOSE] or [(d, j, i) for d, j in near]
         if not near or near[0][0] > CLOSE:
             rows[tree.add(fps[i])] = i
-    parent = list(range(len(fps)))
+    pairs.sort()
+    parent, own = list(range(len(fps))), [0] * len(fps)
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -84,10 +90,13 @@ def closest_pairs(ids: list[int], fps: list[int], radius: int) -> list[tuple[int
         return i
 
     out = []
-    for _, a, b in sorted(pairs):
+    for _, a, b in pairs:
         x, y = root(a), root(b)
         if x != y:
             parent[max(x, y)] = min(x, y)
+        if x != y or own[a] < NEAREST or own[b] < NEAREST:
+            own[a] += 1
+            own[b] += 1
             out.append((ids[a], ids[b]))
     return out
 
@@ -149,14 +158,17 @@ def candidate_pairs(reps: DataFrame, radius: int = RADIUS, most: int = SHARD_MOS
 
 
 def verified(docs: DataFrame, pairs: DataFrame, least: float = LEAST, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The pairs whose texts' sets of shingles have at least the similarity; of several rows with one id the least text counts."""
+    """The pairs whose texts' sets of shingles, by 32-bit hashes, have at least the similarity.
+
+    Of several rows with one id that with the least set counts.
+    """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
     ends = F.broadcast(ends) if ends.count() <= BROADCAST_MOST else ends
     named = docs.select(F.col(id_column).cast("bigint").alias("id"), docs[text_column].cast("string").alias("text"))
 
     def sets(batches):
         for piece in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([shingles(t, width).tobytes() for t in texts(piece.column(1)).to_pylist()], pa.binary())], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([np.unique(shingles(t, width).astype(np.uint32)).tobytes() for t in texts(piece.column(1)).to_pylist()], pa.binary())], ["id", "s"])
 
     own, _ = stored(named.join(ends, F.col("id") == F.col("end"), "left_semi").mapInArrow(sets, "id bigint, s binary").groupBy("id").agg(F.min("s").alias("s")), "shingles")
 
@@ -164,7 +176,7 @@ def verified(docs: DataFrame, pairs: DataFrame, least: float = LEAST, width: int
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                s, t = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 shared = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(shared >= least * (len(s) + len(t) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))

@@ -1,7 +1,8 @@
 """Sharding by vector bin packing.
 
 Each group of equal texts is a vector of its shares of all bytes, tokens and rows; it goes to the shard whose residual
-capacity has the largest dot product with it. Only a bounded number of vectors reaches the driver: groups of a small
+capacity has the largest dot product with it; at the end single groups move from the fullest shard to the emptiest one
+while that evens out the bytes. Only a bounded number of vectors reaches the driver: groups of a small
 share are bundled by their hash, so that there are at most shards x GRAIN bundles, and at most three times as many
 groups can be larger than such a bundle.
 """
@@ -28,6 +29,23 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     return chosen
 
 
+def even(sizes: np.ndarray, chosen: np.ndarray, shards: int, moves: int = 1000) -> np.ndarray:
+    """Moves single items from the fullest shard to the emptiest one as long as that brings the two nearer in bytes."""
+    chosen = chosen.copy()
+    total = np.bincount(chosen, sizes, shards)
+    for _ in range(moves):
+        full, empty = int(total.argmax()), int(total.argmin())
+        gap = total[full] - total[empty]
+        own = np.flatnonzero((chosen == full) & (sizes > 0) & (sizes < gap))
+        if not len(own):
+            break
+        best = own[int(np.abs(sizes[own] - gap / 2).argmin())]
+        chosen[best] = empty
+        total[full] -= sizes[best]
+        total[empty] += sizes[best]
+    return chosen
+
+
 def shard(docs: DataFrame, shards: int = 24, grain: int = GRAIN, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
@@ -74,7 +92,7 @@ def shard(docs: DataFrame, shards: int = 24, grain: int = GRAIN, id_column: str
     _, item = np.unique(item, return_inverse=True)
     vectors = np.zeros((item.max() + 1 if len(item) else 0, 3))
     np.add.at(vectors, item, shares)
-    placed = place(vectors, shards)[item] if len(item) else np.zeros(0, np.int64)
+    placed = even(vectors[:, 0], place(vectors, shards), shards)[item] if len(item) else np.zeros(0, np.int64)
     base = np.zeros(len(units), np.int64)
     for s in range(shards):
         own = placed == s
