@@ -12,8 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 WIDTH = 8
-#: Benchmark windows up to this many are broadcast (about 40 MB); a larger benchmark is joined by a shuffle.
+#: Rows up to this many (about 40 MB) are broadcast: windows of the benchmark, slots, ids with leaks. More are joined by
+#: a shuffle.
 BROADCAST_MOST = 1_000_000
 #: Units that make a placeholder after a number.
 UNITS = "km|cm|mm|m|mi|ft|in|kg|g|mg|lb|oz|l|ml|s|ms|min|h|hr|hrs|hours|hour|minutes|seconds|days|day|weeks|years|year|meters|metres|miles|feet|inches|grams|kilograms|pounds|liters|litres|percent|dollars|euros|cents|usd|eur|mph|kmh|hz|khz|mhz|ghz|kb|mb|gb|tb|°c|°f|c|f|k|%"
@@ -64,12 +67,13 @@ def alignments(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     bench = _windows(items.select("item", template_words(F.col("text")).alias("words")), "item", "i").groupBy("item", "hash").agg(F.min("i").alias("i"))
     bench = F.broadcast(bench) if bench.count() <= BROADCAST_MOST else bench
     own = _windows(texts.select("doc", template_words(F.col("text")).alias("words")), "doc", "j")
-    hits = own.join(bench, "hash").select("doc", "item", (F.col("j") - F.col("i")).alias("diagonal"), "i").distinct()
+    hits, _ = stored(own.join(bench, "hash").select("doc", "item", (F.col("j") - F.col("i")).alias("diagonal"), "i").distinct(), "hits")
 
     slots = items.select("item", F.posexplode(template_slots(F.col("text"))).alias("p", "slot")).where("slot.word like '%‹%'").select("item", "p", F.col("slot.value").alias("theirs"))
     covered = hits.select("doc", "item", "diagonal", F.explode(F.sequence(F.col("i"), F.col("i") + WIDTH - 1)).alias("p"))
-    asked = covered.join(F.broadcast(slots) if slots.count() <= BROADCAST_MOST else slots, ["item", "p"]).distinct()
+    asked, _ = stored(covered.join(F.broadcast(slots) if slots.count() <= BROADCAST_MOST else slots, ["item", "p"]).distinct(), "slots")
     wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("item", "diagonal", "p", "theirs")).alias("wanted"))
+    wanted = F.broadcast(wanted) if asked.count() <= BROADCAST_MOST else wanted  # else the texts are shuffled
     found = texts.withColumnRenamed("doc", "of").join(wanted, F.col("of").eqNullSafe(F.col("doc")))
     values = found.select("doc", "wanted", template_slots(F.col("text")).alias("slots"))
     pairs = values.select("doc", "slots", F.explode("wanted").alias("w")).select("doc", "w.*", F.get("slots", F.col("w.p") + F.col("w.diagonal"))["value"].alias("ours"))
@@ -98,7 +102,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.3
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, all columns, that have no leak. Rows with null ids or texts are kept unless the id has a leak."""
-    leaks = contaminated(docs, benchmark, **options).select(F.col("doc").alias("__leaked")).distinct()
+    leaks, _ = stored(contaminated(docs, benchmark, **options).select(F.col("doc").alias("__leaked")).distinct(), "leaks")
+    leaks = F.broadcast(leaks) if leaks.count() <= BROADCAST_MOST else leaks
     return docs.join(leaks, docs[options.get("id_column", "doc_id")].eqNullSafe(F.col("__leaked")), "left_anti")
 
 

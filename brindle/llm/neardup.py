@@ -101,43 +101,29 @@ def closest_pairs(ids: list[int], fps: list[int], radius: int) -> list[tuple[int
     return out
 
 
-def _shards(width: int, radius: int, most: int | None):
-    """A task over rows (id, fp, keys, then `width` columns naming the shard), sorted by shard.
-
-    Gives the candidate pairs of each shard; rows of a shard with more than `most` come back with no b.
-    """
+def _shards(radius: int):
+    """A task over rows (id, fp, then the columns that name the shard), sorted by shard: the pairs of each shard."""
 
     def run(batches):
         held: list[tuple[int, int]] = []
-        current, passing = None, False
+        current = None
 
-        def close() -> list[tuple]:
+        def close() -> list[tuple[int, int]]:
             if len(held) < 2:
                 return []
             ids, fps = zip(*sorted(held), strict=True)
-            return [(min(p), max(p), None, None, None, None) for p in closest_pairs(list(ids), [f & (1 << 64) - 1 for f in fps], radius)]
-
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("k", pa.int64()), ("key", pa.int64())])
+            return [(min(p), max(p)) for p in closest_pairs(list(ids), [f & (1 << 64) - 1 for f in fps], radius)]
 
-        def table(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        def table(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], ["a", "b"])
 
-        waiting: list[tuple] = []
         for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(3 + width)), strict=True):
-                if row[3:] != current:
+            out: list[tuple[int, int]] = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+                if row[2:] != current:
                     out += close()
-                    held, waiting, current, passing = [], [], row[3:], False
-                if passing:
-                    out.append((row[0], None, row[1], row[2], row[3], row[4]))
-                    continue
+                    held, current = [], row[2:]
                 held.append(row[:2])
-                if most is not None:
-                    waiting.append((row[0], None, row[1], row[2], row[3], row[4]))
-                    if len(held) > most:
-                        out += waiting
-                        held, waiting, passing = [], [], True
             if out:
                 yield table(out)
         if out := close():
@@ -148,13 +134,14 @@ def _shards(width: int, radius: int, most: int | None):
 
 def candidate_pairs(reps: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST) -> DataFrame:
     """(a, b), a < b, of rows (id, fp, keys), each pair once."""
-    schema = "a bigint, b bigint, fp bigint, keys array<bigint>, k bigint, key bigint"
-    dealt = reps.select("id", "fp", "keys", F.posexplode("keys").alias("k", "key")).select("id", "fp", "keys", F.col("k").cast("bigint").alias("k"), "key")
-    once, _ = stored(dealt.repartition("k", "key").sortWithinPartitions("k", "key").mapInArrow(_shards(2, radius, most), schema), "candidates")
-    large = once.where("b is null").select(F.col("a").alias("id"), "fp", "keys", "k", "key", F.posexplode("keys").alias("k2", "key2")).where("k != k2")
-    large = large.select("id", "fp", "keys", "k", "key", F.col("k2").cast("bigint").alias("k2"), "key2")
-    again = large.repartition("k", "key", "k2", "key2").sortWithinPartitions("k", "key", "k2", "key2").mapInArrow(_shards(4, radius, None), schema)
-    return once.where("b is not null").select("a", "b").union(again.select("a", "b")).distinct()
+    dealt = reps.select("id", "fp", "keys", F.posexplode("keys").alias("k", "key"))
+    large, _ = stored(dealt.groupBy("k", "key").count().where(F.col("count") > most).select("k", "key"), "large")
+    large = F.broadcast(large) if large.count() <= BROADCAST_MOST else large
+    first, second = ["k", "key"], ["k", "key", "k2", "key2"]
+    small = dealt.join(large, first, "left_anti").select("id", "fp", *first)
+    split = dealt.join(large, first).select("id", "fp", "k", "key", F.posexplode("keys").alias("k2", "key2")).where("k != k2")
+    found = [rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(_shards(radius), "a bigint, b bigint") for rows, names in ((small, first), (split, second))]
+    return stored(found[0].union(found[1]).distinct(), "candidates")[0]
 
 
 def verified(docs: DataFrame, pairs: DataFrame, least: float = LEAST, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
