@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _own_folder: dict[str, str] = {}
 
@@ -27,12 +28,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder["path"]
 
 
-def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """`df` written as Parquet in the shared folder and read back, with its path; this cuts the lineage."""
+def stored(df: DataFrame, label: str, compression: str = "snappy", by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """`df` written as Parquet in the shared folder and read back, with its path; this cuts the lineage.
+
+    Columns in `by` become folders, and come last.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/brindle/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    df.write.option("compression", compression).partitionBy(*by).parquet(path)
+    schema = StructType([f for f in df.schema if f.name not in by] + [df.schema[n] for n in by])
+    return spark.read.schema(schema).parquet(path), path
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -11,9 +11,11 @@ regions don't.
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,25 +202,49 @@ def _classes(part: list[int], regions: list[tuple[int, bytes]], length: int) ->
 # Anchors
 
 
-def _argmin(h: np.ndarray, width: int) -> np.ndarray:
-    """The place of the least of each `width` neighbours, the first one of equals."""
-    n = len(h) - width + 1
-    best, at = h, np.arange(len(h), dtype=np.int32)
-    size = 1
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbours."""
+    best, size = h, 1
     while size < width:
         step = min(size, width - size)
-        later = best[step:]
-        take = best[: len(later)] <= later
-        at = np.where(take, at[: len(later)], at[step:])
-        best = np.where(take, best[: len(later)], later)
+        best = np.minimum(best[: len(best) - step], best[step:])
         size += step
-    return at[:n]
+    return best
+
+
+def _spans(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first, last): windows first..last have their least hash at the place, the first one of equals."""
+    least = _least(h, width)
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    last = np.append(first[1:], len(least)) - 1
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(first):
+        place = first + (h[first[:, None] + np.arange(width)] == least[first][:, None]).argmax(axis=1)
+        found.append((place, first, np.minimum(last, place)))
+        more = last > place  # an equal hash further on takes over
+        first, last = place[more] + 1, last[more]
+    place, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(first, kind="stable")
+    return place[order], first[order], last[order]
+
+
+_power_tables: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2 .. modulo 2^64, n of them; kept from slice to slice."""
+    if len(_power_tables.get(base, ())) < n:
+        with np.errstate(over="ignore"):
+            _power_tables[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n + n // 4, base, np.uint64)]))
+    return _power_tables[base][:n]
 
 
 def _prefix(data: np.ndarray, base: int) -> np.ndarray:
     """Sums of (byte + 1) x base^place before each place, modulo 2^64."""
-    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(data) - 1, base, np.uint64)]))
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers)])
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, len(data)), out=sums[1:])
+    return sums
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -237,19 +263,16 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         return none.view(np.uint64), none, none, none
     with np.errstate(over="ignore"):
         sums = _prefix(data, _P)
-        inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(data) - K, _INV, np.uint64)]))
-        h = _mixed((sums[K:] - sums[:-K]) * inverse)
-    del sums, inverse
-    least = _argmin(h, WINDOW)
-    start = np.arange(len(least))
-    text_end = ends[np.searchsorted(ends, start, side="right")]
-    good = start + LENGTH <= text_end
-    start, least = start[good], least[good].astype(np.int64)
-    if not len(start):
-        return none.view(np.uint64), none, none, none
-    first = np.concatenate([[True], (least[1:] != least[:-1]) | (start[1:] != start[:-1] + 1)])
-    last = np.concatenate([first[1:], [True]])
-    return h[least[first]], least[first], start[first], start[last]
+        h = _mixed((sums[K:] - sums[:-K]) * _powers(_INV, len(data) - K + 1))
+    del sums
+    place, first, last = _spans(h, WINDOW)
+    # A window may cross the end of a text: each stretch is cut at the ends, and only strings within one text stay.
+    text = np.searchsorted(ends, place, side="right")
+    begin = np.concatenate([[0], ends])[text]
+    first, last = np.maximum(first, begin), np.minimum(last, ends[text] - LENGTH)
+    good = first <= last
+    place = place[good]
+    return h[place], place, first[good], last[good]
 
 
 def _joined(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -377,6 +400,7 @@ def _cut(bits: int):
     of each different one of a slice once, with the least id, in bulk by bucket."""
 
     def run(batches):
+        coder = zstandard.ZstdCompressor(level=3)
         for piece in slices(batches, "text", SLICE):
             ids = piece.column(0).to_numpy(zero_copy_only=False)
             hashes = piece.column(2).to_numpy(zero_copy_only=False)
@@ -395,10 +419,10 @@ def _cut(bits: int):
             row = np.searchsorted(ends, place, side="right")
             with np.errstate(over="ignore"):
                 sums = _prefix(data, _P2)
-                inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(data), _INV2, np.uint64)]))
+                inverse = _powers(_INV2, len(data) + 1)
                 off, size = place - a, b - a
                 r = _mixed((sums[b] - sums[a]) * inverse[a] + (off * 131 + size).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
-                del sums, inverse
+                del sums
             doc, th, start = ids[row], hashes[row], (a - begins[row]).astype(np.int32)
             none = pa.nulls(len(h), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(r.view(np.int64)), pa.array(doc), pa.array(th), pa.array(start), pa.nulls(len(h), pa.int64()), *[none] * 6], schema=REGION)
@@ -408,7 +432,7 @@ def _cut(bits: int):
             out = []
             for x in _runs(h >> np.uint64(64 - bits)):
                 at = np.repeat(a[x] - (np.cumsum(size[x]) - size[x]), size[x]) + np.arange(int(size[x].sum()))
-                out.append((None, None, None, None, None, int(h[x[0]] >> np.uint64(64 - bits)), _planes(h[x]), _planes(r[x]), _planes(doc[x]), _planes(off[x]), _planes(size[x]), data[at].tobytes()))
+                out.append((None, None, None, None, None, int(h[x[0]] >> np.uint64(64 - bits)), _planes(h[x]), _planes(r[x]), _planes(doc[x]), _planes(off[x]), _planes(size[x]), coder.compress(data[at].tobytes())))
             yield _table(out, REGION)
 
     return run
@@ -436,9 +460,10 @@ def judge(regions: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int, in
 
 
 def _judge_all(batches):
+    coder = zstandard.ZstdDecompressor()
     for _, rows in _by_bucket(batches, 7):
         h, r, doc, off, size = (np.concatenate([_values(x[k], kind) for x in rows]) for k, kind in ((0, np.uint64), (1, np.uint64), (2, np.int64), (3, np.int32), (4, np.int32)))
-        data = b"".join(x[5] for x in rows)
+        data = b"".join(coder.decompress(x[5]) for x in rows)
         begin = np.cumsum(size, dtype=np.int64) - size
         order = np.lexsort((doc, r, h))
         order = order[np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (r[order][1:] != r[order][:-1])])]
@@ -491,8 +516,10 @@ MERGED = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("starts", pa.list_
 
 def _settle(spark) -> None:
     """Lets Spark drop the shuffle files of finished stages."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def repeated_ranges(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -502,29 +529,35 @@ def repeated_ranges(docs: DataFrame, id_column: str = "doc_id", text_column: str
     th is the text's xxhash64, for several texts under one id; a null id counts as the largest, a null text as empty.
     """
     spark = docs.sparkSession
-    bits = max(4, min(20, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() + 3))
+    bits = max(4, min(20, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1))
     rows = docs.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(LAST)).alias("doc"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
     bulk_type = "bucket bigint, h binary, docs binary, places binary"
-    bulk, bulk_path = stored(rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_first_pass(bits), bulk_type), "anchors")
+    bulk, bulk_path = stored(rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_first_pass(bits), bulk_type), "anchors", "zstd")
     met = bulk.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, bulk_type)
-    marks, marks_path = stored(bulk.where("bucket < 0").union(met).select("bucket", "docs", "places"), "marks")
+    marks, marks_path = stored(bulk.where("bucket < 0").union(met).select("bucket", "docs", "places"), "marks", "zstd")
     discard(spark, bulk_path)
     _settle(spark)
     gathered = marks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "doc bigint, marks binary")
     named = rows.withColumn("th", F.xxhash64("text")).withColumnRenamed("doc", "of")
     marked = named.join(gathered, F.col("of") == F.col("doc")).select("doc", "text", "th", "marks")
     region_type = "h bigint, r bigint, doc bigint, th bigint, start int, bucket bigint, hs binary, rs binary, docs binary, offs binary, sizes binary, bytes binary"
-    regions, regions_path = stored(marked.mapInArrow(_cut(bits), region_type), "regions")
+    cut = marked.mapInArrow(_cut(bits), region_type)
+    regions, regions_path = stored(cut.withColumn("kind", F.col("bucket").isNull().cast("int")), "regions", "zstd", ("kind",))
     discard(spark, marks_path)
+    del bulk, met, marks, gathered, marked, cut
+    _settle(spark)
+    sent = regions.where("kind = 0").select("bucket", "hs", "rs", "docs", "offs", "sizes", "bytes")
+    ruled, ruled_path = stored(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge_all, "h bigint, r bigint, a int, b int, least bigint"), "verdicts", "zstd")
+    discard(spark, f"{regions_path}/kind=0")
+    del sent
     _settle(spark)
-    sent = regions.where("bucket is not null").select("bucket", "hs", "rs", "docs", "offs", "sizes", "bytes")
-    ruled, ruled_path = stored(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge_all, "h bigint, r bigint, a int, b int, least bigint"), "verdicts")
-    found = regions.where("bucket is null").select("h", "r", "doc", "th", "start").join(ruled, ["h", "r"]).where("least < doc")
+    found = regions.where("kind = 1").select("h", "r", "doc", "th", "start").join(ruled, ["h", "r"]).where("least < doc")
     covered = found.select("doc", "th", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b") + LENGTH).alias("end"))
     merged = covered.repartition("doc", "th").sortWithinPartitions("doc", "th", "start").mapInArrow(_merge, "doc bigint, th bigint, starts array<int>, ends array<int>")
     ranges, _ = stored(merged, "ranges")
     discard(spark, regions_path)
     discard(spark, ruled_path)
+    del found, covered, merged, ruled, regions
     _settle(spark)
     return ranges
 
