@@ -753,3 +753,83 @@ def svc_02_embedding_cache(spark, sf_dir):
     cache = items.where("item_id % 2 = 0").select(T.cache_key(F.lit("hash"), F.col("text")).alias("key"), embed_column(HashEmbedder(DIM), F.col("text")).alias("embedding"))
     found = embed_with_table(items, cache, HashEmbedder(DIM))
     return found.where("embedding is not null").agg(F.count("*").alias("rows_out"), F.countDistinct("key").alias("keys"))
+
+
+def fold_sql(*ops: str) -> str:
+    """FOLD over the records of some operations."""
+    chosen = ", ".join(f"'{o}'" for o in ops)
+    return FOLD.replace("put as (", f"kept as (select * from log where op in ({chosen})), put as (", 1).replace("from log where op =", "from kept where op =").replace("from log, (values", "from kept, (values").replace("from log g where", "from kept g where")
+
+
+def fold_of(spark, sf_dir, *ops: str) -> DataFrame:
+    return changelog.fold(event_log(spark, sf_dir).where(F.col("op").isin(*ops))).select("bucket", "external_id", "parent_doc_id", "text")
+
+
+SELECT_LIVE = " select bucket, external_id, parent parent_doc_id, text from live"
+
+
+@query(fold_sql("insert") + SELECT_LIVE)
+def mut_02_bulk_upsert(spark, sf_dir):
+    return fold_of(spark, sf_dir, "insert")
+
+
+@query(fold_sql("insert_document") + SELECT_LIVE)
+def mut_03_upsert_document(spark, sf_dir):
+    return fold_of(spark, sf_dir, "insert_document")
+
+
+@query(fold_sql("insert", "delete") + SELECT_LIVE)
+def mut_04_delete(spark, sf_dir):
+    return fold_of(spark, sf_dir, "insert", "delete")
+
+
+@query(fold_sql("insert_document", "delete_document") + SELECT_LIVE)
+def mut_05_delete_document(spark, sf_dir):
+    return fold_of(spark, sf_dir, "insert_document", "delete_document")
+
+
+@query(f"with {SIDES.format(q=of(4), ku=10, ko=10)} select u.id || ':' || o.id id, u.id \"u.id\", o.id \"o.id\" from u join o on case when u.id::int % 3 > 0 then u.nation end = o.nation")
+def join_04_null_keys(spark, sf_dir):
+    rows = customers_and_orders(spark, sf_dir)
+    bare = (F.col("bucket") == "users") & (F.col("external_id").cast("int") % 3 == 0)
+    e = engine(spark, sf_dir, rows.withColumn("metadata", F.when(bare, F.lit("{}")).otherwise(F.col("metadata"))))
+    v = literal(vector_of(spark, sf_dir, 4))
+    return e.sql(f"SELECT u.id, o.id FROM users u JOIN orders o ON u.nation = o.nation WHERE vector_distance(u.embedding, '{v}') AND vector_distance(o.embedding, '{v}')").drop("bucket", "score")
+
+
+@query()
+def src_07_ingest(spark, sf_dir):
+    path = scratch(spark, "files")
+    table(spark, sf_dir, "benchmark").select("text").repartition(4, "text").write.text(path)
+    from .sources.files import ingest
+
+    return ingest(spark, path, "kb").select("bucket", "text", "parent_doc_id", "chunk_index", "metadata")
+
+
+@query(f"with {LOG} select seq, op, bucket, id from log")
+def src_13_log_tail(spark, sf_dir):
+    path, out = scratch(spark, "log"), scratch(spark, "copy")
+    event_log(spark, sf_dir).repartition(4, "seq").write.parquet(path)
+    read = cdc.tail(spark, path, 1).select("seq", "op", "bucket", "id")
+    read.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "cursor")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(read.schema).parquet(out)
+
+
+@query(f"with {LOG} select count(*) events, max(seq) last_cursor from log where op = 'delete'")
+def snk_04_callable(spark, sf_dir):
+    path = scratch(spark, "log")
+    event_log(spark, sf_dir).write.parquet(path)
+    seen: list[int] = []
+    events = cdc.filter_events(cdc.to_events(cdc.tail(spark, path)), ops=("delete",))
+    cdc.to_callable(events, lambda batch: seen.extend(e["cursor"] for e in batch), scratch(spark, "cursor")).awaitTermination()
+    return spark.createDataFrame([(len(seen), max(seen, default=None))], "events bigint, last_cursor bigint")
+
+
+@query(docs_hits(of(8), 32) + " select count(*) candidates, round(max(score), 6) farthest from hits")
+def top_06_overfetch(spark, sf_dir):
+    from .plans import execute, plan
+
+    scan = plan.plan(f"SELECT id FROM docs WHERE vector_distance(embedding, '{literal(vector_of(spark, sf_dir, 8))}') AND lang IN ('en', 'de', 'fr', 'es') LIMIT 3")
+    e = engine(spark, sf_dir)
+    found = execute.hits(scan, execute.Context(e.corpus, e.embedder, dim=DIM))
+    return found.agg(F.count("*").alias("candidates"), F.round(F.max("score"), 6).alias("farthest"))
