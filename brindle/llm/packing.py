@@ -28,10 +28,11 @@ SENTENCE_PENALTY, INNER_PENALTY = 4, 12
 GAP, STEP = 96, 48
 #: Windows of fewer than 2^8 tokens count as padded even at a power of two: such short sequences are not sought.
 SHORTEST_POWER = 8
-#: Words kept with their ids from slice to slice; only speed depends on it.
+#: Words kept with their ids from slice to slice and task to task; only speed depends on it.
 WORDS_KEPT = 400_000
 END_ID = 1
 _tokenizers: dict[str, object] = {}
+_encoders: dict[str, WordTokens] = {}
 
 
 class WordTokens:
@@ -118,16 +119,30 @@ class WordTokens:
         return flat[place], after[marks], after[ends_sentence[word] & (n > 0)]
 
 
+def _encoder(path: str) -> WordTokens:
+    """The encoder of this Python process; a later task finds its words known."""
+    if path not in _encoders:
+        _encoders[path] = WordTokens(path)
+    return _encoders[path]
+
+
+def _union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The rising union of two rising arrays."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+
+
 def candidate_cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rising places with 0 first, and the penalty of a cut at each."""
-    ends = np.union1d(doc_ends, sentence_ends)
+    ends = _union(doc_ends, sentence_ends)
     ends = np.concatenate([[0], ends]) if not len(ends) or ends[0] else ends
     extra = np.maximum((np.diff(ends) - 1) // STEP, 0) * (np.diff(ends) > GAP)
     inner = np.repeat(ends[:-1], extra) + STEP * (1 + np.arange(int(extra.sum())) - np.repeat(np.cumsum(extra) - extra, extra))
-    places = np.union1d(ends, inner)
+    places = _union(ends, inner)
     penalty = np.full(len(places), INNER_PENALTY, np.int64)
-    penalty[np.isin(places, sentence_ends)] = SENTENCE_PENALTY
-    penalty[np.isin(places, doc_ends)] = 0
+    penalty[np.searchsorted(places, sentence_ends)] = SENTENCE_PENALTY
+    penalty[np.searchsorted(places, doc_ends)] = 0
     return places, penalty
 
 
@@ -176,13 +191,13 @@ def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_c
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
-        encoder = WordTokens(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 40
         for piece in slices(batches, text_column, 6 << 20):
             ids, doc_ends, sentence_ends = encoder.encode(texts(piece.column(1)))
             places, penalty = candidate_cuts(doc_ends, sentence_ends)
             cuts = places[best_cuts(places, penalty, window)]
-            points = np.union1d(cuts, np.concatenate([[0], doc_ends]))
+            points = _union(cuts, np.concatenate([[0], doc_ends]))
             begin, end = points[:-1], points[1:]
             doc = np.searchsorted(doc_ends, begin, side="right")
             doc_start = np.concatenate([[0], doc_ends[:-1]])
