@@ -3,7 +3,8 @@
 At that similarity fingerprints differ in about 10 of 64 bits, too many for shards by equal stretches of bits. So the
 shards are named by least hashes of the shingles instead (two similar texts share each one with a chance of their
 similarity), and the BK-tree of a shard is asked within a radius that similar texts exceed with a chance below 1 in
-200. In each shard each row's closest pairs and those that span it become candidates; each candidate pair is then compared exactly.
+200. In each shard the rows that have others within the radius are sent on with their sets of shingles, and every pair of
+them within the radius is compared exactly, unless exact links join its rows already.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from .common import slices, stored, texts
 from .simhash import BKTree, _majority, components
 
 WIDTH, LEAST, RADIUS, KEYS = 5, 0.8, 18, 7
-#: Pairs that a row of a shard is compared in at least, if it has so many within the radius.
-NEAREST = 3
-#: Fingerprints so close to one in the tree are linked to it and not put into the tree themselves.
+#: Fingerprints so close to one in the tree are kept beside it and not put into the tree themselves.
 CLOSE = 3
+#: The columns that name a shard: place and value of a least hash, and of a second one or -1 and 0.
+SHARD = ("k", "key", "k2", "key2")
 #: Shards with more rows are dealt again by a second least hash.
 SHARD_MOST = 4000
 #: Ids up to this many (16 MB) are broadcast, more are joined by a shuffle.
@@ -67,89 +68,128 @@ def _renamed(run, text_column: str):
     return named
 
 
-def closest_pairs(ids: list[int], fps: list[int], radius: int) -> list[tuple[int, int]]:
-    """Pairs of rows within the radius: each row's NEAREST closest, and those that span the rows, the closest first.
+def partnered(fps: list[int], radius: int) -> list[bool]:
+    """For each row of a shard, whether another row is within the radius.
 
-    The closest fingerprint need not be the most similar text, so a row stands not by one pair alone.
+    Rows close to a fingerprint in the tree are kept beside it, and are asked about along with it.
     """
     tree = BKTree(fps[0])
-    rows: dict[int, int] = {0: 0}
-    pairs: list[tuple[int, int, int]] = []
+    beside: list[list[int]] = [[0]]
+    out = [False] * len(fps)
     for i in range(1, len(fps)):
-        near = sorted(((tree.values[n] ^ fps[i]).bit_count(), rows[n]) for n in tree.within(fps[i], radius))
-        pairs += [(d, j, i) for d, j in near[:1] if d <= CLOSE] or [(d, j, i) for d, j in near]
-        if not near or near[0][0] > CLOSE:
-            rows[tree.add(fps[i])] = i
-    pairs.sort()
-    parent, own = list(range(len(fps))), [0] * len(fps)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    out = []
-    for _, a, b in pairs:
-        x, y = root(a), root(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-        if x != y or own[a] < NEAREST or own[b] < NEAREST:
-            own[a] += 1
-            own[b] += 1
-            out.append((ids[a], ids[b]))
+        near = [((tree.values[n] ^ fps[i]).bit_count(), n) for n in tree.within(fps[i], radius + CLOSE)]
+        for _, n in near:
+            for j in beside[n]:
+                if not (out[i] and out[j]) and (fps[j] ^ fps[i]).bit_count() <= radius:
+                    out[i] = out[j] = True
+        closest = min(near, default=(radius, 0))
+        if near and closest[0] <= CLOSE:
+            beside[closest[1]].append(i)
+        else:
+            tree.add(fps[i])
+            beside.append([i])
     return out
 
 
-def _shards(radius: int):
-    """A task over rows (id, fp, then the columns that name the shard), sorted by shard: the pairs of each shard."""
+def links(ids: list[int], fps: list[int], sets: list[bytes] | None, radius: int, least: float) -> list[tuple[int, int]]:
+    """Pairs of rows within the radius that are similar, enough of them to link all that such pairs link.
+
+    Every pair is compared exactly unless links that were found already join its rows; without sets every pair is given.
+    """
+    fp, out = np.array(fps, np.uint64), []
+    if sets is None:
+        for i in range(1, len(fp)):
+            out += [(ids[j], ids[i]) for j in np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]) <= radius)]
+        return out
+    own = [np.frombuffer(s, np.uint32) for s in sets]
+    short = [s.astype(np.uint16) for s in own]
+    size, part = np.array([len(s) for s in own]), np.arange(len(own))
+    mark = np.zeros(1 << 16, np.bool_)
+    for i in range(1, len(own)):
+        far = np.bitwise_count(fp[:i] ^ fp[i])
+        rest = np.flatnonzero((far <= radius) & (np.minimum(size[:i], size[i]) >= least * np.maximum(size[:i], size[i])))
+        rest, step = rest[np.argsort(far[rest], kind="stable")], 1
+        while len(rest := rest[part[rest] != part[i]]):
+            now, rest, step = rest[:step], rest[step:], min(step * 4, 256)
+            if len(now) > 1:  # at most so many are shared, by 16 bits of each hash
+                mark[short[i]] = True
+                most = np.add.reduceat(mark[np.concatenate([short[j] for j in now])], np.cumsum([0, *size[now[:-1]]]), dtype=np.int64)
+                mark[short[i]] = False
+                now = now[most >= least * (size[now] + size[i] - most)]
+            for j in now:
+                if part[j] != part[i] and _similar(own[j], own[i], least):
+                    out.append((ids[j], ids[i]))
+                    part[part == part[j]] = part[i]
+    return out
+
+
+def _similar(s: np.ndarray, t: np.ndarray, least: float) -> bool:
+    shared = len(np.intersect1d(s, t, assume_unique=True))
+    return shared >= least * (len(s) + len(t) - shared)
+
+
+def _by_shard(found, names: list[str]):
+    """A task over rows whose last columns name the shard, sorted by shard: what found gives for the rows of each shard."""
 
     def run(batches):
-        held: list[tuple[int, int]] = []
+        held: list[tuple] = []
         current = None
 
-        def close() -> list[tuple[int, int]]:
-            if len(held) < 2:
-                return []
-            ids, fps = zip(*sorted(held), strict=True)
-            return [(min(p), max(p)) for p in closest_pairs(list(ids), [f & (1 << 64) - 1 for f in fps], radius)]
-
-        def table(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], ["a", "b"])
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], names)
 
         for batch in batches:
-            out: list[tuple[int, int]] = []
+            out: list[tuple] = []
             for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
-                if row[2:] != current:
-                    out += close()
-                    held, current = [], row[2:]
-                held.append(row[:2])
+                if row[-len(SHARD) :] != current:
+                    out += found(sorted(held), current) if len(held) > 1 else []
+                    held, current = [], row[-len(SHARD) :]
+                held.append(row[: -len(SHARD)])
             if out:
                 yield table(out)
-        if out := close():
+        if len(held) > 1 and (out := found(sorted(held), current)):
             yield table(out)
 
     return run
 
 
-def candidate_pairs(reps: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST) -> DataFrame:
-    """(a, b), a < b, of rows (id, fp, keys), each pair once."""
+def _unsigned(fps) -> list[int]:
+    return [f & (1 << 64) - 1 for f in fps]
+
+
+def candidate_pairs(reps: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST, sets=None, least: float = LEAST) -> DataFrame:
+    """(a, b), a < b, of rows (id, fp, keys), each pair once.
+
+    sets gives the table (id, s) for a table of ids: then a shard compares its pairs exactly and gives links that join
+    what its similar pairs join. Without it, all pairs within the radius are given.
+    """
     dealt = reps.select("id", "fp", "keys", F.posexplode("keys").alias("k", "key"))
-    large, _ = stored(dealt.groupBy("k", "key").count().where(F.col("count") > most).select("k", "key"), "large")
+    sizes, _ = stored(dealt.groupBy("k", "key").count().where("count > 1"), "sizes")
+    large = sizes.where(F.col("count") > most).select("k", "key")
     large = F.broadcast(large) if large.count() <= BROADCAST_MOST else large
-    first, second = ["k", "key"], ["k", "key", "k2", "key2"]
-    small = dealt.join(large, first, "left_anti").select("id", "fp", *first)
-    split = dealt.join(large, first).select("id", "fp", "k", "key", F.posexplode("keys").alias("k2", "key2")).where("k != k2")
-    found = [rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(_shards(radius), "a bigint, b bigint") for rows, names in ((small, first), (split, second))]
-    return stored(found[0].union(found[1]).distinct(), "candidates")[0]
+    small = dealt.join(sizes.where(F.col("count") <= most).select("k", "key"), ["k", "key"]).select("id", "fp", "k", "key", F.lit(-1).alias("k2"), F.lit(0).cast("bigint").alias("key2"))
+    split = dealt.join(large, ["k", "key"]).select("id", "fp", "k", "key", F.posexplode("keys").alias("k2", "key2")).where("k != k2")
 
+    def met(rows, shard):
+        ids, fps = zip(*rows, strict=True)
+        return [(*row, *shard) for row, yes in zip(rows, partnered(_unsigned(fps), radius), strict=True) if yes]
 
-def verified(docs: DataFrame, pairs: DataFrame, least: float = LEAST, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The pairs whose texts' sets of shingles, by 32-bit hashes, have at least the similarity.
+    def linked(rows, shard):
+        ids, fps, *own = zip(*rows, strict=True)
+        return [(min(p), max(p)) for p in links(list(ids), _unsigned(fps), own[0] if own else None, radius, least)]
 
-    Of several rows with one id that with the least set counts.
-    """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    columns = ["id", "fp", *SHARD]
+    sharded = small.union(split).repartition(*SHARD).sortWithinPartitions(*SHARD)
+    near, _ = stored(sharded.mapInArrow(_by_shard(met, columns), "id bigint, fp bigint, k bigint, key bigint, k2 bigint, key2 bigint"), "near")
+    if sets is not None:
+        near = near.join(sets(near.select("id").distinct()), "id").select("id", "fp", "s", *SHARD)
+    found = near.repartition(*SHARD).sortWithinPartitions(*SHARD).mapInArrow(_by_shard(linked, ["a", "b"]), "a bigint, b bigint")
+    return stored(found.distinct(), "candidates")[0]
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, s): the sorted 32-bit hashes of the shingles of each of the ids; of several rows with one id the least set counts."""
+    ends = ids.select(F.col("id").alias("end"))
     ends = F.broadcast(ends) if ends.count() <= BROADCAST_MOST else ends
     named = docs.select(F.col(id_column).cast("bigint").alias("id"), docs[text_column].cast("string").alias("text"))
 
@@ -157,15 +197,16 @@ def verified(docs: DataFrame, pairs: DataFrame, least: float = LEAST, width: int
         for piece in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([np.unique(shingles(t, width).astype(np.uint32)).tobytes() for t in texts(piece.column(1)).to_pylist()], pa.binary())], ["id", "s"])
 
-    own, _ = stored(named.join(ends, F.col("id") == F.col("end"), "left_semi").mapInArrow(sets, "id bigint, s binary").groupBy("id").agg(F.min("s").alias("s")), "shingles")
+    return stored(named.join(ends, F.col("id") == F.col("end"), "left_semi").mapInArrow(sets, "id bigint, s binary").groupBy("id").agg(F.min("s").alias("s")), "shingles")[0]
+
+
+def verified(docs: DataFrame, pairs: DataFrame, least: float = LEAST, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The pairs whose texts' sets of shingles, by 32-bit hashes, have at least the similarity."""
+    own = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width, id_column, text_column)
 
     def compare(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                shared = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(shared >= least * (len(s) + len(t) - shared))
+            keep = [_similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left = own.select(F.col("id").alias("a"), F.col("s").alias("sa"))
@@ -180,8 +221,7 @@ def groups(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_column:
     """
     sketched, _ = stored(sketches(docs, width, id_column, text_column), "sketches")
     reps, _ = stored(sketched.groupBy("sig").agg(F.min(F.struct("id", "fp", "keys")).alias("r")).select("sig", "r.*"), "representatives")
-    links, _ = stored(verified(docs, candidate_pairs(reps.select("id", "fp", "keys")), least, width, id_column, text_column), "similar")
-    roots = components(links)
+    roots = components(candidate_pairs(reps.select("id", "fp", "keys"), sets=lambda ids: shingle_sets(docs, ids, width, id_column, text_column), least=least))
     named = reps.select("sig", "id").join(roots, F.col("id") == F.col("node"), "left").select(F.col("sig").alias("s"), F.coalesce("root", "id").alias("component"))
     return sketched.select("id", "sig").join(named, F.col("sig") == F.col("s")).groupBy("id").agg(F.min("component").alias("component"))
 

@@ -135,3 +135,24 @@ def test_hot_shards_are_dealt_again(spark):
     small = neardup.components(neardup.verified(df, neardup.candidate_pairs(reps, most=5))).collect()
     whole = neardup.components(neardup.verified(df, neardup.candidate_pairs(reps))).collect()
     assert {(r.node, r.root) for r in small} == {(r.node, r.root) for r in whole}
+
+
+def template_rows(rng):
+    """A group of texts that share a passage, each pair below 0.8, and planted copies of 0.8 or more of some of them."""
+    words = ["w%d" % i for i in range(5000)]
+    shared = [rng.choice(words) for _ in range(170)]
+    rows = [(i, shared + [rng.choice(words) for _ in range(34)]) for i in range(300)]
+    for i in range(40):
+        own = list(rows[i][1])
+        for k in range(3):
+            own[4 + 50 * k + rng.randrange(40)] = rng.choice(words)
+        rows.append((1000 + i, own))
+    return [(i, " ".join(own)) for i, own in rows]
+
+
+def test_copies_among_texts_that_share_a_passage(spark):
+    rows = template_rows(random.Random(3))
+    want = similar_brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: r.component for r in neardup.groups(df).collect()} == want
+    assert sum(d != c for d, c in want.items()) >= 35
