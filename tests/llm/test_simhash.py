@@ -156,3 +156,27 @@ def test_copies_among_texts_that_share_a_passage(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.id: r.component for r in neardup.groups(df).collect()} == want
     assert sum(d != c for d, c in want.items()) >= 35
+
+
+def version_rows(rng):
+    """Triples: the second text is near the first, the third is similar to the second and too far from the first."""
+    words = ["w%d" % i for i in range(5000)]
+    rows = []
+    for n in range(30):
+        first = [rng.choice(words) for _ in range(304)]
+        second = list(first)
+        for k in (20, 40):
+            second[k] = "new%d" % k
+        third = list(second)
+        for k in range(80, 260, 30):
+            third[k] = "other%d" % k
+        rows += [(3 * n + k, " ".join(t)) for k, t in enumerate((first, second, third))]
+    return rows
+
+
+def test_a_text_close_to_another_keeps_its_own_links(spark):
+    rows = version_rows(random.Random(4))
+    want = similar_brute(rows)
+    assert want == {d: d - d % 3 for d, _ in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: r.component for r in neardup.groups(df).collect()} == want
