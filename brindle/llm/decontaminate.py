@@ -58,9 +58,9 @@ def _windows(texts: DataFrame, key: str, place: str) -> DataFrame:
 
 
 def alignments(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
-    """(doc, item, diagonal, windows, consistent): one row for each alignment of a document and an item.
+    """(doc, item, diagonal, places, consistent): one row for each alignment of a document and an item.
 
-    windows counts the item's windows that the alignment covers; consistent says that its slots answer each other.
+    places are those of the item's windows that the alignment covers; consistent says that its slots answer each other.
     """
     texts = docs.select(F.col(id_column).alias("doc"), F.col(text_column).cast("string").alias("text")).where("text is not null")
     items = benchmark.select(F.col(item_column).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null and item is not null")
@@ -80,23 +80,23 @@ def alignments(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     forth = pairs.groupBy("doc", "item", "diagonal", "theirs").agg(F.min("ours").alias("low"), F.max("ours").alias("high"))
     # One to one: each of their values has one of ours, and as many different ones of ours as of theirs.
     judged = forth.groupBy("doc", "item", "diagonal").agg((F.max((F.col("low") != F.col("high")).cast("int")) == 0).alias("one"), F.count("*").alias("n"), F.countDistinct("low").alias("m")).select(F.col("doc").alias("d"), F.col("item").alias("t"), F.col("diagonal").alias("g"), (F.col("one") & (F.col("n") == F.col("m"))).alias("consistent"))
-    counted = hits.groupBy("doc", "item", "diagonal").agg(F.count("*").alias("windows"))
+    counted = hits.groupBy("doc", "item", "diagonal").agg(F.collect_list("i").alias("places"))
     met = counted.join(judged, F.col("doc").eqNullSafe(F.col("d")) & (F.col("item") == F.col("t")) & (F.col("diagonal") == F.col("g")), "left")
-    return met.select("doc", "item", "diagonal", "windows", F.coalesce("consistent", F.lit(True)).alias("consistent"))
+    return met.select("doc", "item", "diagonal", "places", F.coalesce("consistent", F.lit(True)).alias("consistent"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.3, least_windows: int = 8, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
     """(doc, item, covered, windows) of each leak: consistent alignments cover enough of the item's windows.
 
-    Enough is the share least_share and at least least_windows windows, or the whole item if it has fewer. Several rows
+    A window that a document repeats counts once. Enough is the share least_share and at least least_windows windows, or the whole item if it has fewer. Several rows
     with one id count as one document; a null id is an id of its own; null texts and null items never match. An item of
     fewer than WIDTH words leaks only to a document that is just its words. An empty table on either side gives no rows.
     """
     sizes = benchmark.select(F.col(item_column).alias("item"), template_words(F.col("text").cast("string")).alias("words")).where("words is not null and item is not null")
     sizes = sizes.groupBy("item").agg(F.max(F.greatest(F.size("words") - WIDTH + 1, F.least(F.size("words"), F.lit(1)))).alias("windows"))
-    met = alignments(docs, benchmark, id_column, text_column, item_column).where("consistent").groupBy("doc", "item").agg(F.sum("windows").alias("total"))
-    covered = F.least(F.col("total"), F.col("windows").cast("bigint"))
-    leaks = met.join(sizes, "item").select("doc", "item", covered.alias("covered"), F.col("windows").cast("bigint").alias("windows"))
+    met = alignments(docs, benchmark, id_column, text_column, item_column).where("consistent")
+    met = met.select("doc", "item", F.explode("places").alias("i")).distinct().groupBy("doc", "item").agg(F.count("*").alias("covered"))
+    leaks = met.join(sizes, "item").select("doc", "item", "covered", F.col("windows").cast("bigint").alias("windows"))
     return leaks.where((F.col("covered") >= least_share * F.col("windows")) & ((F.col("covered") >= least_windows) | (F.col("covered") == F.col("windows"))))
 
 

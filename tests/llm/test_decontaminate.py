@@ -80,3 +80,11 @@ def test_query_covers_every_row(spark):
     got = queries.op3_decontaminate(spark, "/root/testdata/sf0.001")
     assert got.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     assert got.where("contaminated").count() > 0
+
+
+def test_a_repeated_line_covers_its_window_once(spark):
+    line = "the shop where many people work sold old bread"
+    item = "the shop where many people work sold new bread and cake to nobody else but them"
+    assert leaks(spark, [(1, (line + "\n") * 9, "x"), (2, "so " + item, "x")], [(7, item)]) == {(2, 7)}
+    shared = " ".join(item.split()[:8])
+    assert leaks(spark, [(1, "\n".join(f"{shared} w{k}" for k in range(9)), "x")], [(7, item)]) == set()
