@@ -5,10 +5,15 @@ and loses its punctuation. Windows of eight template words are joined by hash wi
 one document and one item that lie on one diagonal (document place minus item place) are one alignment. Where an
 alignment covers placeholders, the values must answer each other one to one: a question with other names and numbers
 passes, a page that only looks alike does not.
+
+A second template makes a placeholder of every capitalised word, those that open a sentence, a line or a quotation too.
+Its windows are joined along with those of the first, and its alignments are judged by its own slots.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,82 +26,101 @@ BROADCAST_MOST = 1_000_000
 #: Units that make a placeholder after a number.
 UNITS = "km|cm|mm|m|mi|ft|in|kg|g|mg|lb|oz|l|ml|s|ms|min|h|hr|hrs|hours|hour|minutes|seconds|days|day|weeks|years|year|meters|metres|miles|feet|inches|grams|kilograms|pounds|liters|litres|percent|dollars|euros|cents|usd|eur|mph|kmh|hz|khz|mhz|ghz|kb|mb|gb|tb|°c|°f|c|f|k|%"
 NAME = r"([\p{Ll},;›] )\p{Lu}\p{L}*"
+CAPITAL = r"(?<![\p{L}\p{N}])\p{Lu}\p{L}*"
 NUMBER = r"\p{Sc}?[0-9]+(?:[.,:/][0-9]+)*"
 UNIT = rf"(‹num› ?)(?:{UNITS})([^\p{{L}}\p{{N}}]|$)"
 PUNCTUATION = r"[^\p{L}\p{N}‹› \t\n\r\f\x0B]+"
 SPACE = r"[ \t\n\r\f\x0B]+"
 
 
-def _placed(text: Column) -> Column:
-    """The text with placeholders, lower-cased, its white space as it was."""
-    once = F.regexp_replace(F.regexp_replace(text, NAME, "$1‹name›"), NAME, "$1‹name›")
+def _placed(text: Column, capitals: bool = False) -> Column:
+    """The text with placeholders, lower-cased, its white space as it was; with capitals, every capitalised word is a name."""
+    once = F.regexp_replace(text, CAPITAL, "‹name›") if capitals else F.regexp_replace(F.regexp_replace(text, NAME, "$1‹name›"), NAME, "$1‹name›")
     return F.lower(F.regexp_replace(F.regexp_replace(once, NUMBER, "‹num›"), UNIT, "$1‹unit›$2"))
 
 
-def template_words(text: Column) -> Column:
+def template_words(text: Column, capitals: bool = False) -> Column:
     """The words of the template, as an array."""
-    return F.array_remove(F.split(F.regexp_replace(_placed(text), PUNCTUATION, ""), SPACE), "")
+    return F.array_remove(F.split(F.regexp_replace(_placed(text, capitals), PUNCTUATION, ""), SPACE), "")
 
 
-def template_slots(text: Column) -> Column:
+def template_slots(text: Column, capitals: bool = False) -> Column:
     """array<struct<word, value>>: the template's words again, each with what stands in the text at its place."""
-    words = F.transform(F.split(_placed(text), SPACE), lambda w: F.regexp_replace(w, PUNCTUATION, ""))
+    words = F.transform(F.split(_placed(text, capitals), SPACE), lambda w: F.regexp_replace(w, PUNCTUATION, ""))
     values = F.transform(F.split(text, SPACE), lambda w: F.regexp_replace(w, PUNCTUATION, ""))
     both = F.zip_with(words, values, lambda w, v: F.struct(w.alias("word"), v.alias("value")))
     return F.filter(both, lambda s: s["word"] != "")
 
 
-def _windows(texts: DataFrame, key: str, place: str) -> DataFrame:
-    """key, place, hash of every window of WIDTH template words; a shorter text is one window."""
-    hashed = texts.select(key, F.transform("words", lambda w: F.xxhash64(w)).alias("hs"))
-    count = F.size("hs")
-    rolled = F.when(
+def _rolled(hs: str) -> Column:
+    count = F.size(hs)
+    return F.when(
         count >= WIDTH,
-        F.transform(F.sequence(F.lit(0), F.greatest(count - WIDTH, F.lit(0))), lambda i: F.xxhash64(*(F.get(F.col("hs"), i + k) for k in range(WIDTH)))),
-    ).when(count > 0, F.array(F.xxhash64("hs", count)))
-    return hashed.select(key, F.posexplode(rolled).alias(place, "hash"))
+        F.transform(F.sequence(F.lit(0), F.greatest(count - WIDTH, F.lit(0))), lambda i: F.xxhash64(*(F.get(F.col(hs), i + k) for k in range(WIDTH)))),
+    ).when(count > 0, F.array(F.xxhash64(hs, count)))
+
 
+def _windows(texts: DataFrame, key: str, place: str, capitals: bool) -> DataFrame:
+    """key, place, hash, templates of every window of WIDTH template words; a shorter text is one window.
+
+    templates has bit 1 for a window of the first template and bit 2 for one of that with capitals.
+    """
+    hashed = lambda given: F.transform(template_words(F.col("text"), given), lambda w: F.xxhash64(w))
+    if not capitals:
+        return texts.select(key, hashed(False).alias("hs")).select(key, F.posexplode(_rolled("hs")).alias(place, "hash")).withColumn("templates", F.lit(1))
+    rolled = texts.select(key, hashed(False).alias("hs"), hashed(True).alias("cs")).select(key, F.posexplode(F.arrays_zip(_rolled("hs").alias("h"), _rolled("cs").alias("c"))).alias(place, "w"))
+    first = F.struct(F.col("w.h").alias("hash"), F.when(F.col("w.h").eqNullSafe(F.col("w.c")), 3).otherwise(1).alias("templates"))
+    both = F.when(F.col("w.h").eqNullSafe(F.col("w.c")), F.array(first)).otherwise(F.array(first, F.struct(F.col("w.c").alias("hash"), F.lit(2).alias("templates"))))
+    return rolled.select(key, place, F.explode(both).alias("w")).select(key, place, "w.hash", "w.templates").where("hash is not null")
 
-def alignments(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
-    """(doc, item, diagonal, places, consistent): one row for each alignment of a document and an item.
+
+def alignments(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", capitals: bool = True) -> DataFrame:
+    """(doc, item, template, diagonal, places, consistent): one row for each alignment of a document and an item in a template.
 
     places are those of the item's windows that the alignment covers; consistent says that its slots answer each other.
     """
     texts = docs.select(F.col(id_column).alias("doc"), F.col(text_column).cast("string").alias("text")).where("text is not null")
     items = benchmark.select(F.col(item_column).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null and item is not null")
-    bench = _windows(items.select("item", template_words(F.col("text")).alias("words")), "item", "i").groupBy("item", "hash").agg(F.min("i").alias("i"))
+    kinds = {1: False, 2: True} if capitals else {1: False}
+    each = lambda rows: rows.withColumn("template", F.explode(F.array(*map(F.lit, kinds)))).where("templates & template != 0").drop("templates")
+    bench = each(_windows(items, "item", "i", capitals)).groupBy("item", "template", "hash").agg(F.min("i").alias("i"))
+    bench = bench.groupBy("item", "hash", "i").agg(F.sum("template").cast("int").alias("asked"))
     bench = F.broadcast(bench) if bench.count() <= BROADCAST_MOST else bench
-    own = _windows(texts.select("doc", template_words(F.col("text")).alias("words")), "doc", "j")
-    hits, _ = stored(own.join(bench, "hash").select("doc", "item", (F.col("j") - F.col("i")).alias("diagonal"), "i").distinct(), "hits")
-
-    slots = items.select("item", F.posexplode(template_slots(F.col("text"))).alias("p", "slot")).where("slot.word like '%‹%'").select("item", "p", F.col("slot.value").alias("theirs"))
-    covered = hits.select("doc", "item", "diagonal", F.explode(F.sequence(F.col("i"), F.col("i") + WIDTH - 1)).alias("p"))
-    asked, _ = stored(covered.join(F.broadcast(slots) if slots.count() <= BROADCAST_MOST else slots, ["item", "p"]).distinct(), "slots")
-    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("item", "diagonal", "p", "theirs")).alias("wanted"))
+    own = _windows(texts, "doc", "j", capitals)
+    met = own.join(bench, "hash").select("doc", "item", (F.col("j") - F.col("i")).alias("diagonal"), "i", F.expr("templates & asked").alias("templates"))
+    hits, _ = stored(each(met).distinct(), "hits")
+
+    slotted = [items.select("item", F.lit(t).alias("template"), F.posexplode(template_slots(F.col("text"), c)).alias("p", "slot")) for t, c in kinds.items()]
+    slots = reduce(DataFrame.unionByName, slotted).where("slot.word like '%‹%'").select("item", "template", "p", F.col("slot.value").alias("theirs"))
+    covered = hits.select("doc", "item", "template", "diagonal", F.explode(F.sequence(F.col("i"), F.col("i") + WIDTH - 1)).alias("p"))
+    asked, _ = stored(covered.join(F.broadcast(slots) if slots.count() <= BROADCAST_MOST else slots, ["item", "template", "p"]).distinct(), "slots")
+    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("item", "template", "diagonal", "p", "theirs")).alias("wanted"))
     wanted = F.broadcast(wanted) if asked.count() <= BROADCAST_MOST else wanted  # else the texts are shuffled
     found = texts.withColumnRenamed("doc", "of").join(wanted, F.col("of").eqNullSafe(F.col("doc")))
-    values = found.select("doc", "wanted", template_slots(F.col("text")).alias("slots"))
-    pairs = values.select("doc", "slots", F.explode("wanted").alias("w")).select("doc", "w.*", F.get("slots", F.col("w.p") + F.col("w.diagonal"))["value"].alias("ours"))
-    forth = pairs.groupBy("doc", "item", "diagonal", "theirs").agg(F.min("ours").alias("low"), F.max("ours").alias("high"))
+    values = found.select("doc", "wanted", *(template_slots(F.col("text"), c).alias(f"slots{t}") for t, c in kinds.items()))
+    value = lambda t: F.get(f"slots{t}", F.col("w.p") + F.col("w.diagonal"))["value"]
+    pairs = values.select("*", F.explode("wanted").alias("w")).select("doc", "w.*", (F.when(F.col("w.template") == 1, value(1)).otherwise(value(2)) if capitals else value(1)).alias("ours"))
+    forth = pairs.groupBy("doc", "item", "template", "diagonal", "theirs").agg(F.min("ours").alias("low"), F.max("ours").alias("high"))
     # One to one: each of their values has one of ours, and as many different ones of ours as of theirs.
-    judged = forth.groupBy("doc", "item", "diagonal").agg((F.max((F.col("low") != F.col("high")).cast("int")) == 0).alias("one"), F.count("*").alias("n"), F.countDistinct("low").alias("m")).select(F.col("doc").alias("d"), F.col("item").alias("t"), F.col("diagonal").alias("g"), (F.col("one") & (F.col("n") == F.col("m"))).alias("consistent"))
-    counted = hits.groupBy("doc", "item", "diagonal").agg(F.collect_list("i").alias("places"))
-    met = counted.join(judged, F.col("doc").eqNullSafe(F.col("d")) & (F.col("item") == F.col("t")) & (F.col("diagonal") == F.col("g")), "left")
-    return met.select("doc", "item", "diagonal", "places", F.coalesce("consistent", F.lit(True)).alias("consistent"))
+    judged = forth.groupBy("doc", "item", "template", "diagonal").agg((F.max((F.col("low") != F.col("high")).cast("int")) == 0).alias("one"), F.count("*").alias("n"), F.countDistinct("low").alias("m")).select(F.col("doc").alias("d"), F.col("item").alias("t"), F.col("template").alias("k"), F.col("diagonal").alias("g"), (F.col("one") & (F.col("n") == F.col("m"))).alias("consistent"))
+    counted = hits.groupBy("doc", "item", "template", "diagonal").agg(F.collect_list("i").alias("places"))
+    met = counted.join(judged, F.col("doc").eqNullSafe(F.col("d")) & (F.col("item") == F.col("t")) & (F.col("template") == F.col("k")) & (F.col("diagonal") == F.col("g")), "left")
+    return met.select("doc", "item", "template", "diagonal", "places", F.coalesce("consistent", F.lit(True)).alias("consistent"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.3, least_windows: int = 8, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
-    """(doc, item, covered, windows) of each leak: consistent alignments cover enough of the item's windows.
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.3, least_windows: int = 8, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", capitals: bool = True) -> DataFrame:
+    """(doc, item, covered, windows, first) of each leak: consistent alignments cover enough of the item's windows.
 
-    A window that a document repeats counts once. Enough is the share least_share and at least least_windows windows, or the whole item if it has fewer. Several rows
+    A window that a document repeats counts once; first counts those covered in the first template. Enough is the share least_share and at least least_windows windows, or the whole item if it has fewer. Several rows
     with one id count as one document; a null id is an id of its own; null texts and null items never match. An item of
     fewer than WIDTH words leaks only to a document that is just its words. An empty table on either side gives no rows.
     """
     sizes = benchmark.select(F.col(item_column).alias("item"), template_words(F.col("text").cast("string")).alias("words")).where("words is not null and item is not null")
     sizes = sizes.groupBy("item").agg(F.max(F.greatest(F.size("words") - WIDTH + 1, F.least(F.size("words"), F.lit(1)))).alias("windows"))
-    met = alignments(docs, benchmark, id_column, text_column, item_column).where("consistent")
-    met = met.select("doc", "item", F.explode("places").alias("i")).distinct().groupBy("doc", "item").agg(F.count("*").alias("covered"))
-    leaks = met.join(sizes, "item").select("doc", "item", "covered", F.col("windows").cast("bigint").alias("windows"))
+    met = alignments(docs, benchmark, id_column, text_column, item_column, capitals).where("consistent")
+    met = met.select("doc", "item", (F.col("template") == 1).cast("bigint").alias("first"), F.explode("places").alias("i")).groupBy("doc", "item", "i").agg(F.max("first").alias("first"))
+    met = met.groupBy("doc", "item").agg(F.count("*").alias("covered"), F.sum("first").alias("first"))
+    leaks = met.join(sizes, "item").select("doc", "item", "covered", F.col("windows").cast("bigint").alias("windows"), "first")
     return leaks.where((F.col("covered") >= least_share * F.col("windows")) & ((F.col("covered") >= least_windows) | (F.col("covered") == F.col("windows"))))
 
 
@@ -108,8 +132,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """One row for each row of docs: id, contaminated, n_items, items (item ids in order, comma-joined), n_windows."""
+    """One row for each row of docs: id, contaminated, n_items, items (item ids in order, comma-joined), n_windows.
+
+    Leaks are found in both templates; n_windows counts the windows covered in the first.
+    """
     leaks = contaminated(docs, benchmark, id_column=id_column, **options)
-    by_doc = leaks.groupBy("doc").agg(F.count("*").alias("n_items"), F.array_join(F.transform(F.array_sort(F.collect_set("item")), lambda x: x.cast("string")), ",").alias("items"), F.sum("covered").alias("n_windows"))
+    by_doc = leaks.groupBy("doc").agg(F.count("*").alias("n_items"), F.array_join(F.transform(F.array_sort(F.collect_set("item")), lambda x: x.cast("string")), ",").alias("items"), F.sum("first").alias("n_windows"))
     joined = docs.select(id_column).join(by_doc, F.col(id_column).eqNullSafe(F.col("doc")), "left")
     return joined.select(id_column, (F.coalesce("n_items", F.lit(0)) > 0).alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"), F.coalesce("items", F.lit("")).alias("items"), F.coalesce("n_windows", F.lit(0)).cast("bigint").alias("n_windows"))

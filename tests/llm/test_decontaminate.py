@@ -88,3 +88,11 @@ def test_a_repeated_line_covers_its_window_once(spark):
     assert leaks(spark, [(1, (line + "\n") * 9, "x"), (2, "so " + item, "x")], [(7, item)]) == {(2, 7)}
     shared = " ".join(item.split()[:8])
     assert leaks(spark, [(1, "\n".join(f"{shared} w{k}" for k in range(9)), "x")], [(7, item)]) == set()
+
+
+def test_names_that_open_sentences(spark):
+    bench = [(1, "Betty is saving 100 dollars for a wallet. Betty has half of it. Betty gets 15 dollars from Anna. How much more does Betty need?"), (2, "Mark has 24 pens and gives 6 to each friend. How many friends get pens?")]
+    docs = [(1, "Carla is saving 70 dollars for a wallet. Carla has half of it. Carla gets 20 dollars from Dora. How much more does Carla need?", "x"), (2, 'a line\n"Paul has 36 pens and gives 4 to each friend. How many friends get pens?"', "x"), (3, bench[1][1], "x")]
+    wrong = [(4, "Carla is saving 70 dollars for a wallet. Emma has half of it. Fay gets 20 dollars from Dora. How much more does Gina need?", "x")]
+    assert leaks(spark, docs + wrong, bench) == {(1, 1), (2, 2), (3, 2)}
+    assert leaks(spark, docs + wrong, bench, capitals=False) == {(3, 2)}
