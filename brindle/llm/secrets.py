@@ -34,12 +34,13 @@ NAME_WEIGHTS = {
 
 TOKEN = re.compile(
     r"""(?P<comment>(?:\#|//)[^\n]*)
-    |(?P<string>"(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+')
+    |(?P<quote>["'])
     |(?P<word>[^\W\d][\w.$-]*+|[A-Za-z0-9+/_.=-]{8,}+)
     |(?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){}\[\]\n])
     |(?P<other>\S)""",
     re.X,
 )
+STRINGS = {'"': re.compile(r'"(?:\\.|[^"\\\n])*+"'), "'": re.compile(r"'(?:\\.|[^'\\\n])*+'")}
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 ASSIGNS = {"=", ":", ":=", "=>"}
 
@@ -60,16 +61,36 @@ def randomness(literal: str) -> float:
     return min(bits, 4.0) / 2 + 0.5 * (kinds - 1) - (0.5 if n < 10 else 0.0)
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """(name, literal spans) of each assignment; names assigned from other names get the literals of those.
+def _tokens(text: str, at: int, end: int) -> list[tuple[str, str, int, int]]:
+    """(kind, text, start, end) of the tokens but for comments. A quote that no other closes on its line is a sign by itself."""
+    out = []
+    open_till = dict.fromkeys(STRINGS, -1)  # from a quote that nothing closes, no later one of its kind is closed on the line
+    while m := TOKEN.search(text, at, end):
+        kind, at = m.lastgroup, m.end()
+        if kind == "quote":
+            kind = "other"
+            if m.start() >= open_till[m[0]]:
+                whole = STRINGS[m[0]].match(text, m.start(), end)
+                if whole:
+                    m, kind, at = whole, "string", whole.end()
+                else:
+                    stop = text.find("\n", m.start(), end)
+                    open_till[m[0]] = end if stop < 0 else stop
+        if kind != "comment":
+            out.append((kind, m[0], m.start(), m.end()))
+    return out
+
+
+def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[int]]]:
+    """(name, spans of its own literals, numbers of the assignments whose names it takes on) of each assignment.
 
     Only lines with `=` or `:`, and the lines that they go on in, are lexed: no other line holds an assignment.
     """
-    constants: dict[str, list[tuple[int, int]]] = {}
-    at = 0
+    constants: dict[str, int] = {}
+    at = nth = 0
     for start, end in _regions(text):
         at = max(at, start)
-        tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in TOKEN.finditer(text, at, end) if m.lastgroup != "comment"]
+        tokens = _tokens(text, at, end)
         at = end
         i = 0
         while i + 1 < len(tokens):
@@ -80,6 +101,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
             name = name.strip("\"'")
             i += 2
             spans: list[tuple[int, int]] = []
+            taken: list[int] = []
             while i < len(tokens):
                 while i < len(tokens) and tokens[i][1] in ("\n", "("):
                     i += 1
@@ -91,7 +113,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
                 if kind == "string":
                     spans.append((a + 1, b - 1))
                 elif value in constants:
-                    spans += constants[value]
+                    taken.append(constants[value])
                 else:
                     spans.append((a, b))
                 i += 1
@@ -99,28 +121,34 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
                     i += 1
                     continue
                 break
-            if spans:
-                constants[name] = spans
-                yield name, spans
+            if spans or taken:
+                yield name, spans, taken
+                constants[name] = nth
+                nth += 1
 
 
 def _regions(text: str) -> Iterator[tuple[int, int]]:
     """Runs of lines to lex: those with an assignment sign, and each line after one that ends in a sign that goes on."""
-    at, n, done = 0, len(text), 0
-    while at < n:
-        signs = [p for p in (text.find("=", at), text.find(":", at)) if p >= 0]
-        if not signs:
+    n, done = len(text), 0
+    signs = {"=": -1, ":": -1}
+    while done < n:
+        for sign, p in signs.items():  # n: there is no further one
+            if p < done:
+                found = text.find(sign, done)
+                signs[sign] = n if found < 0 else found
+        sign = min(signs.values())
+        if sign == n:
             return
-        start = max(done, text.rfind("\n", done, min(signs)) + 1)
-        end = text.find("\n", min(signs))
-        while end >= 0 and text[start:end].rstrip()[-1:] in ("=", ":", "+", "(", "\\"):
-            start_next = end + 1
-            end = text.find("\n", start_next)
-            if not text[start_next : end if end >= 0 else n].strip():
+        start = max(done, text.rfind("\n", done, sign) + 1)
+        line, end = start, text.find("\n", sign)
+        while end >= 0 and text[line:end].rstrip()[-1:] in ("=", ":", "+", "(", "\\"):
+            line = end + 1
+            end = text.find("\n", line)
+            if not text[line : end if end >= 0 else n].strip():
                 break
         end = n if end < 0 else end
         yield start, end
-        at = done = end
+        done = end
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -136,9 +164,13 @@ def named_spans(text: str, threshold: float) -> list[tuple[str, int, int, float]
     """Literals whose names and looks together reach the threshold; each literal once, with its best score."""
     if "=" not in text and ":" not in text:
         return []
+    found = list(assignments(text))
+    reach = [name_weight(name) for name, _, _ in found]
+    for i in range(len(found) - 1, -1, -1):  # a literal counts by the most sensitive name that takes it on
+        for taken in found[i][2]:
+            reach[taken] = max(reach[taken], reach[i])
     best: dict[tuple[int, int], float] = {}
-    for name, spans in pairs(text):
-        weight = name_weight(name)
+    for weight, (_, spans, _) in zip(reach, found, strict=True):
         if weight < 1.0:
             continue
         for span in spans:
@@ -160,7 +192,8 @@ def scan_secrets(docs: DataFrame, threshold: float = 4.5, id_column: str = "doc_
     """One row a document: id, spans array<struct<kind, start, end, score>> (code points, end exclusive) by start.
 
     Rows are looked at one by one, with no shuffle; copies of a row give equal rows. A null text counts as empty and
-    has no spans; a null id stays null. Other columns are left out, whatever their names.
+    has no spans; a null id stays null; an empty table gives no rows. Other columns are left out, whatever their names.
+    Whole texts are lexed in time that grows with their length, names assigned from themselves or in long chains too.
     """
     id_type = docs.schema[id_column].dataType.simpleString()
 

@@ -55,3 +55,29 @@ def test_query(spark, tmp_path):
         assert set(base.split(",")) - {""} <= set(r.spans.split(","))
         assert r.n_assign == sum(k == "assign" for k, _, _ in plain_base(text))
     assert secrets.scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_names_assigned_from_themselves():
+    text = 'password = "Zq81mvPx72Lw"\n' + "password = password + password\n" * 60
+    assert named(text) == ["Zq81mvPx72Lw"]
+    chain = 'k0 = "Zq81mvPx72Lw"\n' + "".join(f"k{i + 1} = k{i} + k{i}\n" for i in range(3000)) + "client_secret = k3000\n"
+    assert named(chain) == ["Zq81mvPx72Lw"]
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    for make in (lambda n: 'x = ' + '\\"' * n, lambda n: "a = 1\n" * n, lambda n: "a = +\n" * n, lambda n: "c = c + 'x1y2z3w4'\n" * n, lambda n: "it's = " * n):
+        took = []
+        for n in (4000, 32_000):
+            text = make(n)
+            began = time.perf_counter()
+            secrets.named_spans(text, 4.5)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 24 * max(took[0], 0.01), (took, text[:30])
+
+
+def test_other_columns_and_types(spark):
+    df = spark.createDataFrame([("a", "token = 'Zq81mvPx72Lw99'", 1), (None, None, 2)], "doc_id string, text string, score int")
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(df).collect()}
+    assert [s.kind for s in got["a"]] == ["assign", "named"] and got[None] == []
