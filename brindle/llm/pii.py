@@ -1,9 +1,9 @@
 """Personal data by a character-level bidirectional LSTM with CRF transitions, trained and run in numpy.
 
 A text is a line of character classes in which the inside of a run of letters is left out: where a word begins and ends
-is known, its length isn't. Windows of WINDOW classes that overlap by half are decoded by Viterbi; each place takes its
-label from the window that it is most central in, and the labels of the whole text are then cut into spans. Windows
-that look alike have one decoding, which is kept, so that each distinct window runs through the network once.
+is known, its length isn't. Windows of WINDOW classes that overlap by half run through the network; a place's label
+scores are the mean of those that its two windows give it, and one Viterbi pass over the whole text decodes them. Windows
+that look alike have the same scores, which are kept, so that each distinct window runs through the network once.
 
 Four fixed patterns are searched beside it and their spans always stay; the network adds spans that don't touch them
 and that hold up as numbers (digits, parts, check digit).
@@ -22,12 +22,15 @@ from .common import slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
 NET_KINDS = tuple(f"net_{k}" for k in KINDS)
-WINDOW, CENTRE = 32, 16
-EDGE = (WINDOW - CENTRE) // 2
+WINDOW, STEP = 32, 16
 HIDDEN = 12
 LABELS = 1 + 2 * len(KINDS)  # outside, and begin and inside of each kind
-#: Decodings kept by a task; only speed depends on it.
-WINDOWS_KEPT = 200_000
+#: Windows whose scores a task keeps (576 bytes each); only speed depends on it.
+WINDOWS_KEPT = 50_000
+#: Bytes of text that a task works on at a time.
+SLICE = 3 << 19
+#: What a forbidden transition costs: an inside label must follow its own kind.
+NEVER = -1e4
 
 LETTER, DIGIT, SPACE, BREAK, OTHER, PAD = 0, 2, 3, 4, 14, 15
 _CLASS = np.full(128, OTHER, np.uint8)
@@ -75,7 +78,7 @@ def base_spans(text: str, has_digit: bool = True) -> list[tuple[str, int, int]]:
         at = m.start()
         while len(parts) >= 4:
             size = sum(map(len, parts[:4])) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts[:4]):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts[:4]):
                 found.append(("ip", at, at + size))
             at += size + 1
             parts = parts[4:]
@@ -107,6 +110,13 @@ def _sig(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def allowed() -> np.ndarray:
+    """LABELS x LABELS: whether a label may follow another; an inside label follows the begin or inside label of its kind."""
+    label = np.arange(LABELS)
+    inside = (label > 0) & (label % 2 == 0)
+    return ~inside[None, :] | ((label[:, None] + 1) // 2 == (label[None, :] + 1) // 2)
+
+
 class Tagger:
     """The network: class rows as inputs, an LSTM each way, label scores, and CRF transitions."""
 
@@ -120,6 +130,7 @@ class Tagger:
             self.p[f"W{side}"][:, h : 2 * h] += 1  # the forget gate starts open
         self.p |= {"O": rng.normal(0, 0.3, (2 * h, LABELS)).astype(np.float32), "o": np.zeros(LABELS, np.float32), "T": np.zeros((LABELS, LABELS), np.float32)}
         self.known: dict[bytes, bytes] = {}
+        self.p["T"][~allowed()] = NEVER
 
     def emissions(self, x: np.ndarray, keep: bool = False):
         """Label scores, time x batch x labels, of the class windows x (batch x time)."""
@@ -208,14 +219,14 @@ class Tagger:
             g[f"W{side}"], g[f"U{side}"] = d_w, d_u
         return float((z - gold).mean()), g
 
-    def labels(self, line: np.ndarray) -> np.ndarray:
-        """The label of each place of a line of classes, each from the window that it is most central in."""
-        n = -(-len(line) // CENTRE)
+    def scores(self, line: np.ndarray) -> np.ndarray:
+        """Label scores of each place of a line of classes: the mean of those of the two windows that hold it."""
+        n = -(-len(line) // STEP)
         if not n:
-            return np.zeros(0, np.uint8)
-        padded = np.full(EDGE + n * CENTRE + EDGE, PAD, np.uint8)
-        padded[EDGE : EDGE + len(line)] = line
-        windows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::CENTRE]
+            return np.zeros((0, LABELS), np.float32)
+        padded = np.full((n + 1) * STEP + STEP, PAD, np.uint8)
+        padded[STEP : STEP + len(line)] = line
+        windows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STEP]
         packed = np.ascontiguousarray(windows[:, ::2] << 4 | windows[:, 1::2])
         halves = packed.view(np.uint64)
         with np.errstate(over="ignore"):
@@ -227,13 +238,79 @@ class Tagger:
         keys = [packed[i].tobytes() for i in first]
         if len(self.known) > WINDOWS_KEPT:
             self.known.clear()
-        fresh = [k for k, key in enumerate(keys) if key not in self.known]
+        table = np.empty((len(keys), WINDOW, LABELS), np.float16)
+        fresh = []
+        for k, key in enumerate(keys):
+            if (kept := self.known.get(key)) is None:
+                fresh.append(k)
+            else:
+                table[k] = np.frombuffer(kept, np.float16).reshape(WINDOW, LABELS)
         for a in range(0, len(fresh), 2048):
             part = fresh[a : a + 2048]
-            path = self.viterbi(self.emissions(windows[first[part]]))[:, EDGE : EDGE + CENTRE]
-            self.known.update((keys[k], p.tobytes()) for k, p in zip(part, path, strict=True))
-        table = np.frombuffer(b"".join(self.known[k] for k in keys), np.uint8).reshape(-1, CENTRE)
-        return table[which].ravel()[: len(line)]
+            table[part] = self.emissions(windows[first[part]]).transpose(1, 0, 2)
+        for k in fresh[: WINDOWS_KEPT]:
+            self.known[keys[k]] = table[k].tobytes()
+        # Window w covers the steps w - 1 and w of the line.
+        sums = table[which[1:], :STEP].astype(np.float32) + table[which[:-1], STEP:]
+        sums *= np.float32(0.5)  # transitions were learnt beside the scores of one window
+        return sums.reshape(-1, LABELS)[: len(line)]
+
+    def _outside(self, scores: np.ndarray, forced: np.ndarray) -> np.ndarray:
+        """The places that are outside on every best path, and the forced ones.
+
+        Were such a place in a span, turning the span into outside labels would win: for no kind do the scores of a begin
+        label and the inside labels after it, up to the place or beyond, with all that transitions can add, make up for
+        those of outside labels.
+        """
+        t_scores = self.p["T"].astype(np.float64)
+        base = scores[:, 0].astype(np.float64)
+        sure = np.ones(len(scores), bool)
+        for begin in range(1, LABELS, 2):
+            inside = begin + 1
+            stay = scores[:, inside] - base + (t_scores[inside, inside] - t_scores[0, 0])
+            stay[forced] = -1e6
+            total = np.cumsum(stay)
+            start = scores[:, begin] - base - total
+            start[forced] = -1e9
+            most = np.maximum.accumulate(start) + np.maximum.accumulate(total[::-1])[::-1]
+            before = (t_scores[:, begin] - t_scores[:, 0]).max()
+            first = max(0.0, t_scores[begin, inside] - t_scores[inside, inside])
+            after = max((t_scores[k, y] - t_scores[0, y]) for k in (begin, inside) for y in (0, *range(1, LABELS, 2)))
+            sure &= most + before + first + after < -1e-2
+        return sure | forced
+
+    def labels(self, line: np.ndarray) -> np.ndarray:
+        """The labels of a line of classes, decoded as a whole; a place of class PAD is outside and parts what lies around it.
+
+        The stretches between places that are surely outside are decoded by themselves, together, which gives the same
+        labels as decoding the line from end to end.
+        """
+        scores = self.scores(line)
+        out = np.zeros(len(line), np.uint8)
+        if not len(line):
+            return out
+        t_scores = self.p["T"]
+        sure = self._outside(scores, line == PAD)
+        edge = np.diff(np.concatenate([[1], sure.astype(np.int8), [1]]))
+        begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sizes = end - begin
+        order = np.argsort(sizes, kind="stable")
+        at = 0
+        while at < len(order):
+            # Stretches of about one length, so that little is decoded in vain, and no more than a bounded number of places.
+            longest = max(8, int(sizes[order[at]] * 5 // 4))
+            to = min(int(np.searchsorted(sizes[order], longest, side="right")), at + max(1, (1 << 19) // longest))
+            own = order[at:to]
+            at = to
+            steps = int(sizes[own].max())
+            place = begin[own][:, None] + np.arange(steps)
+            inside = np.arange(steps) < sizes[own][:, None]
+            block = scores[np.where(inside, place, 0)]
+            block[~inside] = NEVER
+            block[~inside, 0] = 0
+            block[:, 0] += t_scores[0]  # what lies before a stretch is outside, and what comes after it too
+            out[place[inside]] = self.viterbi(np.concatenate([block, np.broadcast_to(np.where(np.arange(LABELS) == 0, 0, NEVER), (len(own), 1, LABELS))], axis=1).transpose(1, 0, 2).astype(np.float32))[:, :steps][inside]
+        return out
 
     def __getstate__(self) -> dict:
         return {"p": self.p}
@@ -296,7 +373,7 @@ def coded(text: str) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=4)
-def trained(steps: int = 500, size: int = 96, rate: float = 0.02, seed: int = 3) -> Tagger:
+def trained(steps: int = 800, size: int = 96, rate: float = 0.02, seed: int = 3) -> Tagger:
     """A tagger trained on made-up texts with labelled spans, alike for the same arguments."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
@@ -308,8 +385,8 @@ def trained(steps: int = 500, size: int = 96, rate: float = 0.02, seed: int = 3)
             label[a:b] = 2 + 2 * kind
             label[a] = 1 + 2 * kind
         stay = reduced(cls)
-        line = np.concatenate([np.full(EDGE, PAD, np.uint8), cls[stay], np.full(WINDOW, PAD, np.uint8)])
-        gold = np.concatenate([np.zeros(EDGE, np.uint8), label[stay], np.zeros(WINDOW, np.uint8)])
+        line = np.concatenate([np.full(STEP, PAD, np.uint8), cls[stay], np.full(WINDOW, PAD, np.uint8)])
+        gold = np.concatenate([np.zeros(STEP, np.uint8), label[stay], np.zeros(WINDOW, np.uint8)])
         for start in range(int(rng.integers(0, 8)), len(line) - WINDOW, 11):
             xs.append(line[start : start + WINDOW])
             ys.append(gold[start : start + WINDOW])
@@ -325,6 +402,7 @@ def trained(steps: int = 500, size: int = 96, rate: float = 0.02, seed: int = 3)
             m1 += 0.1 * (v - m1)
             m2 += 0.01 * (v * v - m2)
             net.p[k] -= (lr * (m1 / (1 - 0.9**turn)) / (np.sqrt(m2 / (1 - 0.99**turn)) + 1e-6)).astype(np.float32)
+        net.p["T"][~allowed()] = NEVER
     return net
 
 
@@ -373,14 +451,15 @@ def find_spans(net: Tagger, batch: list[str]) -> list[list[tuple[str, int, int]]
 def scan_pii(docs: DataFrame, net: Tagger | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id and spans array<struct<kind, start, end>> (code points, end exclusive; by kind, then start) of every row.
 
-    A null or empty text has no spans; null ids stay; repeated rows give equal rows; other columns are left out.
+    A null or empty text has no spans; null ids stay; repeated rows give equal rows; an empty table gives no rows; other
+    columns are left out, whatever their names. Texts may be of any length and hold runs of digits of any length.
     """
     net = net or trained()
     id_type = docs.schema[id_column].dataType.simpleString()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for piece in slices(batches, text_column, 3 << 20):
+        for piece in slices(batches, text_column, SLICE):
             spans = [[{"kind": k, "start": a, "end": b} for k, a, b in own] for own in find_spans(net, texts(piece.column(1)).to_pylist())]
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(spans, kind)], [id_column, "spans"])
 
@@ -389,7 +468,10 @@ def scan_pii(docs: DataFrame, net: Tagger | None = None, id_column: str = "doc_i
 
 
 def redact(docs: DataFrame, net: Tagger | None = None, text_column: str = "text") -> DataFrame:
-    """The rows, all columns, with each span of the text replaced by its kind in angle brackets; null texts stay null."""
+    """The rows, all columns, with each span of the text replaced by its kind in angle brackets.
+
+    Null texts stay null and empty ones empty; repeated rows give equal rows; an empty table gives no rows.
+    """
     net = net or trained()
     schema = docs.schema
     at = schema.fieldNames().index(text_column)
@@ -404,7 +486,7 @@ def redact(docs: DataFrame, net: Tagger | None = None, text_column: str = "text"
 
     def run(batches):
         for batch in batches:
-            for piece in slices([batch], batch.schema.names[at], 3 << 20):
+            for piece in slices([batch], batch.schema.names[at], SLICE):
                 own = piece.column(at).to_pylist()
                 spans = find_spans(net, [t or "" for t in own])
                 clean = [t if t is None else cover(t, s) for t, s in zip(own, spans, strict=True)]
