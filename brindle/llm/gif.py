@@ -3,7 +3,11 @@
 The decoder takes any GIF87a or GIF89a. All frames of a batch are decoded together in numpy: within a run of codes
 between two clear codes the code widths follow from the codes' places alone, an entry's string lies in the output just
 where the code before it was written, and so every output byte is a pointer to an earlier one; doubling the pointers
-resolves them all. The encoder stores bytes as grey levels, literal codes only, which any decoder reads.
+resolves them all.
+
+The encoder stores bytes as colours of a fixed palette, one canvas of SIDE x SIDE bytes after the other. Its frames use
+dictionary codes, three kinds of disposal in turn (kept, put back to what was before, cleared), and a transparent colour
+where a canvas shows what lies under it anyway, if there is a colour that the canvas doesn't use.
 """
 
 from __future__ import annotations
@@ -21,7 +25,12 @@ from .common import slices, texts
 
 SIDE = 24
 FRAME = SIDE * SIDE
-GREYS = bytes(v for level in range(256) for v in (level, level, level))
+#: The colour of a byte: three bits of red, three of green, two of blue, at levels that keep them apart.
+PALETTE = np.array([(b >> 5 << 5, (b >> 2 & 7) << 5, (b & 3) << 6) for b in range(256)], np.uint8)
+#: Disposal of the frames in turn, and which earlier frame's canvas each is drawn over (0: none, the canvas is clear).
+DISPOSALS, UNDER = (1, 3, 2, 1), (1, 1, 2, 0)
+#: Pixels that a canvas or a frame may have; more is taken for damage.
+PIXELS_MOST = 1 << 24
 
 
 @dataclass
@@ -60,15 +69,20 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 
 def parse(data: bytes) -> Gif:
-    """The blocks of a GIF file; pixels are still compressed. ValueError if it is none."""
+    """The blocks of a GIF file; pixels are still compressed. ValueError if it is none, or if it is damaged: a canvas or
+    frames of more than PIXELS_MOST pixels, a code size out of range, a block that is cut off."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack("<HHBBB", data[6:13])
+    if width * height > PIXELS_MOST:
+        raise ValueError("the canvas is too large")
     at = 13
 
     def table(flags: int, at: int) -> tuple[np.ndarray, int]:
         n = 3 * (2 << (flags & 7))
-        return np.frombuffer(data[at : at + n].ljust(n, b"\0"), np.uint8).reshape(-1, 3), at + n
+        if at + n > len(data):
+            raise ValueError("a palette is cut off")
+        return np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3), at + n
 
     palette = np.zeros((256, 3), np.uint8)
     if flags & 0x80:
@@ -78,6 +92,8 @@ def parse(data: bytes) -> Gif:
     while at < len(data):
         mark = data[at]
         if mark == 0x21:
+            if at + 1 >= len(data):
+                raise ValueError("a block is cut off")
             label = data[at + 1]
             body, at = _blocks(data, at + 2)
             if label == 0xF9 and len(body) >= 4:
@@ -86,11 +102,17 @@ def parse(data: bytes) -> Gif:
             elif label == 0xFF and body[:11] == b"NETSCAPE2.0" and len(body) >= 14:
                 loops = struct.unpack("<H", body[12:14])[0]
         elif mark == 0x2C:
+            if at + 10 > len(data):
+                raise ValueError("a block is cut off")
             left, top, w, h, own = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+            if w * h > PIXELS_MOST:
+                raise ValueError("a frame is too large")
             at += 10
             colours = palette
             if own & 0x80:
                 colours, at = table(own, at)
+            if at >= len(data) or not 2 <= data[at] <= 11:
+                raise ValueError("no code size")
             min_code = data[at]
             body, at = _blocks(data, at + 1)
             frames.append(Frame(left, top, w, h, colours, bool(own & 0x40), disposal, transparent, delay, min_code, body))
@@ -156,45 +178,45 @@ def _decode_alike(streams: list[bytes], min_code: int, sizes: list[int]) -> list
 def _strings(code: np.ndarray, used: np.ndarray, clear: int) -> list[np.ndarray]:
     """The output of each row's first `used` codes.
 
-    Entry clear+2+j is the string of code j and one byte more, and it lies in the output where code j begins.
+    Entry clear+2+j is the string of code j and one byte more, and it lies in the output where code j begins. All rows'
+    codes lie in one line, and so do their outputs.
     """
     rows, n = code.shape
-    step = np.arange(n)
-    valid = step[None, :] < used[:, None]
-    literal = code < clear
-    parent = np.where(literal | ~valid, step[None, :], np.minimum(code - clear - 2, step[None, :]))
-    if bool((valid & ~literal & (code - clear - 2 >= step[None, :])).any()):
+    valid = np.arange(n)[None, :] < used[:, None]
+    codes = code[valid].astype(np.int64)
+    first = np.cumsum(used) - used
+    base = np.repeat(first, used)
+    place = np.arange(len(codes))
+    literal = codes < clear
+    entry = np.where(literal, place, codes - clear - 2 + base)  # the code that an entry's string begins with
+    if bool((~literal & ((codes < clear + 2) | (entry >= place))).any()):
         raise ValueError("a code that isn't known yet")
-    if bool(literal[valid].all()):  # no entry is used
-        return [code[r, : used[r]].astype(np.uint8) for r in range(rows)]
-    length = np.where(parent == step[None, :], 0, 1)
-    jump = parent
+    if bool(literal.all()):
+        return np.split(codes.astype(np.uint8), first[1:])
+    # Lengths: the steps to a literal, by doubling.
+    length, jump = np.where(literal, 0, 1), entry
     while True:
-        further = np.take_along_axis(jump, jump, 1)
+        further = jump[jump]
         if bool((further == jump).all()):
             break
-        length = length + np.take_along_axis(length, jump, 1)
+        length = length + length[jump]
         jump = further
-    length = np.where(valid, length + 1, 0)
-    begin = np.cumsum(length, axis=1) - length
-    out = []
-    for r in range(rows):
-        u = int(used[r])
-        lens, begins, codes = length[r, :u], begin[r, :u], code[r, :u]
-        total = int(lens.sum())
-        place = np.arange(total)
-        owner = np.repeat(np.arange(u), lens)
-        lit = codes < clear
-        source = np.where(lit[owner], place, begins[np.where(lit, 0, codes - clear - 2)[owner]] + place - begins[owner])
-        while True:
-            further = source[source]
-            if bool((further == source).all()):
-                break
-            source = further
-        values = np.zeros(total, np.uint8)
-        values[begins[lit]] = codes[lit]
-        out.append(values[source])
-    return out
+    length = length + 1
+    begin = np.cumsum(length) - length
+    total = int(length.sum())
+    owner = np.repeat(place, length)
+    at = np.arange(total)
+    source = np.where(literal[owner], at, begin[entry[owner]] + at - begin[owner])
+    while True:
+        further = source[source]
+        if bool((further == source).all()):
+            break
+        source = further
+    values = np.zeros(total, np.uint8)
+    values[begin[literal]] = codes[literal]
+    out = values[source]
+    ends = np.concatenate([begin, [total]])[first[1:]] if rows > 1 else []
+    return np.split(out, ends)
 
 
 def decode(files: list[bytes]) -> list[Gif]:
@@ -213,19 +235,30 @@ def decode(files: list[bytes]) -> list[Gif]:
     return gifs
 
 
+def _colours(palette: np.ndarray) -> np.ndarray:
+    """The 256 opaque colours of a palette; black beyond its end."""
+    table = np.zeros((256, 4), np.uint8)
+    table[: len(palette), :3] = palette
+    table[:, 3] = 255
+    return table
+
+
 def composed(gif: Gif):
     """(start in hundredths of a second, delay, RGBA canvas) of each frame, by disposal and transparency."""
     canvas = np.zeros((gif.height, gif.width, 4), np.uint8)
     clock = 0
+    tables: dict[int, np.ndarray] = {}
     for f in gif.frames:
+        if id(f.palette) not in tables:
+            tables[id(f.palette)] = _colours(f.palette)
         saved = canvas.copy() if f.disposal == 3 else None
         h, w = max(0, min(f.height, gif.height - f.top)), max(0, min(f.width, gif.width - f.left))
         area = canvas[f.top : f.top + h, f.left : f.left + w]
         index = f.pixels[:h, :w]
-        colours = np.zeros((256, 3), np.uint8)
-        colours[: len(f.palette)] = f.palette
-        seen = index != f.transparent
-        area[seen] = np.concatenate([colours[index], np.full((h, w, 1), 255, np.uint8)], axis=2)[seen]
+        if f.transparent < 0:
+            area[...] = tables[id(f.palette)][index]
+        else:
+            np.copyto(area, tables[id(f.palette)][index], where=(index != f.transparent)[..., None])
         yield clock, f.delay_cs, canvas.copy()
         clock += f.delay_cs
         if f.disposal == 2:
@@ -242,81 +275,165 @@ def histogram(canvas: np.ndarray, bins: int = 4) -> np.ndarray:
     return np.bincount(cell.ravel(), minlength=bins**3 + 1)
 
 
-def encode_grey(payload: bytes, delay_cs: int = 10) -> bytes:
-    """A GIF of 24 x 24 grey frames holding the payload (a multiple of 576 bytes), each frame one run of literal codes."""
-    levels = np.frombuffer(payload, np.uint8).reshape(-1, FRAME).astype(np.uint16)
-    n = len(levels)
-    width, _ = _widths(8, FRAME + 1)  # the codes and the end mark, after a clear code
-    codes = np.concatenate([np.full((n, 1), 256, np.uint16), levels, np.full((n, 1), 257, np.uint16)], axis=1)
+def lzw_encode(rows: np.ndarray) -> list[bytes]:
+    """The code stream of each row of bytes (frames x pixels, fewer than 3,800 pixels), all frames a pixel at a time.
+
+    A frame's dictionary is a hash table from a string's code and the byte after it to the longer string's code.
+    """
+    n, size = rows.shape
+    slots = 1 << max(4, int(2 * size - 1).bit_length())
+    known = np.full(n * slots, -1, np.int32)  # what is in a slot: code * 256 + byte
+    names = np.zeros(n * slots, np.int16)
+    codes = np.zeros((n, size + 1), np.int16)
+    count = np.zeros(n, np.int64)
+    frames = np.arange(n)
+    columns = np.ascontiguousarray(rows.T).astype(np.int32)
+    string = columns[0].copy()
+    for t in range(1, size):
+        byte = columns[t]
+        wanted = string << 8 | byte
+        slot = (wanted * 40503 >> 4 & slots - 1) + frames * slots
+        held = known[slot]
+        open_ = np.flatnonzero((held != wanted) & (held >= 0))
+        while len(open_):  # another string is in the slot: the next one is tried
+            s = slot[open_]
+            s = np.where((s + 1) % slots == 0, s + 1 - slots, s + 1)
+            slot[open_] = s
+            held[open_] = h = known[s]
+            open_ = open_[(h != wanted[open_]) & (h >= 0)]
+        new = held < 0
+        fresh = np.flatnonzero(new)
+        codes[fresh, count[fresh]] = string[fresh]
+        count[fresh] += 1
+        known[slot[fresh]] = wanted[fresh]
+        names[slot[fresh]] = 257 + count[fresh]
+        string = np.where(new, byte, names[slot])
+    codes[frames, count] = string
+    count += 1
+    # A clear code, the codes, and the end mark, at the widths that follow from their places.
+    width, _ = _widths(8, size + 2)
     widths = np.concatenate([[9], width])
-    column = np.repeat(np.arange(FRAME + 2), widths)
-    shift = np.concatenate([np.arange(w) for w in widths]).astype(np.uint16)
-    packed = np.packbits((codes[:, column] >> shift & 1).astype(np.uint8), axis=1, bitorder="little")
-    length = packed.shape[1]
-    pieces = [packed[:, a : a + 255] for a in range(0, length, 255)]
-    body = np.concatenate([x for p in pieces for x in (np.full((n, 1), p.shape[1], np.uint8), p)] + [np.zeros((n, 1), np.uint8)], axis=1)
-    head = b"\x21\xf9\x04" + bytes([1 << 2]) + struct.pack("<H", delay_cs) + b"\0\0" + b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
-    frames = np.concatenate([np.tile(np.frombuffer(head, np.uint8), (n, 1)), body], axis=1).tobytes()
-    return b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + GREYS + frames + b"\x3b"
+    line = np.full((n, size + 2), 257, np.int32)
+    line[:, 0] = 256
+    inside = np.arange(size + 1) < count[:, None]
+    line[:, 1:][inside] = codes[inside]
+    used = np.arange(size + 2) < count[:, None] + 2
+    per_code = np.broadcast_to(widths[: size + 2], used.shape)[used]
+    bits = np.add.reduceat(per_code, np.concatenate([[0], np.cumsum(count + 2)[:-1]]))
+    flat = np.repeat(line[used], per_code)
+    shift = np.arange(len(flat)) - np.repeat(np.cumsum(per_code) - per_code, per_code)
+    # Each frame's bits begin at a byte.
+    padded = -(-bits // 8) * 8
+    start = np.cumsum(padded) - padded
+    stream = np.zeros(int(padded.sum()), np.uint8)
+    stream[np.arange(len(flat)) + np.repeat(start - (np.cumsum(bits) - bits), bits)] = flat >> shift & 1
+    packed = np.packbits(stream, bitorder="little").tobytes()
+    return [packed[a : a + b] for a, b in zip((start // 8).tolist(), (padded // 8).tolist(), strict=True)]
+
+
+def encode(payloads: list[bytes], delay_cs: int = 10) -> list[bytes]:
+    """A GIF for each payload (a multiple of FRAME bytes, not empty), one frame for each FRAME bytes.
+
+    All payloads are encoded together; a payload's file depends on nothing but the payload.
+    """
+    images = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, FRAME)
+    counts = np.array([len(p) // FRAME for p in payloads], np.int64)
+    first = np.repeat(np.cumsum(counts) - counts, counts)
+    nth = np.arange(len(images)) - first
+    under = np.array(UNDER)[nth % len(UNDER)]
+    over = (under > 0) & (nth >= under)
+    present = np.zeros((len(images), 256), bool)
+    present[np.arange(len(images))[:, None], images] = True
+    unused = present.argmin(axis=1)
+    see_through = over & ~present[np.arange(len(images)), unused]
+    pixels = images.copy()
+    rows = np.flatnonzero(see_through)
+    same = images[rows] == images[rows - under[rows]]
+    pixels[rows] = np.where(same, unused[rows][:, None].astype(np.uint8), pixels[rows])
+    streams = lzw_encode(pixels)
+    head = b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + PALETTE.tobytes()
+    place = b"\0\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
+    delay = struct.pack("<H", delay_cs)
+    marks = [[b"\x21\xf9\x04" + bytes([d << 2 | t]) + delay for t in (0, 1)] for d in DISPOSALS]
+    out, at = [], 0
+    for n in counts.tolist():
+        parts = [head]
+        for i in range(at, at + n):
+            clear, body = bool(see_through[i]), streams[i]
+            parts += [marks[(i - at) % len(DISPOSALS)][clear], bytes([unused[i] if clear else 0]), place]
+            for a in range(0, len(body), 255):
+                piece = body[a : a + 255]
+                parts += [bytes([len(piece)]), piece]
+            parts.append(b"\0")
+        at += n
+        out.append(b"".join([*parts, b"\x3b"]))
+    return out
 
 
 def gif_columns(media: DataFrame, id_column: str = "doc_id", gif_column: str = "gif") -> DataFrame:
     """A row a frame of each GIF: id, frame, start_cs, delay_cs, width, height, rgba binary, histogram array<long>.
 
-    A null or damaged file gives one row with a null frame. Files are decoded one by one; copies give equal rows.
+    A null, empty or damaged file gives one row with a null frame, and so does one whose canvas or a frame has more than
+    PIXELS_MOST pixels; a file without frames gives none. Files are decoded one by one, and frames leave as they are
+    composed; copies give equal rows, null ids stay, an empty table gives no rows, other columns are left out.
     """
     id_type = media.schema[id_column].dataType.simpleString()
 
     def rows(batches):
+        schema = None
+
+        def sent(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
         for piece in slices(batches, gif_column):
-            out = []
+            schema = pa.schema([(id_column, piece.schema.field(0).type), ("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int64()))])
+            out, held = [], 0
             for key, data in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                 try:
                     gif = decode([data or b""])[0]
-                    shots = list(composed(gif))
-                except (ValueError, IndexError, struct.error):
+                except ValueError:
                     out.append((key, None, None, None, None, None, None, None))
                     continue
-                out += [(key, i, t, d, gif.width, gif.height, c.tobytes(), histogram(c).tolist()) for i, (t, d, c) in enumerate(shots)]
-            schema = pa.schema([(id_column, piece.schema.field(0).type), ("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int64()))])
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+                for i, (t, d, c) in enumerate(composed(gif)):
+                    out.append((key, i, t, d, gif.width, gif.height, c.tobytes(), histogram(c).tolist()))
+                    held += c.size
+                    if held > 16 << 20:
+                        yield sent(out)
+                        out, held = [], 0
+            if out:
+                yield sent(out)
 
     return media.select(id_column, gif_column).mapInArrow(rows, f"`{id_column}` {id_type}, frame int, start_cs bigint, delay_cs int, width int, height int, rgba binary, histogram array<bigint>")
 
 
 def text_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Each text stored as a GIF of timed grey frames, read back through the decoder.
+    """Each text stored as a GIF of timed frames, read back through the decoder and composed frame by frame.
 
-    Returns id, n_bytes, gif binary, payload binary (read back), frames int, duration_cs bigint, and histogram
-    array<bigint>: counts of the payload's grey levels in 16 bins, summed over the composed frames. A null text counts
-    as empty: one frame of 576 bytes 255. Equal texts give equal columns.
+    Returns id, n_bytes, gif binary, payload binary (the bytes of the composed canvases' colours), frames int, duration_cs
+    bigint, disposals (how many frames of each kind 0..3), see_through (frames with a transparent colour), and histogram
+    array<bigint>: counts of the composed canvases' pixels by colour. A null text counts as empty: one frame of 576 bytes
+    255. Equal texts give equal columns; null ids stay; an empty table gives no rows; other columns are left out. A text's
+    canvases are held at a time, four bytes a byte of text.
     """
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def store(batches):
-        for piece in slices(batches, text_column, 2 << 20):
+        for piece in slices(batches, text_column, 1 << 20):
             raw = [t.encode() for t in texts(piece.column(1)).to_pylist()]
-            files = [encode_grey(t + b"\xff" * (-len(t) % FRAME if t else FRAME)) for t in raw]
+            files = encode([t + b"\xff" * (-len(t) % FRAME if t else FRAME) for t in raw])
             rows = []
             for t, f, gif in zip(raw, files, decode(files), strict=True):
-                shown = _grey_canvases(gif)
-                duration = sum(x.delay_cs for x in gif.frames)
-                counts = np.bincount(shown.ravel() >> 4, minlength=16)
-                rows.append((len(t), f, shown.tobytes(), len(gif.frames), duration, counts.tolist()))
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-            names = ("n_bytes", "gif", "payload", "frames", "duration_cs", "histogram")
+                shown = np.stack([c for _, _, c in composed(gif)])
+                payload = shown[..., 0] | shown[..., 1] >> 3 | shown[..., 2] >> 6
+                disposals = np.bincount([x.disposal for x in gif.frames], minlength=4).tolist()
+                clear = sum(x.transparent >= 0 for x in gif.frames)
+                rows.append((len(t), f, payload.tobytes(), len(gif.frames), sum(x.delay_cs for x in gif.frames), disposals, clear, histogram(shown).tolist()))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()))
+            names = ("n_bytes", "gif", "payload", "frames", "duration_cs", "disposals", "see_through", "histogram")
             yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], [id_column, *names])
 
     kept = docs.select(id_column, docs[text_column].cast("string").alias(text_column))
-    return kept.mapInArrow(store, f"`{id_column}` {id_type}, n_bytes bigint, gif binary, payload binary, frames int, duration_cs bigint, histogram array<bigint>")
-
-
-def _grey_canvases(gif: Gif) -> np.ndarray:
-    """The composed frames' red channel (frames x height x width)."""
-    plain = all(f.transparent < 0 and (f.left, f.top, f.width, f.height) == (0, 0, gif.width, gif.height) for f in gif.frames)
-    if plain:  # each frame covers the canvas, so what it shows doesn't depend on the frames before it
-        return np.stack([f.palette[f.pixels, 0] for f in gif.frames])
-    return np.stack([c[..., 0] for _, _, c in composed(gif)])
+    return kept.mapInArrow(store, f"`{id_column}` {id_type}, n_bytes bigint, gif binary, payload binary, frames int, duration_cs bigint, disposals array<bigint>, see_through int, histogram array<bigint>")
 
 
 def payload_digests(media: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -326,8 +443,8 @@ def payload_digests(media: DataFrame, id_column: str = "doc_id") -> DataFrame:
     def digest(batches):
         for batch in batches:
             rows = []
-            for n, gif, payload, frames, duration, counts in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
-                feature = f"{frames}x{SIDE}x{SIDE}@{duration}cs:" + "/".join(map(str, counts))
+            for n, gif, payload, frames, duration, disposals, clear, counts in zip(*(batch.column(i).to_pylist() for i in range(1, 9)), strict=True):
+                feature = f"{frames}x{SIDE}x{SIDE}@{duration}cs;disposal {'/'.join(map(str, disposals))};transparent {clear};colours {'/'.join(map(str, counts))}"
                 rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(gif), hashlib.sha256(gif).hexdigest(), feature))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
