@@ -27,6 +27,8 @@ BROADCAST_MOST = 1_000_000
 UNITS = "km|cm|mm|m|mi|ft|in|kg|g|mg|lb|oz|l|ml|s|ms|min|h|hr|hrs|hours|hour|minutes|seconds|days|day|weeks|years|year|meters|metres|miles|feet|inches|grams|kilograms|pounds|liters|litres|percent|dollars|euros|cents|usd|eur|mph|kmh|hz|khz|mhz|ghz|kb|mb|gb|tb|°c|°f|c|f|k|%"
 NAME = r"([\p{Ll},;›] )\p{Lu}\p{L}*"
 CAPITAL = r"(?<![\p{L}\p{N}])\p{Lu}\p{L}*"
+#: Signs that are set around a capitalised word where only the second template makes it a name.
+OPEN, CLOSE = "\x01", "\x02"
 NUMBER = r"\p{Sc}?[0-9]+(?:[.,:/][0-9]+)*"
 UNIT = rf"(‹num› ?)(?:{UNITS})([^\p{{L}}\p{{N}}]|$)"
 PUNCTUATION = r"[^\p{L}\p{N}‹› \t\n\r\f\x0B]+"
@@ -44,6 +46,22 @@ def template_words(text: Column, capitals: bool = False) -> Column:
     return F.array_remove(F.split(F.regexp_replace(_placed(text, capitals), PUNCTUATION, ""), SPACE), "")
 
 
+def _marked(text: Column) -> Column:
+    """The text of both templates at once: names of the first are placeholders, words that only the second takes for names
+    stand between OPEN and CLOSE."""
+    bare = F.when(text.contains(OPEN) | text.contains(CLOSE), F.translate(text, OPEN + CLOSE, "!!")).otherwise(text)
+    named = F.regexp_replace(F.regexp_replace(bare, NAME, "$1‹name›"), NAME, "$1‹name›")
+    both = F.regexp_replace(F.regexp_replace(named, CAPITAL, f"{OPEN}$0{CLOSE}"), NUMBER, "‹num›")
+    return F.regexp_replace(F.lower(F.regexp_replace(both, UNIT, "$1‹unit›$2")), PUNCTUATION.replace("‹›", f"‹›{OPEN}{CLOSE}"), "")
+
+
+def _both_words(marked: Column) -> tuple[Column, Column]:
+    """template_words() of both templates from the marked text."""
+    plain = F.replace(F.replace(marked, F.lit(OPEN), F.lit("")), F.lit(CLOSE), F.lit(""))
+    capital = F.regexp_replace(marked, f"{OPEN}[^{CLOSE}]*{CLOSE}", "‹name›")
+    return tuple(F.array_remove(F.split(x, SPACE), "") for x in (plain, capital))
+
+
 def template_slots(text: Column, capitals: bool = False) -> Column:
     """array<struct<word, value>>: the template's words again, each with what stands in the text at its place."""
     words = F.transform(F.split(_placed(text, capitals), SPACE), lambda w: F.regexp_replace(w, PUNCTUATION, ""))
@@ -52,12 +70,13 @@ def template_slots(text: Column, capitals: bool = False) -> Column:
     return F.filter(both, lambda s: s["word"] != "")
 
 
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def _rolled(hs: str) -> Column:
     count = F.size(hs)
-    return F.when(
-        count >= WIDTH,
-        F.transform(F.sequence(F.lit(0), F.greatest(count - WIDTH, F.lit(0))), lambda i: F.xxhash64(*(F.get(F.col(hs), i + k) for k in range(WIDTH)))),
-    ).when(count > 0, F.array(F.xxhash64(hs, count)))
+    return F.when(count >= WIDTH, F.transform(F.sequence(F.lit(1), F.greatest(count - WIDTH + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(hs, i, WIDTH)))).when(count > 0, F.array(F.xxhash64(hs, count)))
 
 
 def _windows(texts: DataFrame, key: str, place: str, capitals: bool) -> DataFrame:
@@ -65,21 +84,29 @@ def _windows(texts: DataFrame, key: str, place: str, capitals: bool) -> DataFram
 
     templates has bit 1 for a window of the first template and bit 2 for one of that with capitals.
     """
-    hashed = lambda given: F.transform(template_words(F.col("text"), given), lambda w: F.xxhash64(w))
     if not capitals:
-        return texts.select(key, hashed(False).alias("hs")).select(key, F.posexplode(_rolled("hs")).alias(place, "hash")).withColumn("templates", F.lit(1))
-    rolled = texts.select(key, hashed(False).alias("hs"), hashed(True).alias("cs")).select(key, F.posexplode(F.arrays_zip(_rolled("hs").alias("h"), _rolled("cs").alias("c"))).alias(place, "w"))
+        hashed = texts.select(key, _hashed(template_words(F.col("text"))).alias("hs"))
+        return hashed.select(key, F.posexplode(_rolled("hs")).alias(place, "hash")).withColumn("templates", F.lit(1))
+    plain, capital = _both_words(F.col("marked"))
+    hashed = texts.select(key, _marked(F.col("text")).alias("marked")).select(key, _hashed(plain).alias("hs"), _hashed(capital).alias("cs"))
+    rolled = hashed.select(key, F.posexplode(F.arrays_zip(_rolled("hs").alias("h"), _rolled("cs").alias("c"))).alias(place, "w"))
     first = F.struct(F.col("w.h").alias("hash"), F.when(F.col("w.h").eqNullSafe(F.col("w.c")), 3).otherwise(1).alias("templates"))
     both = F.when(F.col("w.h").eqNullSafe(F.col("w.c")), F.array(first)).otherwise(F.array(first, F.struct(F.col("w.c").alias("hash"), F.lit(2).alias("templates"))))
     return rolled.select(key, place, F.explode(both).alias("w")).select(key, place, "w.hash", "w.templates").where("hash is not null")
 
 
+def _row(id_column: str, text_column: str) -> Column:
+    """What names a row: a hash of its id and text, so that rows that share an id, or have none, are judged one by one."""
+    return F.xxhash64(F.col(id_column).cast("string"), F.col(text_column).cast("string"))
+
+
 def alignments(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", capitals: bool = True) -> DataFrame:
-    """(doc, item, template, diagonal, places, consistent): one row for each alignment of a document and an item in a template.
+    """(doc, item, template, diagonal, places, consistent): one row for each alignment of a row of docs and an item in a template.
 
+    doc is the row's name, see _row(); repeated rows have one.
     places are those of the item's windows that the alignment covers; consistent says that its slots answer each other.
     """
-    texts = docs.select(F.col(id_column).alias("doc"), F.col(text_column).cast("string").alias("text")).where("text is not null")
+    texts = docs.select(_row(id_column, text_column).alias("doc"), F.col(text_column).cast("string").alias("text")).where("text is not null")
     items = benchmark.select(F.col(item_column).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null and item is not null")
     kinds = {1: False, 2: True} if capitals else {1: False}
     each = lambda rows: rows.withColumn("template", F.explode(F.array(*map(F.lit, kinds)))).where("templates & template != 0").drop("templates")
@@ -96,7 +123,7 @@ def alignments(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     asked, _ = stored(covered.join(F.broadcast(slots) if slots.count() <= BROADCAST_MOST else slots, ["item", "template", "p"]).distinct(), "slots")
     wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("item", "template", "diagonal", "p", "theirs")).alias("wanted"))
     wanted = F.broadcast(wanted) if asked.count() <= BROADCAST_MOST else wanted  # else the texts are shuffled
-    found = texts.withColumnRenamed("doc", "of").join(wanted, F.col("of").eqNullSafe(F.col("doc")))
+    found = texts.withColumnRenamed("doc", "of").join(wanted, F.col("of") == F.col("doc"))
     values = found.select("doc", "wanted", *(template_slots(F.col("text"), c).alias(f"slots{t}") for t, c in kinds.items()))
     value = lambda t: F.get(f"slots{t}", F.col("w.p") + F.col("w.diagonal"))["value"]
     pairs = values.select("*", F.explode("wanted").alias("w")).select("doc", "w.*", (F.when(F.col("w.template") == 1, value(1)).otherwise(value(2)) if capitals else value(1)).alias("ours"))
@@ -104,16 +131,17 @@ def alignments(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     # One to one: each of their values has one of ours, and as many different ones of ours as of theirs.
     judged = forth.groupBy("doc", "item", "template", "diagonal").agg((F.max((F.col("low") != F.col("high")).cast("int")) == 0).alias("one"), F.count("*").alias("n"), F.countDistinct("low").alias("m")).select(F.col("doc").alias("d"), F.col("item").alias("t"), F.col("template").alias("k"), F.col("diagonal").alias("g"), (F.col("one") & (F.col("n") == F.col("m"))).alias("consistent"))
     counted = hits.groupBy("doc", "item", "template", "diagonal").agg(F.collect_list("i").alias("places"))
-    met = counted.join(judged, F.col("doc").eqNullSafe(F.col("d")) & (F.col("item") == F.col("t")) & (F.col("template") == F.col("k")) & (F.col("diagonal") == F.col("g")), "left")
+    met = counted.join(judged, (F.col("doc") == F.col("d")) & (F.col("item") == F.col("t")) & (F.col("template") == F.col("k")) & (F.col("diagonal") == F.col("g")), "left")
     return met.select("doc", "item", "template", "diagonal", "places", F.coalesce("consistent", F.lit(True)).alias("consistent"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.3, least_windows: int = 8, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", capitals: bool = True) -> DataFrame:
     """(doc, item, covered, windows, first) of each leak: consistent alignments cover enough of the item's windows.
 
-    A window that a document repeats counts once; first counts those covered in the first template. Enough is the share least_share and at least least_windows windows, or the whole item if it has fewer. Several rows
-    with one id count as one document; a null id is an id of its own; null texts and null items never match. An item of
-    fewer than WIDTH words leaks only to a document that is just its words. An empty table on either side gives no rows.
+    doc is the row's name, see _row(): rows that share an id, or have none, are judged one by one. A window that a text
+    repeats counts once; first counts those covered in the first template. Enough is the share least_share and at least
+    least_windows windows, or the whole item if it has fewer. Null texts and null items never match. An item of fewer than
+    WIDTH words leaks only to a text that is just its words. An empty table on either side gives no rows.
     """
     sizes = benchmark.select(F.col(item_column).alias("item"), template_words(F.col("text").cast("string")).alias("words")).where("words is not null and item is not null")
     sizes = sizes.groupBy("item").agg(F.max(F.greatest(F.size("words") - WIDTH + 1, F.least(F.size("words"), F.lit(1)))).alias("windows"))
@@ -124,19 +152,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.3
     return leaks.where((F.col("covered") >= least_share * F.col("windows")) & ((F.col("covered") >= least_windows) | (F.col("covered") == F.col("windows"))))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents, all columns, that have no leak. Rows with null ids or texts are kept unless the id has a leak."""
-    leaks, _ = stored(contaminated(docs, benchmark, **options).select(F.col("doc").alias("__leaked")).distinct(), "leaks")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The documents, all columns, that have no leak, as often as they came; rows with null texts are kept.
+
+    Of rows that share an id only those with a leak go.
+    """
+    leaks, _ = stored(contaminated(docs, benchmark, id_column=id_column, text_column=text_column, **options).select(F.col("doc").alias("__leaked")).distinct(), "leaks")
     leaks = F.broadcast(leaks) if leaks.count() <= BROADCAST_MOST else leaks
-    return docs.join(leaks, docs[options.get("id_column", "doc_id")].eqNullSafe(F.col("__leaked")), "left_anti")
+    return docs.join(leaks, _row(id_column, text_column) == F.col("__leaked"), "left_anti")
 
 
-def report(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """One row for each row of docs: id, contaminated, n_items, items (item ids in order, comma-joined), n_windows.
 
-    Leaks are found in both templates; n_windows counts the windows covered in the first.
+    Leaks are found in both templates; n_windows counts the windows covered in the first. Rows that share an id each have
+    their own result.
     """
-    leaks = contaminated(docs, benchmark, id_column=id_column, **options)
+    leaks = contaminated(docs, benchmark, id_column=id_column, text_column=text_column, **options)
     by_doc = leaks.groupBy("doc").agg(F.count("*").alias("n_items"), F.array_join(F.transform(F.array_sort(F.collect_set("item")), lambda x: x.cast("string")), ",").alias("items"), F.sum("first").alias("n_windows"))
-    joined = docs.select(id_column).join(by_doc, F.col(id_column).eqNullSafe(F.col("doc")), "left")
+    by_doc, _ = stored(by_doc, "leaks")
+    by_doc = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_MOST else by_doc
+    joined = docs.select(F.col(id_column), _row(id_column, text_column).alias("__row")).join(by_doc, F.col("__row") == F.col("doc"), "left")
     return joined.select(id_column, (F.coalesce("n_items", F.lit(0)) > 0).alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"), F.coalesce("items", F.lit("")).alias("items"), F.coalesce("n_windows", F.lit(0)).cast("bigint").alias("n_windows"))

@@ -24,7 +24,8 @@ WRONG = "The shop where Bert works sold 19 kg of apples and 19 kg of pears on th
 def leaks(spark, docs, bench, **options):
     d = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
     b = spark.createDataFrame(bench, "item_id long, text string")
-    return {(r.doc, r.item) for r in D.contaminated(d, b, **options).collect()}
+    ids = {r[0]: r[1] for r in d.select(D._row("doc_id", "text"), "doc_id").collect()}
+    return {(ids[r.doc], r.item) for r in D.contaminated(d, b, **options).collect()}
 
 
 def test_reparameterised_questions(spark):
@@ -96,3 +97,23 @@ def test_names_that_open_sentences(spark):
     wrong = [(4, "Carla is saving 70 dollars for a wallet. Emma has half of it. Fay gets 20 dollars from Dora. How much more does Gina need?", "x")]
     assert leaks(spark, docs + wrong, bench) == {(1, 1), (2, 2), (3, 2)}
     assert leaks(spark, docs + wrong, bench, capitals=False) == {(3, 2)}
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    clean = "Nobody would take these words about the weather in the mountains for a question of any benchmark at all, would they?"
+    docs = [(5, QUESTION, "leak"), (5, clean, "clean"), (5, clean, "clean"), (None, "So. " + OTHER, "leak"), (None, clean, "clean"), (6, None, "clean"), (None, None, "clean")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, kind string")
+    b = spark.createDataFrame([(7, QUESTION)], "item_id long, text string")
+    kept = D.decontaminate(d, b).collect()
+    assert [r.kind for r in kept] == ["clean"] * 5
+    told = D.report(d, b).collect()
+    assert sorted((r.doc_id or 0, r.contaminated) for r in told) == [(0, False), (0, False), (0, True), (5, False), (5, False), (5, True), (6, False)]
+
+
+def test_both_templates_from_one_pass(spark):
+    texts = ["Tom gave Ann Lee 3 kg of rice for $4.50, then 7km. Ran!", "", " ", "A4 paper\x01Bob \x02, Bob's (Eve) McDonald 5 Km 6 km\x01 x", "\x01", "ÉTÉ à la Mer; Bob 1,000 €5.20 °C 30 °C", "‹name› Bob ‹num›", "a. B. c\nDe \tFg"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    plain, capital = D._both_words(F.col("m"))
+    got = rows.select("text", D._marked(F.col("text")).alias("m")).select(plain.alias("p"), capital.alias("c"), D.template_words(F.col("text")).alias("wp"), D.template_words(F.col("text"), True).alias("wc")).collect()
+    for r in got:
+        assert r.p == r.wp and r.c == r.wc
