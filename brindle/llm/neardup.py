@@ -1,10 +1,12 @@
 """Near-duplicate groups by SimHash where links are texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-At that similarity fingerprints differ in about 10 of 64 bits, too many for shards by equal stretches of bits. So the
-shards are named by least hashes of the shingles instead (two similar texts share each one with a chance of their
-similarity), and the BK-tree of a shard is asked within a radius that similar texts exceed with a chance below 1 in
-200. In each shard the rows that have others within the radius are sent on with their sets of shingles, and every pair of
-them within the radius is compared exactly, unless exact links join its rows already.
+At that similarity fingerprints differ in about 10 of 64 bits, too many for shards by equal stretches of bits. So a
+shard is named by two least hashes of the shingles instead, BANDS times over: two texts of similarity s share a shard with
+a chance of 1 - (1 - s^2)^BANDS, all but 4 in 100,000 at 0.8, whatever the size of the corpus or of a shard. The BK-tree of
+a shard finds the rows that have others within RADIUS bits, which texts of 0.8 exceed with a chance of about 1 in 100,000;
+fingerprints of a few shingles say little, so texts of fewer than SHORT are not held to it. Those rows are sent on with
+their sets of shingles, and every pair of them within the radius is compared exactly, unless exact links join its rows
+already.
 """
 
 from __future__ import annotations
@@ -12,22 +14,31 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts
+from .common import discard, slices, stored, texts
 from .simhash import BKTree, _majority, components
 
-WIDTH, LEAST, RADIUS, KEYS = 5, 0.8, 18, 7
+WIDTH, LEAST, RADIUS, BANDS = 5, 0.8, 22, 10
+#: Texts of fewer shingles are compared with all texts of like size in their shards.
+SHORT = 32
 #: Fingerprints so close to one in the tree are kept beside it and not put into the tree themselves.
 CLOSE = 3
-#: The columns that name a shard: place and value of a least hash, and of a second one or -1 and 0.
-SHARD = ("k", "key", "k2", "key2")
-#: Shards with more rows are dealt again by a second least hash.
-SHARD_MOST = 4000
-#: Ids up to this many (16 MB) are broadcast, more are joined by a shuffle.
+#: Names of rows up to this many (16 MB) are broadcast, more are joined by a shuffle.
 BROADCAST_MOST = 1_000_000
-ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
+
+
+def _factors(n: int) -> np.ndarray:
+    """n odd numbers that have nothing to do with each other, by the rule of a 64-bit counter whose bits are mixed."""
+    with np.errstate(over="ignore"):
+        z = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return (z ^ z >> np.uint64(31)) | np.uint64(1)
+
+
+FACTORS = _factors(2 * BANDS)
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
@@ -40,42 +51,52 @@ def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array([digest(s, 42) for s in joined], np.uint64))
 
 
+def least_hashes(own: np.ndarray) -> list[int]:
+    """The names of a text's shards, one a band: each from two least hashes of its shingles."""
+    if not len(own):
+        return []
+    with np.errstate(over="ignore"):
+        spread = own ^ own >> np.uint64(31)
+        least = np.array([(spread * f).min() for f in FACTORS], np.uint64)
+        both = least[::2] * np.uint64(0xFF51AFD7ED558CCD) ^ least[1::2]
+        return ((both ^ both >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)).view(np.int64).tolist()
+
+
+def row_name(id_column: str, text_column: str) -> Column:
+    """What names a row: a hash of its id and text, so that rows which share an id, or have none, stay apart."""
+    return F.xxhash64(F.col(id_column).cast("string"), F.col(text_column).cast("string"))
+
+
 def sketches(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, fp, sig, keys array<bigint>: fingerprint, hash of the set of shingles, least hashes."""
+    """id, row, fp, sig, n, keys array<bigint> of every row: its name, fingerprint, a hash of its set of shingles, their number,
+    and the names of its shards."""
+    id_type = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
-        for piece in slices(batches, text_column):
-            fps, sigs, keys = [], [], []
-            for text in texts(piece.column(1)).to_pylist():
+        for piece in slices(batches, "__text"):
+            fps, sigs, sizes, keys = [], [], [], []
+            for text in texts(piece.column(2)).to_pylist():
                 own = shingles(text, width)
                 fps.append(_majority(own))
                 sigs.append(xxhash.xxh64_intdigest(own.tobytes()))
-                if len(own):
-                    with np.errstate(over="ignore"):
-                        keys.append([int(((own ^ own >> np.uint64(31)) * m >> np.uint64(1)).min()) for m in ODD[:KEYS]])
-                else:
-                    keys.append([])
-            yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(np.array(v, np.uint64).view(np.int64)) for v in (fps, sigs)), pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "sig", "keys"])
+                sizes.append(len(own))
+                keys.append(least_hashes(own))
+            hashes = (pa.array(np.array(v, np.uint64).view(np.int64)) for v in (fps, sigs))
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *hashes, pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["id", "row", "fp", "sig", "n", "keys"])
 
-    chosen = docs.select(F.col(id_column).cast("bigint").alias("id"), docs[text_column].cast("string").alias("text")).where("id is not null")
-    return chosen.mapInArrow(_renamed(run, text_column), "id bigint, fp bigint, sig bigint, keys array<bigint>")
+    chosen = docs.select(F.col(id_column).alias("__id"), row_name(id_column, text_column).alias("__row"), F.col(text_column).cast("string").alias("__text"))
+    return chosen.mapInArrow(run, f"id {id_type}, row bigint, fp bigint, sig bigint, n int, keys array<bigint>")
 
 
-def _renamed(run, text_column: str):
-    def named(batches):
-        return run(pa.RecordBatch.from_arrays(list(b.columns), ["id", text_column]) for b in batches)
-
-    return named
-
-
-def partnered(fps: list[int], radius: int) -> list[bool]:
-    """For each row of a shard, whether another row is within the radius.
+def partnered(fps: list[int], sizes: list[int], radius: int) -> list[bool]:
+    """For each row of a shard, whether another row is within the radius, or is about as short as it is.
 
     Rows close to a fingerprint in the tree are kept beside it, and are asked about along with it.
     """
     tree = BKTree(fps[0])
     beside: list[list[int]] = [[0]]
-    out = [False] * len(fps)
+    few = sum(n < SHORT / LEAST for n in sizes) > 1
+    out = [few and n < SHORT / LEAST for n in sizes]
     for i in range(1, len(fps)):
         near = [((tree.values[n] ^ fps[i]).bit_count(), n) for n in tree.within(fps[i], radius + CLOSE)]
         for _, n in near:
@@ -91,23 +112,20 @@ def partnered(fps: list[int], radius: int) -> list[bool]:
     return out
 
 
-def links(ids: list[int], fps: list[int], sets: list[bytes] | None, radius: int, least: float) -> list[tuple[int, int]]:
-    """Pairs of rows within the radius that are similar, enough of them to link all that such pairs link.
+def links(rows: list[int], fps: list[int], sets: list[bytes], radius: int, least: float) -> list[tuple[int, int]]:
+    """Pairs of rows that are similar, enough of them to link all that similar pairs within the radius, or of short texts, link.
 
-    Every pair is compared exactly unless links that were found already join its rows; without sets every pair is given.
+    Every such pair is compared exactly unless links that were found already join its rows.
     """
     fp, out = np.array(fps, np.uint64), []
-    if sets is None:
-        for i in range(1, len(fp)):
-            out += [(ids[j], ids[i]) for j in np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]) <= radius)]
-        return out
     own = [np.frombuffer(s, np.uint32) for s in sets]
     short = [s.astype(np.uint16) for s in own]
     size, part = np.array([len(s) for s in own]), np.arange(len(own))
     mark = np.zeros(1 << 16, np.bool_)
     for i in range(1, len(own)):
         far = np.bitwise_count(fp[:i] ^ fp[i])
-        rest = np.flatnonzero((far <= radius) & (np.minimum(size[:i], size[i]) >= least * np.maximum(size[:i], size[i])))
+        smaller = np.minimum(size[:i], size[i])
+        rest = np.flatnonzero(((far <= radius) | (smaller < SHORT)) & (smaller >= least * np.maximum(size[:i], size[i])))
         rest, step = rest[np.argsort(far[rest], kind="stable")], 1
         while len(rest := rest[part[rest] != part[i]]):
             now, rest, step = rest[:step], rest[step:], min(step * 4, 256)
@@ -118,7 +136,7 @@ def links(ids: list[int], fps: list[int], sets: list[bytes] | None, radius: int,
                 now = now[most >= least * (size[now] + size[i] - most)]
             for j in now:
                 if part[j] != part[i] and _similar(own[j], own[i], least):
-                    out.append((ids[j], ids[i]))
+                    out.append((rows[j], rows[i]))
                     part[part == part[j]] = part[i]
     return out
 
@@ -129,7 +147,8 @@ def _similar(s: np.ndarray, t: np.ndarray, least: float) -> bool:
 
 
 def _by_shard(found, names: list[str]):
-    """A task over rows whose last columns name the shard, sorted by shard: what found gives for the rows of each shard."""
+    """A task over rows whose first two columns name the shard, sorted by shard: what found gives for the rows of each shard
+    of two rows or more."""
 
     def run(batches):
         held: list[tuple] = []
@@ -141,13 +160,13 @@ def _by_shard(found, names: list[str]):
         for batch in batches:
             out: list[tuple] = []
             for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
-                if row[-len(SHARD) :] != current:
-                    out += found(sorted(held), current) if len(held) > 1 else []
-                    held, current = [], row[-len(SHARD) :]
-                held.append(row[: -len(SHARD)])
+                if row[:2] != current:
+                    out += found(sorted(held)) if len(held) > 1 else []
+                    held, current = [], row[:2]
+                held.append(row)
             if out:
                 yield table(out)
-        if len(held) > 1 and (out := found(sorted(held), current)):
+        if len(held) > 1 and (out := found(sorted(held))):
             yield table(out)
 
     return run
@@ -157,86 +176,81 @@ def _unsigned(fps) -> list[int]:
     return [f & (1 << 64) - 1 for f in fps]
 
 
-def candidate_pairs(reps: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST, sets=None, least: float = LEAST) -> DataFrame:
-    """(a, b), a < b, of rows (id, fp, keys), each pair once.
+def similar_pairs(reps: DataFrame, sets, radius: int = RADIUS, least: float = LEAST) -> DataFrame:
+    """(a, b), a < b, of rows (row, fp, n, keys): links that join what similar pairs join, each once.
 
-    sets gives the table (id, s) for a table of ids: then a shard compares its pairs exactly and gives links that join
-    what its similar pairs join. Without it, all pairs within the radius are given.
+    sets gives the table (row, s) for a table of rows. Whatever its size, a shard is one task's at a time: its rows are
+    fingerprints first, and the sets of those that have a partner then.
     """
-    dealt = reps.select("id", "fp", "keys", F.posexplode("keys").alias("k", "key"))
-    sizes, _ = stored(dealt.groupBy("k", "key").count().where("count > 1"), "sizes")
-    large = sizes.where(F.col("count") > most).select("k", "key")
-    large = F.broadcast(large) if large.count() <= BROADCAST_MOST else large
-    small = dealt.join(sizes.where(F.col("count") <= most).select("k", "key"), ["k", "key"]).select("id", "fp", "k", "key", F.lit(-1).alias("k2"), F.lit(0).cast("bigint").alias("key2"))
-    split = dealt.join(large, ["k", "key"]).select("id", "fp", "k", "key", F.posexplode("keys").alias("k2", "key2")).where("k != k2")
-
-    def met(rows, shard):
-        ids, fps = zip(*rows, strict=True)
-        return [(*row, *shard) for row, yes in zip(rows, partnered(_unsigned(fps), radius), strict=True) if yes]
-
-    def linked(rows, shard):
-        ids, fps, *own = zip(*rows, strict=True)
-        return [(min(p), max(p)) for p in links(list(ids), _unsigned(fps), own[0] if own else None, radius, least)]
-
-    columns = ["id", "fp", *SHARD]
-    sharded = small.union(split).repartition(*SHARD).sortWithinPartitions(*SHARD)
-    near, _ = stored(sharded.mapInArrow(_by_shard(met, columns), "id bigint, fp bigint, k bigint, key bigint, k2 bigint, key2 bigint"), "near")
-    if sets is not None:
-        near = near.join(sets(near.select("id").distinct()), "id").select("id", "fp", "s", *SHARD)
-    found = near.repartition(*SHARD).sortWithinPartitions(*SHARD).mapInArrow(_by_shard(linked, ["a", "b"]), "a bigint, b bigint")
-    return stored(found.distinct(), "candidates")[0]
-
-
-def shingle_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, s): the sorted 32-bit hashes of the shingles of each of the ids; of several rows with one id the least set counts."""
-    ends = ids.select(F.col("id").alias("end"))
+    shard = ["k", "key"]
+    dealt = reps.select(F.posexplode("keys").alias("k", "key"), "row", "fp", "n")
+
+    def met(rows):
+        ks, keys, names, fps, sizes = zip(*rows, strict=True)
+        return [(k, key, name, fp) for k, key, name, fp, yes in zip(ks, keys, names, fps, partnered(_unsigned(fps), list(sizes), radius), strict=True) if yes]
+
+    def linked(rows):
+        _, _, names, fps, own = zip(*rows, strict=True)
+        return [(min(p), max(p)) for p in links(list(names), _unsigned(fps), list(own), radius, least)]
+
+    sharded = dealt.repartition(*shard).sortWithinPartitions(*shard)
+    near, path = stored(sharded.mapInArrow(_by_shard(met, [*shard, "row", "fp"]), "k bigint, key bigint, row bigint, fp bigint"), "near")
+    own, own_path = sets(near.select("row").distinct())
+    full = near.join(own, "row").select(*shard, "row", "fp", "s")
+    found = full.repartition(*shard).sortWithinPartitions(*shard).mapInArrow(_by_shard(linked, ["a", "b"]), "a bigint, b bigint")
+    pairs, _ = stored(found.distinct(), "candidates")
+    discard(reps.sparkSession, path)
+    discard(reps.sparkSession, own_path)
+    return pairs
+
+
+def shingle_sets(docs: DataFrame, rows: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, str]:
+    """(row, s): the sorted 32-bit hashes of the shingles of each of the rows named; stored, with the path."""
+    ends = rows.select(F.col("row").alias("end"))
     ends = F.broadcast(ends) if ends.count() <= BROADCAST_MOST else ends
-    named = docs.select(F.col(id_column).cast("bigint").alias("id"), docs[text_column].cast("string").alias("text"))
+    named = docs.select(row_name(id_column, text_column).alias("row"), F.col(text_column).cast("string").alias("text"))
 
     def sets(batches):
         for piece in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([np.unique(shingles(t, width).astype(np.uint32)).tobytes() for t in texts(piece.column(1)).to_pylist()], pa.binary())], ["id", "s"])
-
-    return stored(named.join(ends, F.col("id") == F.col("end"), "left_semi").mapInArrow(sets, "id bigint, s binary").groupBy("id").agg(F.min("s").alias("s")), "shingles")[0]
-
-
-def verified(docs: DataFrame, pairs: DataFrame, least: float = LEAST, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The pairs whose texts' sets of shingles, by 32-bit hashes, have at least the similarity."""
-    own = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width, id_column, text_column)
-
-    def compare(batches):
-        for batch in batches:
-            keep = [_similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([np.unique(shingles(t, width).astype(np.uint32)).tobytes() for t in texts(piece.column(1)).to_pylist()], pa.binary())], ["row", "s"])
 
-    left = own.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    right = own.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint")
+    return stored(named.join(ends, F.col("row") == F.col("end"), "left_semi").mapInArrow(sets, "row bigint, s binary").groupBy("row").agg(F.min("s").alias("s")), "shingles")
 
 
 def groups(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, component) of every id that isn't null: the smallest id that links of similar texts reach.
+    """(id, row, component, first) of every row: its name, the smallest id that links of similar texts reach, and whether the row is the
+    one that stands for its group: that of the smallest id, of equal ones that of the smaller name.
 
     Texts with equal sets of shingles, such as copies and texts without words, are linked; a null text counts as empty.
+    Rows with a null id are linked like any other; they stand for a group, with a null component, only if all its ids
+    are null. Rows that share an id are linked by their texts alone; repeated rows have one name. Ids may be of any type
+    that has an order. An empty table gives no rows.
     """
+    spark = docs.sparkSession
     sketched, _ = stored(sketches(docs, width, id_column, text_column), "sketches")
-    reps, _ = stored(sketched.groupBy("sig").agg(F.min(F.struct("id", "fp", "keys")).alias("r")).select("sig", "r.*"), "representatives")
-    roots = components(candidate_pairs(reps.select("id", "fp", "keys"), sets=lambda ids: shingle_sets(docs, ids, width, id_column, text_column), least=least))
-    named = reps.select("sig", "id").join(roots, F.col("id") == F.col("node"), "left").select(F.col("sig").alias("s"), F.coalesce("root", "id").alias("component"))
-    return sketched.select("id", "sig").join(named, F.col("sig") == F.col("s")).groupBy("id").agg(F.min("component").alias("component"))
+    reps, path = stored(sketched.groupBy("sig").agg(F.min(F.struct("row", "fp", "n", "keys")).alias("r")).select("sig", "r.*"), "representatives")
+    pairs = similar_pairs(reps.select("row", "fp", "n", "keys"), lambda rows: shingle_sets(docs, rows, width, id_column, text_column), least=least)
+    roots = components(pairs)
+    named, _ = stored(reps.select("sig", "row").join(roots, F.col("row") == F.col("node"), "left").select(F.col("sig").alias("s"), F.coalesce("root", "row").alias("group")), "groups")
+    discard(spark, path)
+    members = sketched.select("id", "row", "sig").join(named, F.col("sig") == F.col("s")).select("id", "row", "group")
+    firsts = members.groupBy(F.col("group").alias("g")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("f"))
+    return members.join(firsts, F.col("group") == F.col("g")).select("id", "row", F.col("f.id").alias("component"), (F.col("row") == F.col("f.row")).alias("first"))
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows, all columns, of one document of each group: that with the smallest id.
+    """The rows, all columns, that stand for their group (see groups()): one document of each, that with the smallest id.
 
-    Of several rows with one id one stays, the least by its text. Rows with a null id are in no group and stay.
+    Rows that share an id, or have none, go only if their text is a near-duplicate; of repeated rows one stays.
     """
-    dropped, _ = stored(groups(docs, least, width, id_column, text_column).where("id != component").select(F.col("id").alias("__dropped")), "dropped")
+    told, _ = stored(groups(docs, least, width, id_column, text_column), "dropped")
+    dropped = told.where("not first").select(F.col("row").alias("__dropped")).distinct()
     gone = F.broadcast(dropped) if dropped.count() <= BROADCAST_MOST else dropped
-    kept = docs.join(gone, docs[id_column].cast("bigint") == F.col("__dropped"), "left_anti")
-    repeated = docs.where(F.col(id_column).isNotNull()).groupBy(id_column).count().where("count > 1").select(F.col(id_column).alias("__repeated"))
+    kept = docs.withColumn("__row", row_name(id_column, text_column)).join(gone, F.col("__row") == F.col("__dropped"), "left_anti")
+    repeated, _ = stored(told.where("first").groupBy(F.col("row").alias("__repeated")).count().where("count > 1").select("__repeated"), "repeated")
     if repeated.isEmpty():
-        return kept
-    nth = F.row_number().over(Window.partitionBy(id_column).orderBy(text_column))
-    twice = kept.join(repeated, kept[id_column] == F.col("__repeated"), "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
-    return kept.join(repeated, kept[id_column] == F.col("__repeated"), "left_anti").unionByName(twice)
+        return kept.drop("__row")
+    repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_MOST else repeated
+    nth = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
+    twice = kept.join(repeated, F.col("__row") == F.col("__repeated"), "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    return kept.join(repeated, F.col("__row") == F.col("__repeated"), "left_anti").unionByName(twice).drop("__row")

@@ -115,26 +115,41 @@ def test_similar_groups_against_all_pairs(spark):
     df = spark.createDataFrame([(d, t, "y") for d, t in rows], "doc_id long, text string, component string")
     want = similar_brute(rows)
     assert {r.id: r.component for r in neardup.groups(df).collect()} == want
-    more = df.union(spark.createDataFrame([(None, rows[0][1], "n"), (0, rows[0][1], "again")], df.schema))
-    kept = sorted(((r.doc_id, r.component) for r in neardup.drop_near_duplicates(more).collect()), key=str)
-    assert [d for d, _ in kept if d is not None] == sorted(({d for d, c in want.items() if d == c}), key=str) or sorted(d for d, _ in kept if d is not None) == sorted(d for d, c in want.items() if d == c)
-    assert (None, "n") in kept
-
-
-def test_hot_shards_are_dealt_again(spark):
-    rng = random.Random(5)
-    words = ["w%d" % i for i in range(400)]
-    base = [rng.choice(words) for _ in range(120)]
-    rows = []
-    for i in range(60):
-        own = list(base)
-        own[rng.randrange(120)] = rng.choice(words)
-        rows.append((i, " ".join(own)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    reps = neardup.sketches(df).select("id", "fp", "keys")
-    small = neardup.components(neardup.verified(df, neardup.candidate_pairs(reps, most=5))).collect()
-    whole = neardup.components(neardup.verified(df, neardup.candidate_pairs(reps))).collect()
-    assert {(r.node, r.root) for r in small} == {(r.node, r.root) for r in whole}
+    more = df.union(spark.createDataFrame([(None, rows[0][1], "n"), (0, rows[0][1], "y"), (0, rows[0][1], "y"), (0, "no near copy of anything else in here", "other"), (None, "nor is this one of any other text", "alone")], df.schema))
+    kept = [(r.doc_id, r.component) for r in neardup.drop_near_duplicates(more).collect()]
+    assert sorted(kept, key=str) == sorted([(d, "y") for d, c in want.items() if d == c] + [(0, "other"), (None, "alone")], key=str)
+
+
+def test_text_ids_and_short_texts(spark):
+    line = "one two three four five six seven eight nine ten eleven"
+    rows = [("b", line), ("a", line + " twelve"), ("c", line.replace("one", "once")), ("d", "other words"), (None, "other  words"), ("e", "some other words")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.id: r.component for r in neardup.groups(df).collect()}
+    assert got == similar_brute_named(rows)
+    assert got["b"] == "a" and got[None] == "d"
+
+
+def similar_brute_named(rows):
+    number = {d: i for i, d in enumerate(sorted((d for d, _ in rows if d is not None)))}
+    number[None] = 10**6
+    back = {i: d for d, i in number.items()}
+    return {back[i]: back[c] for i, c in similar_brute([(number[d], t) for d, t in rows]).items()}
+
+
+def test_links_of_the_given_tables(spark):
+    """Rows whose id is divisible by 3 against all rows, by all pairs: what is similar is in one group."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = {r.doc_id: frozenset(neardup.shingles(r.text or "").tolist()) for r in rows}
+    group = {r.id: r.component for r in neardup.groups(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert len(group) == len(rows)
+    wanted = found = 0
+    for a in (d for d in sets if d % 3 == 0):
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a != b and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                wanted += 1
+                found += group[a] == group[b]
+    assert wanted > 20 and found >= 0.99 * wanted
 
 
 def template_rows(rng):
