@@ -1,59 +1,75 @@
 """Sharding by vector bin packing.
 
-Each group of equal texts is a vector of its shares of all bytes, tokens and rows; it goes to the shard whose residual
-capacity has the largest dot product with it; at the end single groups move from the fullest shard to the emptiest one
-while that evens out the bytes. Only a bounded number of vectors reaches the driver: groups of a small
-share are bundled by their hash, so that there are at most shards x GRAIN bundles, and at most three times as many
-groups can be larger than such a bundle.
+Each group of equal texts is a vector of its shares of all bytes, tokens and rows; largest first, it goes to the shard
+whose residual capacity has the largest dot product with it. At the end single groups move from the fullest shard to the
+emptiest one while that brings the loads of all three kinds nearer to each other.
+
+Groups are placed one by one as long as there are no more of them than UNITS, which is what the driver holds (32 bytes
+each). Of more groups those of a small share are bundled by their hash, so that what is placed is UNITS vectors again.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
-#: Bundles a shard; more of them make shards more alike and take more of the driver.
-GRAIN = 256
+#: Vectors that the driver places.
+UNITS = 1 << 17
+#: Parts that a shard's share of rows has when its rows are numbered, so that no task numbers a large group by itself.
+PARTS = 32
+#: Fixed value: what a byte-level tokenizer takes for one piece at most, before merges; pieces are counted as tokens.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
 
 def place(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each row of shares (bytes, tokens, rows): largest first, each to the largest dot product."""
+    """The shard of each row of shares (bytes, tokens, rows): largest first, each to the largest dot product.
+
+    Equal vectors and equal products go in the order of the rows and shards.
+    """
     residual = np.full((shards, vectors.shape[1]), 1.0 / shards)
     chosen = np.zeros(len(vectors), np.int64)
     for i in np.lexsort((np.arange(len(vectors)), -vectors.max(axis=1))) if len(vectors) else ():
-        chosen[i] = int(np.argmax(residual @ vectors[i]))
-        residual[chosen[i]] -= vectors[i]
+        chosen[i] = to = int((residual @ vectors[i]).argmax())
+        residual[to] -= vectors[i]
     return chosen
 
 
-def even(sizes: np.ndarray, chosen: np.ndarray, shards: int, moves: int = 1000) -> np.ndarray:
-    """Moves single items from the fullest shard to the emptiest one as long as that brings the two nearer in bytes."""
+def even(vectors: np.ndarray, chosen: np.ndarray, shards: int, moves: int = 2000) -> np.ndarray:
+    """Moves single items from the shard with the most bytes to the one with the fewest, or of the other kinds in turn, as
+    long as that lowers the sum of the squares of all loads."""
     chosen = chosen.copy()
-    total = np.bincount(chosen, sizes, shards)
+    loads = np.zeros((shards, vectors.shape[1]))
+    np.add.at(loads, chosen, vectors)
+    idle, kind = 0, 0
     for _ in range(moves):
-        full, empty = int(total.argmax()), int(total.argmin())
-        gap = total[full] - total[empty]
-        own = np.flatnonzero((chosen == full) & (sizes > 0) & (sizes < gap))
-        if not len(own):
-            break
-        best = own[int(np.abs(sizes[own] - gap / 2).argmin())]
-        chosen[best] = empty
-        total[full] -= sizes[best]
-        total[empty] += sizes[best]
+        full, empty = int(loads[:, kind].argmax()), int(loads[:, kind].argmin())
+        own = np.flatnonzero(chosen == full)
+        change = ((loads[empty] - loads[full] + vectors[own]) * vectors[own]).sum(axis=1)  # half of what the sum changes by
+        if len(own) and change.min() < -1e-15:
+            best = own[int(change.argmin())]
+            chosen[best] = empty
+            loads[full] -= vectors[best]
+            loads[empty] += vectors[best]
+            idle = 0
+        else:
+            idle, kind = idle + 1, (kind + 1) % vectors.shape[1]
+            if idle == vectors.shape[1]:
+                break
     return chosen
 
 
-def shard(docs: DataFrame, shards: int = 24, grain: int = GRAIN, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, units: int = UNITS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
     size is the text's UTF-8 bytes plus 8, a null text has none; the law is `bytes`: shards have nearly equal sums of
-    size, and of words and rows as far as the groups allow. Equal texts go to one shard, but a group with more than
-    half a shard of bytes, words or rows is dealt by its ids. slot counts a shard's rows from 0 without gaps;
+    size, and of tokens and rows as far as the groups allow. Equal texts go to one shard; only a group with more than a whole
+    shard's share of bytes, tokens or rows is dealt in parts, by its ids. slot counts a shard's rows from 0 without gaps;
     grown_shard is null under this law. Repeated rows each get a slot, an empty table gives no rows, null ids are
-    kept.
+    kept; texts may be of any length.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
@@ -61,45 +77,49 @@ def shard(docs: DataFrame, shards: int = 24, grain: int = GRAIN, id_column: str
         docs.select(
             F.col(id_column),
             (F.octet_length(text) + 8).cast("bigint").alias("size"),
-            F.regexp_count(text, F.lit(r"\S+")).cast("bigint").alias("tokens"),
+            F.regexp_count(text, F.lit(PIECES)).cast("bigint").alias("tokens"),
             F.crc32(text).alias("text_crc32"),
             F.xxhash64(text).alias("h"),
+            F.monotonically_increasing_id().alias("nth"),
         ),
         "sizes",
     )
-    unit_count = shards * grain
-    groups = slim.groupBy("h", "text_crc32", "size").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).withColumn("b", F.col("n") * F.col("size"))
-    totals = groups.agg(F.sum("b"), F.sum("t"), F.sum("n")).first()
+    groups, path = stored(slim.groupBy("h").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.sum("size").alias("b")), "groups")
+    count, *totals = groups.agg(F.count("*"), F.sum("b"), F.sum("t"), F.sum("n")).first()
     totals = [max(1, x or 0) for x in totals]
     share = F.greatest(*(F.col(c) / F.lit(float(total)) for c, total in zip("btn", totals, strict=True)))
-    # No more than three groups for each bundle can be so large, one for each kind of share.
-    heavy = groups.withColumn("share", share).where(F.col("share") > 1.0 / unit_count).orderBy("h", "text_crc32", "size").select("h", "text_crc32", "size", "share").collect()
-    parts = [int(np.ceil(r.share * unit_count / 2)) for r in heavy]
-    starts = unit_count + np.cumsum([0, *parts])
-    known = spark.createDataFrame([(r.h, r.text_crc32, r.size, int(s), p) for r, s, p in zip(heavy, starts, parts, strict=False)], "h bigint, text_crc32 bigint, size bigint, first bigint, parts int")
-    unit = F.when(F.col("first").isNull(), F.pmod(F.col("h"), F.lit(unit_count))).otherwise(F.col("first") + F.pmod(F.xxhash64(F.col(id_column)), F.col("parts")))
-    dealt = slim.join(F.broadcast(known), ["h", "text_crc32", "size"], "left").select(id_column, "size", "tokens", "text_crc32", unit.alias("unit"))
+    # At most three groups for each part can be so large, one for each kind of share.
+    heavy = groups.withColumn("share", share).where(F.col("share") > 1.0 / (shards * PARTS)).select("h", "share").orderBy("h").toArrow()
+    large, shares = heavy.column("h").to_numpy(), heavy.column("share").to_numpy()
+    parts = np.ceil(shares * shards * PARTS).astype(np.int64)
+    known = spark.createDataFrame(pa.table({"large": large, "parts": parts})) if len(large) else spark.createDataFrame([], "large bigint, parts bigint")
+    # A unit is a group, a part of a large group, or a bundle of small ones; `part` tells these apart.
+    bundle = F.col("h") if count <= units else F.pmod("h", F.lit(units))
+    spread = F.pmod(F.xxhash64(F.col(id_column), F.when(F.col(id_column).isNull(), F.col("nth"))), F.col("parts"))
+    dealt = slim.join(F.broadcast(known), F.col("h") == F.col("large"), "left").select(
+        id_column, "size", "tokens", "text_crc32", "nth", F.when(F.col("large").isNull(), bundle).otherwise(F.col("h")).alias("unit"), F.when(F.col("large").isNull(), F.lit(-1)).otherwise(spread).alias("part")
+    )
+    discard(spark, path)
 
-    stats = dealt.groupBy("unit").agg(F.sum("size"), F.sum("tokens"), F.count("*")).orderBy("unit").collect()
-    units = np.array([r[0] for r in stats], np.int64)
-    counts = np.array([r[3] for r in stats], np.int64)
-    shares = np.array([[r[k + 1] / totals[k] for k in range(3)] for r in stats]).reshape(-1, 3)
-    # A group's units are placed together if they are half a shard at most, else one by one.
-    item = units.copy()
-    for r, start, n in zip(heavy, starts, parts, strict=False):
-        if r.share <= 0.5 / shards:
-            item[(units >= start) & (units < start + n)] = start
-    _, item = np.unique(item, return_inverse=True)
-    vectors = np.zeros((item.max() + 1 if len(item) else 0, 3))
-    np.add.at(vectors, item, shares)
-    placed = even(vectors[:, 0], place(vectors, shards), shards)[item] if len(item) else np.zeros(0, np.int64)
-    base = np.zeros(len(units), np.int64)
+    stats = dealt.groupBy("unit", "part").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).orderBy("unit", "part").toArrow()
+    unit, part, rows = (stats.column(c).to_numpy() for c in ("unit", "part", "n"))
+    each = np.stack([stats.column(c).to_numpy() / total for c, total in zip("btn", totals, strict=True)], axis=1)
+    # A group's parts are placed together, unless no shard has room for the group.
+    split = np.isin(unit, large[shares > 1.0 / shards]) & (part >= 0)
+    fresh = np.ones(len(unit), bool)
+    fresh[1:] = (unit[1:] != unit[:-1]) | split[1:] | ((part[1:] < 0) != (part[:-1] < 0))
+    item = np.cumsum(fresh) - 1
+    vectors = np.zeros((int(fresh.sum()), 3))
+    np.add.at(vectors, item, each)
+    placed = even(vectors, place(vectors, shards), shards)[item] if len(item) else np.zeros(0, np.int64)
+    base = np.zeros(len(unit), np.int64)
     for s in range(shards):
         own = placed == s
-        base[own] = np.cumsum(counts[own]) - counts[own]
-    where = spark.createDataFrame([(int(u), int(s), int(b)) for u, s, b in zip(units, placed, base, strict=True)], "unit bigint, shard int, base bigint")
-    rank = F.row_number().over(Window.partitionBy("unit").orderBy(id_column, "text_crc32", "size"))
-    numbered = dealt.withColumn("rank", rank).join(F.broadcast(where), "unit")
+        base[own] = np.cumsum(rows[own]) - rows[own]
+    schema = "unit bigint, part bigint, shard int, base bigint"
+    where = spark.createDataFrame(pa.table({"unit": unit, "part": part.astype(np.int64), "shard": placed.astype(np.int32), "base": base})) if len(unit) else spark.createDataFrame([], schema)
+    rank = F.row_number().over(Window.partitionBy("unit", "part").orderBy(id_column, "text_crc32", "size", "nth"))
+    numbered = dealt.withColumn("rank", rank).join(F.broadcast(where), ["unit", "part"])
     return numbered.select(
         id_column, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
