@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import stored
+from .common import join_hot, stored
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
@@ -94,12 +95,13 @@ def format_tree(conversations: DataFrame, tokenizer_path: str) -> tuple[DataFram
     are stretches of the line, joined where they touch. members: conv_id, nth, key: a conversation's nodes from the root.
 
     Turns are taken in order of turn, role and text, null turns first; repeated rows are turns of their own. A null role
-    or text counts as empty; the rows with a null conv_id are one conversation. No rows give an empty tree. A
-    conversation is held by one task at a time; nothing else is gathered.
+    or text counts as empty; the rows with a null conv_id are one conversation, laid out by one task. No rows give an empty
+    tree; other columns are left out. A conversation is held by one task at a time; nothing else is gathered. Nodes that
+    very many conversations share are broadcast to where these lie if they are small (see join_hot()), not shuffled.
     """
     spark = conversations.sparkSession
     id_type = conversations.schema["conv_id"].dataType.simpleString()
-    arrow_id = pa.int64() if id_type in ("bigint", "int") else pa.string()
+    arrow_id = to_arrow_type(conversations.schema["conv_id"].dataType)
     rows = conversations.select(F.col("conv_id"), F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     named_schema = pa.schema([("conv_id", arrow_id), ("k", pa.int64()), ("key", pa.binary()), ("role", pa.string()), ("text", pa.string())])
@@ -122,8 +124,8 @@ def format_tree(conversations: DataFrame, tokenizer_path: str) -> tuple[DataFram
 
     sorted_rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
     named, _ = stored(sorted_rows.mapInArrow(chain, f"conv_id {id_type}, k bigint, key binary, role string, text string"), "turns")
-    passing = named.groupBy("key").agg(F.count("*").alias("n"), F.min("conv_id").alias("owner"))
-    counted = named.join(passing, "key").select("conv_id", "k", "key", "role", "text", "n", "owner")
+    passing, _ = stored(named.groupBy("key").agg(F.count("*").alias("n"), F.min("conv_id").alias("owner")), "passing")
+    counted = join_hot(named, passing, "key").select("conv_id", "k", "key", "role", "text", "n", "owner")
 
     node_schema = pa.schema([("conv_id", arrow_id), ("nth", pa.int64()), ("key", pa.binary()), ("owned", pa.bool_()), ("path", pa.binary()), ("position", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("loss", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))])
 
@@ -198,10 +200,11 @@ def format_tree(conversations: DataFrame, tokenizer_path: str) -> tuple[DataFram
 
         yield from _chunks(nodes(), trail_schema)
 
-    walked = merged.select("conv_id", "nth", "key", "owned", "n_tokens").join(starts, "key").select("conv_id", "nth", "key", "owned", "start", "n_tokens")
+    placed, _ = stored(starts, "places")
+    walked = join_hot(merged.select("conv_id", "nth", "key", "owned", "n_tokens"), placed, "key").select("conv_id", "nth", "key", "owned", "start", "n_tokens")
     trails = walked.repartition("conv_id").sortWithinPartitions("conv_id", "nth").mapInArrow(trail, "key binary, start bigint, ancestors array<struct<a:bigint,b:bigint>>")
     bodies = merged.where("owned").select("key", "n_tokens", "position", "ids", "loss", F.col("conv_id").alias("owner"))
-    nodes = bodies.join(trails, "key").select("key", "start", "n_tokens", "position", "ids", "loss", "ancestors", "owner")
+    nodes, _ = stored(bodies.join(trails, "key").select("key", "start", "n_tokens", "position", "ids", "loss", "ancestors", "owner"), "nodes")
     return nodes, merged.select("conv_id", "nth", "key")
 
 
@@ -209,7 +212,7 @@ def read_back(nodes: DataFrame, members: DataFrame, tokenizer_path: str) -> Data
     """Each conversation's turns, read from the tree's tokens: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
     formatted_chars, n_nodes, n_shared_tokens (those that another conversation owns)."""
     id_type = members.schema["conv_id"].dataType.simpleString()
-    arrow_id = pa.int64() if id_type in ("bigint", "int") else pa.string()
+    arrow_id = to_arrow_type(members.schema["conv_id"].dataType)
     schema = pa.schema([("conv_id", arrow_id), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_nodes", pa.int64()), ("n_shared_tokens", pa.int64())])
 
     def read(batches):
@@ -240,5 +243,5 @@ def read_back(nodes: DataFrame, members: DataFrame, tokenizer_path: str) -> Data
 
         yield from _chunks(conversations(), schema)
 
-    joined = members.join(nodes.select("key", "ids", "loss", "owner"), "key").select("conv_id", "nth", "ids", "loss", "owner")
+    joined = join_hot(members, nodes.select("key", "ids", "loss", "owner"), "key", size=F.size("ids") * 4 + F.size("loss") * 16).select("conv_id", "nth", "ids", "loss", "owner")
     return joined.repartition("conv_id").sortWithinPartitions("conv_id", "nth").mapInArrow(read, f"conv_id {id_type}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_nodes bigint, n_shared_tokens bigint")

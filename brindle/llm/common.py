@@ -8,7 +8,8 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _own_folder: dict[str, str] = {}
@@ -19,10 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or in a test without it one of our own."""
+    """The folder that all executors see: spark.checkpoint.dir, or in a local session without it one of our own.
+
+    A cluster without the setting is a RuntimeError: a folder of the driver's would be another one on each executor.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "path" not in _own_folder:
         _own_folder["path"] = "file://" + tempfile.mkdtemp(prefix="brindle-")
     return _own_folder["path"]
@@ -46,6 +53,24 @@ def discard(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, share: int = 1000, least: int = 100, size: Column | None = None, most_bytes: int = 16 << 20) -> DataFrame:
+    """left join right on `key`, of which right has one row each, where few keys may hold many of left's rows.
+
+    Keys of more than 1 / share of left's rows (and of more than `least`) are fewer than `share`. Their rows of right are
+    broadcast, so that left's rows of these keys stay where they are; the other rows are shuffled. Where right's rows are of no
+    fixed size, `size` gives their bytes: with more than most_bytes in all they are not broadcast. left and right are stored
+    tables: both are read twice.
+    """
+    total = left.count()
+    names, _ = stored(left.groupBy(F.col(key).alias("__hot")).count().where(F.col("count") > max(total // share, least)).select("__hot"), "hot")
+    rows = right.join(F.broadcast(names), F.col(key) == F.col("__hot"), "left_semi")
+    if names.isEmpty() or (size is not None and (rows.agg(F.sum(size)).first()[0] or 0) > most_bytes):
+        return left.join(right, key)
+    warm = left.join(F.broadcast(rows), key)
+    cold = left.join(F.broadcast(names), F.col(key) == F.col("__hot"), "left_anti").join(right, key)
+    return warm.unionByName(cold)
+
+
 def texts(column: pa.Array) -> pa.Array:
     """The column with nulls as empty texts."""
     return pc.fill_null(column, "")

@@ -61,3 +61,14 @@ def test_query_and_nothing(spark, tmp_path):
     assert got == want([*ROWS, (-1, 0, "user", SAID), (-1, 1, "assistant", SAID)])
     nodes, members = chat.format_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), PATH)
     assert nodes.count() == 0 and members.count() == 0
+
+
+def test_first_turns_that_many_share_and_ids_of_other_types(spark):
+    rows = [(f"c{c}", t, r, x) for c in range(700) for t, r, x in [(0, "user", "the one first turn"), (1, "assistant", f"answer {c % 5}"), (2, "user", f"own {c}")]]
+    nodes, members = chat.format_tree(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"), PATH)
+    got = {r.conv_id: tuple(r)[1:6] for r in chat.read_back(nodes, members, PATH).collect()}
+    assert got == want(rows)
+    assert nodes.count() == 1 + 5 + 700
+    small = [(c % 100, t, r, x) for c, t, r, x in [(int(c[1:]), t, r, x) for c, t, r, x in rows[:60]]]
+    nodes, members = chat.format_tree(spark.createDataFrame(small, "conv_id smallint, turn int, role string, text string"), PATH)
+    assert {r.conv_id: tuple(r)[1:6] for r in chat.read_back(nodes, members, PATH).collect()} == want(small)
