@@ -28,6 +28,8 @@ INPUTS, HIDDEN, ATTEND = 2 + 2 * len(GRAM_SIZES), 6, 4
 TRAIN_ROWS = 2000
 #: Texts whose n-grams are counted at a time.
 BLOCK = 100
+#: Bytes of text that a task works on at a time.
+SLICE = 1 << 20
 
 
 class Words:
@@ -74,8 +76,9 @@ def _hashes(raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[tupl
         for size in GRAM_SIZES:
             first = np.flatnonzero(inside <= np.maximum(padded - size, 0)[owner])
             sums = np.zeros(len(first), np.uint64)
+            left = padded[owner[first]] - inside[first]  # a short word's n-gram ends with the word
             for k in range(size):
-                sums = sums * np.uint64(0x100000001B3) + line[first + k]
+                sums = sums * np.uint64(0x100000001B3) + np.where(k < left, line[first + k], np.uint64(0))
             count = np.maximum(padded - size, 0) + 1
             grams.append((bucket(sums, GRAM_BUCKETS), np.cumsum(count) - count))
     return word, grams
@@ -310,24 +313,28 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> BiG
 
 
 def score(docs: DataFrame, net: BiGru, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id and score (0 to 1) of every row, by its text alone; null and empty texts get the score of no words."""
+    """id and score (0 to 1) of every row, by its text alone; null and empty texts get the score of no words.
+
+    Repeated rows get equal scores; null ids stay; an empty table gives no rows; other columns are left out, whatever
+    their names. Texts may be of any length: all their windows are scored.
+    """
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
-        for piece in slices(batches, text_column, 3 << 20):
+        for piece in slices(batches, text_column, SLICE):
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(net.scores(piece.column(1)), pa.float64())], [id_column, "score"])
 
     return docs.select(id_column, docs[text_column].cast("string").alias(text_column)).mapInArrow(run, f"`{id_column}` {id_type}, score double")
 
 
 def keep_clean(docs: DataFrame, net: BiGru, threshold: float = 0.5, text_column: str = "text") -> DataFrame:
-    """The rows, all columns, whose text scores below the threshold."""
+    """The rows, all columns and as often as they came, whose text scores below the threshold; null texts count as empty."""
     schema = docs.schema
     at = schema.fieldNames().index(text_column)
 
     def run(batches):
         for batch in batches:
-            for piece in slices([batch], batch.schema.names[at], 3 << 20):
+            for piece in slices([batch], batch.schema.names[at], SLICE):
                 yield piece.filter(pa.array(net.scores(piece.column(at)) < threshold))
 
     return docs.mapInArrow(run, schema)

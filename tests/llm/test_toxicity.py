@@ -73,3 +73,65 @@ def test_one_class_and_nothing(spark):
     assert toxicity.train(pa.array(["a b", "c"]), np.array([0, 0])).scores(pa.array(["a", None])).max() < 0.5
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert toxicity.score(empty, toxicity.fit(empty, spark.createDataFrame([], "doc_id long, toxic int"))).count() == 0
+
+
+def plain_score(net, text):
+    """The score of a text by loops over its words, windows and units, with hashes of whole numbers."""
+    import math
+    import re
+
+    mask = (1 << 64) - 1
+
+    def bucket(n, of):
+        mixed = (n ^ n >> 29) * 0xBF58476D1CE4E5B9 & mask
+        return (mixed >> 32) % of
+
+    def word_input(word):
+        raw = [1, *word.encode(), 1]
+        h = 0
+        for k, c in enumerate(raw):
+            h = (h + (c + 11) * pow(0x100000001B3, k + 1, 1 << 64)) & mask
+        own = list(net.word[bucket(h, toxicity.WORD_BUCKETS)])
+        for size, table in zip(toxicity.GRAM_SIZES, net.grams):
+            values = []
+            for at in range(max(len(raw) - size, 0) + 1):
+                h = 0
+                for c in (raw[at : at + size] + [None] * size)[:size]:
+                    h = (h * 0x100000001B3 + (c if c is not None else 0)) & mask
+                values.append(table[bucket(h, toxicity.GRAM_BUCKETS)])
+            own += [max(values), sum(values) / len(values)]
+        return [float(v) for v in own]
+
+    words = [w for w in (re.sub(r"[\W\d_]+", "", x.lower()) for x in re.split(r"[ \t\n\r\f\v]+", text)) if w]
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    best = -math.inf
+    n = 1 + max(0, -(-(len(words) - toxicity.WINDOW) // toxicity.STRIDE))
+    for w in range(n):
+        xs = [word_input(x) for x in words[w * toxicity.STRIDE : w * toxicity.STRIDE + toxicity.WINDOW]]
+        sides = {}
+        for side in "fb":
+            state, states = [0.0] * toxicity.HIDDEN, []
+            for x in xs if side == "f" else xs[::-1]:
+                a = [sum(x[i] * p[f"W{side}"][i, j] for i in range(len(x))) + p[f"c{side}"][j] for j in range(3 * toxicity.HIDDEN)]
+                g = [sum(state[i] * p[f"U{side}"][i, j] for i in range(toxicity.HIDDEN)) for j in range(3 * toxicity.HIDDEN)]
+                h = toxicity.HIDDEN
+                z, r = [sig(a[j] + g[j]) for j in range(h)], [sig(a[h + j] + g[h + j]) for j in range(h)]
+                new = [math.tanh(a[2 * h + j] + r[j] * g[2 * h + j]) for j in range(h)]
+                state = [new[j] + z[j] * (state[j] - new[j]) for j in range(h)]
+                states.append(state)
+            sides[side] = states if side == "f" else states[::-1]
+        both = [f + b for f, b in zip(sides["f"], sides["b"])]
+        weights = [math.exp(sum(math.tanh(sum(s[i] * p["A"][i, k] for i in range(len(s)))) * p["v"][k] for k in range(toxicity.ATTEND))) for s in both]
+        pooled = [sum(w_ * s[i] for w_, s in zip(weights, both)) / sum(weights) for i in range(2 * toxicity.HIDDEN)] if both else [0.0] * (2 * toxicity.HIDDEN)
+        best = max(best, sum(x * y for x, y in zip(pooled, p["w"])) + p["o"][0])
+    return sig(best)
+
+
+def test_scores_against_loops():
+    rows = made_up(random.Random(4), 250)
+    net = toxicity.train(pa.array([t for _, t, _ in rows]), np.array([y for _, _, y in rows]))
+    made = [t for _, t, _ in rows[:6]] + ["", "pfui", "Zornig! zorn-los 7 a", "word " * 90 + "pfui zornig", "éà Über größe ab", " . 12 "]
+    got = net.scores(pa.array(made))
+    for text, score in zip(made, got):
+        assert abs(plain_score(net, text) - score) < 2e-3, text[:40]
