@@ -52,6 +52,9 @@ class ResultCache:
 class Engine:
     """Queries over a corpus DataFrame (model.CORPUS).
 
+    words, near: a WordIndex over bucket and external_id, and the folder of an IvfIndex over the corpus; with them search reads a
+    query's terms and cells only, else it scans. Whoever changes the corpus keeps them up to date.
+
     candidates: rows that a SQL scan retrieves before filters, groups and joins; None means the whole bucket; by
     default LIMIT, or 4 times that and 32 at least with filters.
     """
@@ -68,12 +71,17 @@ class Engine:
         reranker: Callable[[str, list[str]], list[float]] | None = None,
         candidates: object = execute.DEFAULT,
         cache: ResultCache | None = None,
+        words: lexical.WordIndex | None = None,
+        near: str | None = None,
+        probes: int = 8,
     ):
         self.corpus, self.metric, self.dim = corpus, metric, dim
         self.embedder = CachedEmbedder(embedder or HashEmbedder(dim or 64))
         self.model = language_model or rag.EchoModel()
         self.weights, self.synonyms, self.reranker = weights or fusion.Weights(), synonyms, reranker
         self.candidates, self.cache = candidates, cache or ResultCache()
+        self.words, self.probes = words, probes
+        self.index, self.indexed = knn.IvfIndex.load(corpus.sparkSession, near) if near else (None, None)
 
     def replace_corpus(self, corpus: DataFrame) -> None:
         self.corpus = corpus
@@ -110,25 +118,39 @@ class Engine:
     def _bucket(self, bucket: str | None) -> DataFrame:
         return self.corpus if bucket is None else self.corpus.where(F.col("bucket") == bucket)
 
+    def _nearest(self, vector: Sequence[float], k: int, bucket: str | None, probes: int | None = None) -> DataFrame:
+        if self.index is None:
+            return knn.topk(self._bucket(bucket), vector, k, self.metric)
+        rows = self.indexed if bucket is None else self.indexed.where(F.col("bucket") == bucket)
+        return self.index.search(rows, vector, k, probes or self.probes, ("bucket", "external_id"))
+
+    def _said(self, query: str, k: int, bucket: str | None) -> DataFrame:
+        columns = ("bucket", "external_id", "text", "metadata")
+        if self.words is None:
+            return lexical.bm25(self.corpus.select(*columns), query, k, bucket=bucket)
+        best = self.words.search(query, k, None if bucket is None else F.col("bucket") == bucket)
+        found = self.corpus.select(*columns).join(F.broadcast(best), ["bucket", "external_id"])  # k rows
+        return found.orderBy(F.col("score").desc(), "bucket", "external_id")
+
     def vector_search(self, vector: Sequence[float], top_k: int = 10, bucket: str | None = None, ef: int | None = None) -> DataFrame:
-        """Nearest rows by distance. ef, a graph's search width, is taken for compatibility: the search is exact."""
+        """Nearest rows by distance. ef, how wide to search, is the number of cells to read; without an index the search is exact."""
         knn.check_top_k(top_k)
         knn.check_dim(vector, self.dim)
-        return self._hits(knn.topk(self._bucket(bucket), vector, top_k, self.metric))
+        return self._hits(self._nearest(vector, top_k, bucket, ef))
 
     def search(self, query: str, top_k: int = 10, bucket: str | None = None, ef: int | None = None, hybrid: bool = False, most_k: int | None = knn.MAX_TOP_K) -> DataFrame:
         knn.check_top_k(top_k, most_k)
         vector = self.embedder.embed([query])[0].tolist()
         if not hybrid:
-            return self._hits(knn.topk(self._bucket(bucket), vector, top_k, self.metric))
+            return self._hits(self._nearest(vector, top_k, bucket, ef))
         k = fusion.stage_k(top_k)
-        near = knn.topk(self._bucket(bucket), vector, k, self.metric).select("bucket", "external_id", "text", "metadata", "score")
-        said = lexical.bm25(self.corpus.select("bucket", "external_id", "text", "metadata"), query, k, bucket=bucket)
+        near = self._nearest(vector, k, bucket, ef).select("bucket", "external_id", "text", "metadata", "score")
+        said = self._said(query, k, bucket)
         return self._hits(fusion.fuse(near, said, top_k, self.weights.resolve(bucket)))
 
     def bm25(self, query: str, top_k: int = 10, bucket: str | None = None) -> DataFrame:
         knn.check_top_k(top_k)
-        return self._hits(lexical.bm25(self.corpus.select("bucket", "external_id", "text", "metadata"), query, top_k, bucket=bucket))
+        return self._hits(self._said(query, top_k, bucket))
 
     # Answers
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidRequest, TypeMismatch
@@ -32,7 +33,7 @@ def topk(rows: DataFrame, query: Sequence[float], k: int, metric: str = "cosine"
 
     One scan, a partial top-k in each task and k rows a task to the last one: no shuffle of the rows.
     """
-    found = rows.withColumn(score, vectors.distance(metric, F.col(embedding), vectors.vector(query)))
+    found = rows.withColumn(score, vectors.distance_to(metric, F.col(embedding), query))
     return found.orderBy(F.col(score).asc_nulls_last(), *tie).limit(k)
 
 
@@ -110,13 +111,20 @@ class IvfIndex:
             centres = np.stack([x[of == c].mean(axis=0) if (of == c).any() else centres[c] for c in range(len(centres))])
         return cls(centres, metric)
 
-    def _cell_distances(self, column: Column) -> Column:
-        own = self.metric if self.metric == "cosine" else "l2sq"
-        return F.array(*(F.struct(vectors.distance(own, column, vectors.vector(c)).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(self.centroids)))
+    def assign(self, rows: DataFrame, embedding: str = "embedding", block: int = 4096) -> DataFrame:
+        """The rows with their nearest cell; all rows, not only those fitted on. A null vector's cell is null."""
+        centroids, own = self.centroids, self.metric if self.metric == "cosine" else "l2sq"
+
+        @F.arrow_udf("int")
+        def nearest(batch: pa.Array) -> pa.Array:
+            keep = batch.is_valid().to_numpy(zero_copy_only=False)
+            x = batch.filter(batch.is_valid()).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, centroids.shape[1])
+            out = np.zeros(len(batch), np.int32)
+            cells = [_distances(centroids, x[at : at + block], own).argmin(axis=0) for at in range(0, len(x), block)]
+            out[keep] = np.concatenate(cells) if cells else 0
+            return pa.array(out, mask=~keep)
 
-    def assign(self, rows: DataFrame, embedding: str = "embedding") -> DataFrame:
-        """The rows with their cell; all rows, not only those fitted on."""
-        return rows.withColumn("cell", F.array_min(self._cell_distances(F.col(embedding)))["cell"])
+        return rows.withColumn("cell", nearest(F.col(embedding)))
 
     def cells(self, query: Sequence[float], probes: int) -> list[int]:
         own = self.metric if self.metric == "cosine" else "l2sq"
@@ -124,7 +132,34 @@ class IvfIndex:
         return np.argsort(d, kind="stable")[:probes].tolist()
 
     def search(self, assigned: DataFrame, query: Sequence[float], k: int, probes: int = 4, tie: Sequence[str] = ("vec_id",)) -> DataFrame:
-        return topk(assigned.where(F.col("cell").isin(self.cells(query, probes))), query, k, self.metric, tie=tie)
+        """The k nearest rows of the nearest cells; rows kept as codes and scale (see store()) are compared as such."""
+        rows = assigned.where(F.col("cell").isin(self.cells(query, probes)))
+        if "codes" not in rows.columns:
+            return topk(rows, query, k, self.metric, tie=tie)
+        found = rows.withColumn("score", vectors.distance_to_codes(self.metric, F.col("codes"), F.col("scale"), query))
+        return found.orderBy(F.col("score").asc_nulls_last(), *tie).limit(k)
+
+    # On disk
+
+    def store(self, rows: DataFrame, path: str, quantized: bool = False, embedding: str = "embedding", mode: str = "errorifexists") -> None:
+        """Writes the rows by cell, and the centroids; a search then reads the folders of its cells only.
+
+        quantized: vectors are kept in 8 bits with a scale each, a quarter of the bytes, instead of as they are. With mode
+        append, new rows join the cells of the centroids that are there.
+        """
+        kept = self.assign(rows, embedding)
+        if quantized:
+            kept = kept.withColumn("q", vectors.quantize_int8(F.col(embedding))).select("*", "q.codes", "q.scale").drop("q", embedding)
+        kept.repartition("cell").write.mode(mode).partitionBy("cell").parquet(f"{path}/rows")
+        if mode != "append":
+            table = [(i, c.tolist(), self.metric) for i, c in enumerate(self.centroids)]
+            rows.sparkSession.createDataFrame(table, "cell int, centre array<double>, metric string").coalesce(1).write.mode(mode).parquet(f"{path}/cells")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> tuple[IvfIndex, DataFrame]:
+        """The index of a folder, and its rows."""
+        cells = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()  # a row a centroid
+        return cls(np.array([r.centre for r in cells]), cells[0].metric), spark.read.parquet(f"{path}/rows")
 
 
 def recall(found: DataFrame, exact: DataFrame, query_id: str = "query_id", row_id: str = "vec_id") -> float:

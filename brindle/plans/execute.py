@@ -43,7 +43,7 @@ def hits(scan: Scan, ctx: Context) -> DataFrame:
     rows = ctx.corpus.where(F.col("bucket") == scan.bucket)
     k = scan.top_k if ctx.candidates is DEFAULT else ctx.candidates
     if k is None:
-        found = rows.withColumn("score", knn.vectors.distance(ctx.metric, F.col("embedding"), knn.vectors.vector(query)))
+        found = rows.withColumn("score", knn.vectors.distance_to(ctx.metric, F.col("embedding"), query))
     else:
         found = knn.topk(rows, query, k, ctx.metric)
     found = found.select("bucket", F.col("external_id").alias("id"), "text", "metadata", "score")

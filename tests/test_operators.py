@@ -182,3 +182,70 @@ def test_stats(spark):
     ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 10, 1)], "query_id int, row_id int, rank int")
     relevant = spark.createDataFrame([(1, 11), (2, 99), (2, 98)], "query_id int, row_id int")
     assert tuple(stats.retrieval_quality(ranked, relevant).first()) == (2, 0.5, 0.25)
+
+
+def test_word_index_against_a_scan(spark, tmp_path):
+    import random
+
+    rng = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
+    rows = [("ab"[i % 2], str(i), " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for i in range(120)]
+    schema = "bucket string, external_id string, text string"
+    index = lexical.WordIndex(spark, str(tmp_path / "words"), parts=4)
+    index.add(spark.createDataFrame(rows[:80], schema))
+    index.add(spark.createDataFrame(rows[80:], schema))
+    changed = [(b, k, "alpha alpha only") for b, k, _ in rows[10:20]]
+    index.add(spark.createDataFrame(changed, schema))
+    index.remove(spark.createDataFrame([(b, k) for b, k, _ in rows[15:30]] + [("a", "unknown")], "bucket string, external_id string"))
+    index.add(spark.createDataFrame([("a", "28", "back again with zeta"), ("b", "none", None)], schema))
+    live = {(b, k): t for b, k, t in [*rows, *changed]}
+    for b, k, _ in rows[15:30]:
+        live.pop((b, k))
+    live["a", "28"], live["b", "none"] = "back again with zeta", ""
+    docs = spark.createDataFrame([(b, k, t) for (b, k), t in live.items()], schema)
+    for at in (index, index.compact(str(tmp_path / "one"))):
+        assert at.counts() == (len(live), sum(len(t.split()) for t in live.values()))
+        for query, bucket in (("alpha zeta", None), ("Delta, beta!", "b"), ("nowhere", None), ("", None)):
+            want = [(r.bucket, r.external_id, round(r.score, 9)) for r in lexical.bm25(docs, query, 15, bucket=bucket).collect()]
+            got = [(r.bucket, r.external_id, round(r.score, 9)) for r in at.search(query, 15, None if bucket is None else F.col("bucket") == bucket).collect()]
+            assert got == want
+    plan = index.compact(str(tmp_path / "two")).search("alpha", 5)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan and "EqualTo(term,alpha)" in plan
+
+
+def test_engine_with_indexes_and_stored_cells(spark, tmp_path):
+    import numpy as np
+
+    from brindle.embed import HashEmbedder
+    from brindle.engine import Engine
+
+    texts = [f"text number {i} about {'vpn' if i % 3 else 'dns'}" for i in range(300)]
+    vectors = HashEmbedder(16).embed(texts)
+    rows = [("ab"[i % 2], str(i), t, "{}", None, None, v.tolist()) for i, (t, v) in enumerate(zip(texts, vectors))]
+    corpus = spark.createDataFrame(rows, "bucket string, external_id string, text string, metadata string, parent_doc_id string, chunk_index int, embedding array<float>")
+    index = knn.IvfIndex.fit(corpus, 8, row_id="external_id")
+    words = lexical.WordIndex(spark, str(tmp_path / "words"), parts=4)
+    words.add(corpus)
+    plain = Engine(corpus, dim=16)
+    for quantized in (False, True):
+        index.store(corpus, str(tmp_path / f"cells-{quantized}"), quantized)
+        e = Engine(corpus, dim=16, words=words, near=str(tmp_path / f"cells-{quantized}"), probes=8)
+        near = [(r.bucket, r.id) for r in e.vector_search(vectors[7].tolist(), 5).collect()]
+        want = [(r.bucket, r.id) for r in plain.vector_search(vectors[7].tolist(), 5).collect()]
+        assert near[0] == want[0] and (quantized or near == want)
+        assert [r.id for r in e.bm25("dns 42", 5, "a").collect()] == [r.id for r in plain.bm25("dns 42", 5, "a").collect()]
+        if not quantized:
+            assert [r.id for r in e.search("vpn 42", 5, hybrid=True).collect()] == [r.id for r in plain.search("vpn 42", 5, hybrid=True).collect()]
+    some = Engine(corpus, dim=16, near=str(tmp_path / "cells-False"), probes=1).vector_search(vectors[7].tolist(), 3)
+    assert some.count() == 3 and "PartitionFilters: [isnotnull(cell" in some._jdf.queryExecution().toString()
+    assert np.isclose(plain.vector_search(vectors[7].tolist(), 1).first().score, 0.0)
+
+
+def test_distances_to_a_constant(spark):
+    rows = [([1.0, 2.0],), ([0.0, 0.0],), (None,), ([1.0],), ([1.0, None],), ([],)]
+    df = spark.createDataFrame(rows, "v array<float>")
+    for metric, want in (("cosine", [0.0, 1.0]), ("l2sq", [0.0, 5.0]), ("neg_dot", [-5.0, 0.0])):
+        got = [r[0] for r in df.select(V.distance_to(metric, F.col("v"), [1.0, 2.0])).collect()]
+        assert [round(x, 9) for x in got[:2]] == want and got[2:] == [None] * 4
+    codes = df.where("v is not null and size(v) = 2").select(V.quantize_int8(F.col("v")).alias("q")).select(V.distance_to_codes("l2sq", F.col("q.codes"), F.col("q.scale"), [1.0, 2.0])).collect()
+    assert codes[0][0] < 0.01 and codes[1][0] == 5.0
