@@ -1,25 +1,31 @@
 """The change log: an append-only table of mutations, its fold into the current corpus, snapshots, compaction, backup.
 
-The log is a folder of Parquet batches; a batch counts once its commit is done. seq rises strictly.
+The log is a folder of Parquet batches, named by their first and last seq; a batch counts once its commit is done, so what
+a writer left half done is never read. seq rises strictly.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..errors import InvalidPlan, InvalidRequest, NotFound, Unsupported
 from ..functions.text import version_lt
 from ..model import CHANGELOG, CORPUS
 from ..operators.stats import count_chunks
-from .corpus import COLUMNS
+from .corpus import COLUMNS, check_import
 
+CHUNKS = "array<struct<index:int,char_start:int,text:string,vector:array<float>>>"
 VERSION = "0.1.0"
 BULK_MOST = 1000
+#: Buckets up to this many are broadcast to the rows of a fold.
+BROADCAST_MOST = 100_000
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -31,7 +37,8 @@ def fold(log: DataFrame, base: DataFrame | None = None, after: int = -1) -> Data
 
     A row is the last upsert of its key; a later delete of the key, of its document or bucket, or a later upsert of its
     whole document takes it away. Deletes of what isn't there do nothing. One shuffle by bucket and key for the rows;
-    deletes are pre-aggregated to one row for each thing deleted.
+    deletes are pre-aggregated to one row for each thing deleted. Rows without a document aren't joined with the
+    documents' deletes, and buckets are broadcast after a look at their number, so no bucket meets in one task.
     """
     log = log.where(F.col("seq") > after)
     plain = log.where("op = 'insert'").select("seq", "bucket", F.col("id").alias("external_id"), "text", "metadata", F.lit(None).cast("string").alias("parent_doc_id"), F.lit(None).cast("int").alias("chunk_index"), "embedding")
@@ -45,7 +52,11 @@ def fold(log: DataFrame, base: DataFrame | None = None, after: int = -1) -> Data
     by_id = log.where("op = 'delete'").groupBy("bucket", F.col("id").alias("external_id")).agg(F.max("seq").alias("_k1"))
     by_doc = log.where("op in ('delete_document', 'insert_document')").groupBy("bucket", F.col("id").alias("parent_doc_id")).agg(F.max("seq").alias("_k2"))
     by_bucket = log.where("op = 'empty_bucket'").groupBy("bucket").agg(F.max("seq").alias("_k3"))
-    marked = latest.join(by_id, ["bucket", "external_id"], "left").join(by_doc, ["bucket", "parent_doc_id"], "left").join(by_bucket, "bucket", "left")
+    known = latest.join(by_id, ["bucket", "external_id"], "left")
+    whole = known.where("parent_doc_id is null").withColumn("_k2", F.lit(None).cast("bigint"))
+    parts = known.where("parent_doc_id is not null").join(by_doc, ["bucket", "parent_doc_id"], "left")
+    emptied = F.broadcast(by_bucket) if by_bucket.count() <= BROADCAST_MOST else by_bucket
+    marked = whole.unionByName(parts).join(emptied, "bucket", "left")
     kill = F.greatest(F.coalesce("_k1", F.lit(-1)), F.coalesce("_k2", F.lit(-1)), F.coalesce("_k3", F.lit(-1)))
     return marked.where(kill <= F.col("seq")).select(*COLUMNS)
 
@@ -70,16 +81,21 @@ class ChangeLog:
 
     # Reading
 
+    def _batches(self) -> list[tuple[int, int, str]]:
+        """(first seq, last seq, name) of the batches whose commit is done, in order."""
+        names = [n for n in self._names(f"{self.path}/log") if n.startswith("batch=") and self._exists(f"{self.path}/log/{n}/_SUCCESS")]
+        return [(*map(int, n.removeprefix("batch=").split("-")), n) for n in names]
+
     def log(self) -> DataFrame:
-        batches = [n for n in self._names(f"{self.path}/log") if n.startswith("batch=") and self._exists(f"{self.path}/log/{n}/_SUCCESS")]
+        batches = self._batches()
         if not batches:
             return self.spark.createDataFrame([], CHANGELOG)
-        return self.spark.read.schema(CHANGELOG).parquet(*(f"{self.path}/log/{n}" for n in batches))
+        return self.spark.read.schema(CHANGELOG).parquet(*(f"{self.path}/log/{n}" for _, _, n in batches))
 
     def head(self) -> int:
-        """The last seq, of the log or of the newest snapshot; -1 with neither."""
-        last = self.log().agg(F.max("seq")).first()[0]
-        return max(-1 if last is None else last, self.snapshots()[-1] if self.snapshots() else -1)
+        """The last seq, of the log or of the newest snapshot; -1 with neither. Only names are read."""
+        ends = [last for _, last, _ in self._batches()] + self.snapshots()
+        return max(ends, default=-1)
 
     def snapshots(self) -> list[int]:
         names = [n for n in self._names(f"{self.path}/snapshots") if n.startswith("seq=")]
@@ -92,19 +108,36 @@ class ChangeLog:
         base = self.spark.read.schema(CORPUS).parquet(f"{self.path}/snapshots/seq={done[-1]}")
         return fold(self.log(), base, done[-1])
 
+    def rows_of(self, bucket: str, key: str) -> DataFrame:
+        """The corpus rows under a key, and those of the document of that name, from the records that bear on them."""
+        doc = key.rpartition("#")[0]
+        names = [key, doc] if doc else [key]
+        touched = (F.col("bucket") == bucket) & (F.col("op").isin("empty_bucket") | F.col("id").isin(names))
+        done = self.snapshots()
+        base, after = None, -1
+        if done:
+            stored = self.spark.read.schema(CORPUS).parquet(f"{self.path}/snapshots/seq={done[-1]}")
+            base, after = stored.where((F.col("bucket") == bucket) & (F.col("external_id").isin(names) | F.col("parent_doc_id").isin(names))), done[-1]
+        rows = fold(self.log().where(touched), base, after)
+        return rows.where((F.col("external_id") == key) | (F.col("parent_doc_id") == key))
+
     # Writing
 
     def append(self, records: DataFrame) -> int:
-        """Appends records in the order of their column nth; returns the last seq. Records of one call are one batch."""
+        """Appends records in the order of their column nth (0, 1, ..); returns the last seq. Records of one call are one batch.
+
+        The log is not read: the batch before says in its name where this one begins.
+        """
+        last = records.agg(F.max("nth")).first()[0]
         start = self.head() + 1
+        if last is None:
+            return start - 1
         numbered = records.withColumn("seq", F.col("nth") + F.lit(start))
-        names = [f.name for f in self.spark.createDataFrame([], CHANGELOG).schema]
-        for n in names:
-            if n not in numbered.columns:
-                numbered = numbered.withColumn(n, F.lit(None))
-        schema = self.spark.createDataFrame([], CHANGELOG).schema
-        numbered.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)).write.parquet(f"{self.path}/log/batch={start:020d}")
-        return self.head()
+        schema = StructType.fromDDL(CHANGELOG)
+        full = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in numbered.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+        name = f"batch={start:020d}-{start + last:020d}"
+        numbered.select(*full).write.mode("overwrite").parquet(f"{self.path}/log/{name}")  # over what a lost writer left
+        return start + last
 
     def _rows(self, rows: Sequence[dict]) -> DataFrame:
         full = [{"nth": i, "op": None, "bucket": None, "id": None, "text": None, "embedding": None, "chunks": None, "metadata": None, "home_epoch": None} | r for i, r in enumerate(rows)]
@@ -144,12 +177,12 @@ class ChangeLog:
         return self.append(self._rows([{"op": "insert_document", "bucket": bucket, "id": doc_id, "chunks": values, "metadata": None if metadata is None else json.dumps(metadata)}]))
 
     def delete(self, bucket: str, key: str) -> None:
-        if self.corpus().where((F.col("bucket") == bucket) & (F.col("external_id") == key)).isEmpty():
+        if self.rows_of(bucket, key).where(F.col("external_id") == key).isEmpty():
             raise NotFound(f"{bucket}/{key}")
         self.append(self._rows([{"op": "delete", "bucket": bucket, "id": key}]))
 
     def delete_document(self, bucket: str, doc_id: str) -> int:
-        n = count_chunks(self.corpus(), bucket, doc_id).first()[0]
+        n = count_chunks(self.rows_of(bucket, doc_id), bucket, doc_id).first()[0]
         if not n:
             raise NotFound(f"{bucket}/{doc_id}")
         self.append(self._rows([{"op": "delete_document", "bucket": bucket, "id": doc_id}]))
@@ -160,6 +193,33 @@ class ChangeLog:
         self.append(self._rows([{"op": "empty_bucket", "bucket": bucket}]))
         return n
 
+    def import_rows(self, rows: DataFrame) -> int:
+        """Appends corpus rows, if every one has an id and a vector of the right length; else an error, and nothing is
+        appended. Chunks come in as whole documents, so that they can be deleted as such. Returns how many rows."""
+        good = check_import(rows, self.dim)
+        none = F.lit(None)
+        plain = good.where("parent_doc_id is null").select(F.lit("insert").alias("op"), "bucket", F.col("external_id").alias("id"), "text", "embedding", none.cast(CHUNKS).alias("chunks"), "metadata")
+        chunk = F.struct(F.col("chunk_index").alias("index"), F.lit(0).alias("char_start"), "text", F.col("embedding").alias("vector"))
+        whole = good.where("parent_doc_id is not null").groupBy("bucket", F.col("parent_doc_id").alias("id")).agg(F.array_sort(F.collect_list(chunk)).alias("chunks"), F.first("metadata").alias("metadata"))
+        docs = whole.select(F.lit("insert_document").alias("op"), "bucket", "id", none.cast("string").alias("text"), none.cast("array<float>").alias("embedding"), F.col("chunks").cast(CHUNKS).alias("chunks"), "metadata")
+        # Rows are numbered partition by partition, without gathering them: only a partition's number of rows is.
+        both = plain.unionByName(docs).withColumn("_id", F.monotonically_increasing_id())
+        path = f"{self.path}/incoming-{uuid.uuid4().hex}"
+        both.write.parquet(path)
+        stored = self.spark.read.schema(both.schema).parquet(path)
+        sizes = stored.groupBy(F.shiftright("_id", 33).alias("p")).count().orderBy("p").collect()
+        bases, total = [], 0
+        for p, n in sizes:
+            bases.append((p, total))
+            total += n
+        if total:
+            starts = F.broadcast(self.spark.createDataFrame(bases, "p bigint, base bigint"))  # a row a partition
+            placed = stored.join(starts, F.shiftright("_id", 33) == F.col("p"))
+            self.append(placed.withColumn("nth", F.col("base") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))))
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+        return good.count()
+
     # Durability
 
     def snapshot(self) -> int:
@@ -175,11 +235,9 @@ class ChangeLog:
         if not done:
             return 0
         limit = min([done[-1], *acks])
-        names = [n for n in self._names(f"{self.path}/log") if n.startswith("batch=")]
-        starts = [int(n.split("=")[1]) for n in names]
         dropped = 0
-        for name, following in zip(names, [*starts[1:], self.head() + 1], strict=True):
-            if following - 1 <= limit:
+        for _, last, name in self._batches():
+            if last <= limit:
                 fs, p = self._fs(f"{self.path}/log/{name}")
                 fs.delete(p, True)
                 dropped += 1

@@ -94,8 +94,22 @@ def test_a_batch_without_its_commit_does_not_count(spark, tmp_path):
     log = changelog.ChangeLog(spark, str(tmp_path / "log"))
     log.upsert("b", "1", "one")
     log.upsert("b", "2", "two")
-    (tmp_path / "log/log/batch=00000000000000000001/_SUCCESS").unlink()
-    assert [r.external_id for r in log.corpus().collect()] == ["1"]
+    (tmp_path / "log/log/batch=00000000000000000001-00000000000000000001/_SUCCESS").unlink()
+    assert [r.external_id for r in log.corpus().collect()] == ["1"] and log.head() == 0
+    log.upsert("b", "3", "three")  # takes the place of what was left
+    assert sorted(r.external_id for r in log.corpus().collect()) == ["1", "3"] and log.head() == 1
+
+
+def test_import_keeps_documents_together(spark, tmp_path):
+    rows = [("b", "1", "one", "{}", None, None, [1.0, 0.0]), ("b", "d#0", "x", '{"k": 1}', "d", 0, [0.0, 1.0]), ("b", "d#1", "y", '{"k": 1}', "d", 1, [0.0, 1.0])]
+    log = changelog.ChangeLog(spark, str(tmp_path / "log"), "m", 2)
+    frame = spark.createDataFrame(rows, "bucket string, external_id string, text string, metadata string, parent_doc_id string, chunk_index int, embedding array<float>")
+    assert log.import_rows(frame.repartition(3)) == 3 and log.head() == 1
+    assert {(r.external_id, r.text, r.parent_doc_id, r.chunk_index) for r in log.corpus().collect()} == {(r[1], r[2], r[4], r[5]) for r in rows}
+    assert log.delete_document("b", "d") == 2
+    with pytest.raises(TypeMismatch):
+        log.import_rows(frame.withColumn("embedding", F.array(F.lit(1.0)).cast("array<float>")))
+    assert log.head() == 2 and log.import_rows(frame.limit(0)) == 0
 
 
 def test_scheduler(spark, tmp_path):
