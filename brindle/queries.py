@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from . import rag
 from .embed import HashEmbedder, embed_column, embed_with_table
 from .engine import Engine
+from .errors import NotFound
 from .functions import metadata as M
 from .functions import text as T
 from .functions import vectors as V
@@ -23,6 +25,8 @@ from .streaming import cdc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 DIM = 64
+#: The first so many vectors go round the rows of other tables.
+ROUND = 500
 
 
 def query(sql: str | None = None):
@@ -40,14 +44,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="brindle-")
+    """A new folder that all executors see: in spark.checkpoint.dir; only a local session may do without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="brindle-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as the corpus of bucket docs, with the vectors of equal number."""
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    """All documents as the corpus of bucket docs; vectors go round the embeddings."""
+    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < ROUND).select("vec_id", "embedding")
+    rows = table(spark, sf_dir, "documents").join(F.broadcast(e), F.pmod("doc_id", F.lit(ROUND)) == F.col("vec_id"))  # ROUND rows
     return corpus.as_corpus(rows, F.lit("docs"), F.col("doc_id"), F.col("text"), F.to_json(F.struct("lang", "source", "n_chars")), F.col("embedding"))
 
 
@@ -82,7 +92,7 @@ def of(vec_id: int) -> str:
     return f"(select embedding::DOUBLE[] from embeddings where vec_id = {vec_id})"
 
 
-DOCS = "docs as (select 'docs' bucket, d.doc_id::varchar external_id, d.text, d.lang, d.source, d.n_chars, e.embedding::DOUBLE[] v from documents d join embeddings e on d.doc_id = e.vec_id)"
+DOCS = "docs as (select 'docs' bucket, d.doc_id::varchar external_id, d.text, d.lang, d.source, d.n_chars, e.embedding::DOUBLE[] v from documents d join embeddings e on d.doc_id % 500 = e.vec_id)"
 HITS = "hits as (select *, list_cosine_distance(v, {q}) score from docs order by score, external_id limit {k})"
 TOKENS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
@@ -91,6 +101,43 @@ def docs_hits(q: str, k: int) -> str:
     return f"with {DOCS}, {HITS.format(q=q, k=k)}"
 
 
+_built: dict[tuple, str] = {}
+
+
+def built(spark: SparkSession, sf_dir: str, what: str, names: tuple[str, ...], make: Callable[[str], None]) -> str:
+    """The folder of an index over some tables: made once in a session, and again when a table's files have changed."""
+    stamp = []
+    for name in names:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        s = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p)
+        f = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+        stamp.append((s.getLength(), s.getFileCount(), f.getModificationTime()))
+    key = (spark.sparkContext.applicationId, sf_dir, what, *stamp)
+    if key not in _built:
+        path = scratch(spark, what)
+        make(path)
+        _built[key] = path
+    return _built[key]
+
+
+def word_index(spark: SparkSession, sf_dir: str) -> lexical.WordIndex:
+    """Stored postings of documents by doc_id."""
+    path = built(spark, sf_dir, "words", ("documents",), lambda p: lexical.WordIndex(spark, p, ("doc_id",)).add(table(spark, sf_dir, "documents")))
+    return lexical.WordIndex(spark, path, ("doc_id",))
+
+
+def corpus_index(spark: SparkSession, sf_dir: str) -> lexical.WordIndex:
+    """Stored postings of the corpus of documents()."""
+    path = built(spark, sf_dir, "corpus-words", ("documents", "embeddings"), lambda p: lexical.WordIndex(spark, p).add(documents(spark, sf_dir)))
+    return lexical.WordIndex(spark, path)
+
+
+def stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus of documents() as it is kept, by bucket."""
+    path = built(spark, sf_dir, "corpus", ("documents", "embeddings"), lambda p: corpus.write(documents(spark, sf_dir), p))
+    return corpus.read(spark, path)
+
+
 def engine(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> Engine:
     return Engine(documents(spark, sf_dir) if rows is None else rows, dim=DIM)
 
@@ -124,9 +171,12 @@ def src_05_export(spark, sf_dir):
     return corpus.export_bucket(documents(spark, sf_dir), "docs").select("external_id", "text", F.round(total, 4).alias("total"))
 
 
-@query(f"with {DOCS} select count(*) rows_in, count(distinct external_id) ids from docs")
+@query(f"with {DOCS} select external_id, text, n_chars::varchar n_chars, round(list_sum(v), 4) total from docs")
 def src_06_import(spark, sf_dir):
-    return corpus.check_import(documents(spark, sf_dir), DIM).agg(F.count("*").alias("rows_in"), F.countDistinct("external_id").alias("ids"))
+    log = changelog.ChangeLog(spark, scratch(spark, "log"), "hash", DIM)
+    log.import_rows(documents(spark, sf_dir))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return log.corpus().select("external_id", "text", M.json_text(F.col("metadata"), "n_chars").alias("n_chars"), F.round(total, 4).alias("total"))
 
 
 STRIPPED = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -137,7 +187,7 @@ def src_09_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
 
 
-@query()
+@query("select event_id, '{' || chr(10) || '  \"k\": ' || (props->'$.k')::varchar || chr(10) || '}' as text from events")
 def src_10_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", pretty_json(F.col("props")).alias("text"))
 
@@ -166,9 +216,24 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"with {LOG} select op, bucket, count(*) n, max(seq) last_seq from log group by all")
+def appended(spark, sf_dir, parts: int) -> changelog.ChangeLog:
+    """events as a stored change log of so many batches."""
+    log = changelog.ChangeLog(spark, scratch(spark, "log"))
+    records = event_log(spark, sf_dir)
+    least, last = records.agg(F.min("seq"), F.max("seq")).first()
+    size = (last - least) // parts + 1
+    for start in range(least, last + 1, size):
+        batch = records.where((F.col("seq") >= start) & (F.col("seq") < start + size))
+        log.append(batch.withColumn("nth", F.col("seq") - F.lit(start)).drop("seq"))
+    return log
+
+
+@query(f"with {LOG}, s as (select *, seq - min(seq) over () n, (max(seq) over () - min(seq) over ()) // 4 + 1 size from log), kept as (select *, n as place from s where n < 3 * size) select op, bucket, count(*) n, max(place) last_seq from kept group by all")
 def src_12_log_replay(spark, sf_dir):
-    return event_log(spark, sf_dir).groupBy("op", "bucket").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
+    log = appended(spark, sf_dir, 4)
+    fs, p = log._fs(f"{log.path}/log/{log._batches()[-1][2]}/_SUCCESS")
+    fs.delete(p, False)  # the writer of the last batch did not come to its end: replay stops before it
+    return log.log().groupBy("op", "bucket").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
 
 
 @query(f"{FOLD} select bucket, external_id, text from live")
@@ -181,11 +246,10 @@ def snk_01_snapshot(spark, sf_dir):
     return changelog.fold(log, base, half).select("bucket", "external_id", "text")
 
 
-@query(f"with {LOG} select seq, op, bucket, id from log")
+@query(f"with {LOG} select seq - min(seq) over () seq, op, bucket, id, (select max(seq) - min(seq) from log) head from log")
 def snk_02_log_append(spark, sf_dir):
-    path = scratch(spark, "log")
-    event_log(spark, sf_dir).write.parquet(path)
-    return changelog.read_log(spark, path).select("seq", "op", "bucket", "id")
+    log = appended(spark, sf_dir, 3)
+    return log.log().select("seq", "op", "bucket", "id", F.lit(log.head()).cast("bigint").alias("head"))
 
 
 @query(f"{FOLD} select bucket, external_id, text from live")
@@ -482,10 +546,17 @@ def sca_18_similarity(spark, sf_dir):
     return vector_pairs(spark, sf_dir).select("vec_id", F.round(fusion.similarity(V.cosine_distance(F.col("x"), F.col("y"))), 6).alias("s"))
 
 
-@query()
+#: The hash embedder in whole numbers of 128 bits: FNV-1a over the bytes, then DIM steps of xorshift64, cut to 64 bits each time.
+EMBEDDED = f"""b as (select item_id, hex(encode(text)) x from benchmark), f as (select item_id, list_reduce(list_prepend(14695981039346656037::uhugeint, list_transform(range(1, length(x), 2), lambda i: ('0x' || x[i : i + 1])::uhugeint)), lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616::uhugeint) h from b),
+ x as (select item_id, list_reduce(list_prepend([case when h = 0 then {{zero}}::uhugeint else h end], list_transform(range({DIM}), lambda i: [i::uhugeint])), lambda s, i: s || [xor(xor(xor(s[-1], (s[-1] * 8192) % 18446744073709551616::uhugeint), xor(s[-1], (s[-1] * 8192) % 18446744073709551616::uhugeint) // 128), (xor(xor(s[-1], (s[-1] * 8192) % 18446744073709551616::uhugeint), xor(s[-1], (s[-1] * 8192) % 18446744073709551616::uhugeint) // 128) * 131072) % 18446744073709551616::uhugeint)]) s from f),
+ v as (select item_id, list_transform(s[2:], lambda k: (k // 1099511627776)::double / 16777216 * 2 - 1) v from x)"""
+
+
+@query(f"with {EMBEDDED.format(zero=1)} select item_id, len(v) dim, list_transform(v, lambda k: round(10000 * k / sqrt(list_sum(list_transform(v, lambda y: y * y))))::bigint)::varchar as shown from v")
 def sca_19_hash_embedding(spark, sf_dir):
     e = table(spark, sf_dir, "benchmark").select("item_id", embed_column(HashEmbedder(DIM), F.col("text")).alias("v"))
-    return e.select("item_id", F.size("v").alias("dim"), F.round(V.dot(F.col("v"), F.col("v")), 4).alias("norm"))
+    shown = F.concat(F.lit("["), F.array_join(F.transform("v", lambda x: F.round(x.cast("double") * 10000).cast("bigint").cast("string")), ", "), F.lit("]"))
+    return e.select("item_id", F.size("v").alias("dim"), shown.alias("shown"))
 
 
 @query("select item_id, sha256('hash' || chr(0) || text) as key from benchmark")
@@ -506,7 +577,7 @@ def sca_22_prompt(spark, sf_dir):
 
 @query("select item_id, 'Answer: ' || text answer from benchmark")
 def sca_23_echo_model(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("Answer: "), "text").alias("answer"))
+    return table(spark, sf_dir, "benchmark").select("item_id", rag.generate_column(rag.EchoModel(), F.col("text")).alias("answer"))
 
 
 @query("select event_id, case when user_id % 3 = 0 then 'bearer:' || ('token-' || event_id || '-0123456789')[:16] when user_id % 3 = 1 then 'ip:10.0.0.' || (user_id % 256) else 'anon' end fingerprint from events")
@@ -578,11 +649,35 @@ def ret_02_metrics(spark, sf_dir):
     return rounded(l2.union(dot))
 
 
-@query()
-def ret_01_ivf(spark, sf_dir):
+def near_index(spark: SparkSession, sf_dir: str, quantized: bool = False) -> tuple[knn.IvfIndex, DataFrame]:
+    """The stored index over embeddings: 32 cells fitted on a sample, every row in one."""
+    e = table(spark, sf_dir, "embeddings")
+    path = built(spark, sf_dir, f"cells-{quantized}", ("embeddings",), lambda p: knn.IvfIndex.fit(e, 32).store(e, p, quantized))
+    return knn.IvfIndex.load(spark, path)
+
+
+def recall_of(spark, sf_dir, quantized: bool) -> DataFrame:
+    """Queries with ids divisible by 100 against all rows: whether the index finds 0.9 of the exact neighbours."""
     e = table(spark, sf_dir, "embeddings")
-    index = knn.IvfIndex.fit(e, 16)
-    return rounded(index.search(index.assign(e), vector_of(spark, sf_dir, 0), 10, probes=8).select("vec_id", "score"))
+    index, rows = near_index(spark, sf_dir, quantized)
+    asked = e.where("vec_id % 100 = 0").orderBy("vec_id").collect()  # a stated set of queries
+    found = [index.search(rows, r.embedding, 10, probes=24).select(F.lit(r.vec_id).alias("query_id"), "vec_id") for r in asked]
+    exact = knn.batch_topk(e, e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 10)
+    share = knn.recall(reduce(DataFrame.union, found), exact)
+    return spark.createDataFrame([(len(asked), rows.count(), share >= 0.9)], "queries bigint, rows_indexed bigint, recall_holds boolean")
+
+
+RECALL = "select count(*) filter (where vec_id % 100 = 0) queries, count(*) rows_indexed, true recall_holds from embeddings"
+
+
+@query(RECALL)
+def ret_01_ivf(spark, sf_dir):
+    return recall_of(spark, sf_dir, False)
+
+
+@query(RECALL)
+def ret_01_ivf_int8(spark, sf_dir):
+    return recall_of(spark, sf_dir, True)
 
 
 def bm25_sql(source: str, key: str, q: str, k: int, extra: str = "") -> str:
@@ -594,13 +689,31 @@ def bm25_sql(source: str, key: str, q: str, k: int, extra: str = "") -> str:
 
 @query(f"with {bm25_sql('documents', 'doc_id', 'the idiot erin', 20)} select doc doc_id, round(score, 6) score from sc")
 def ret_03_bm25(spark, sf_dir):
+    return rounded(word_index(spark, sf_dir).search("the idiot erin", 20))
+
+
+@query(f"with {bm25_sql('documents', 'doc_id', 'the idiot erin', 20)} select doc doc_id, round(score, 6) score from sc")
+def ret_03_bm25_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rounded(lexical.bm25(docs, "the idiot erin", 20, key=("doc_id",)).select("doc_id", "score"))
 
 
 @query(f"select doc_id, t term, count(*) tf, any_value(len)::int len from (select doc_id, unnest(k) t, length(k) len from (select doc_id, {TOKENS.format('text')} k from documents)) group by doc_id, t")
 def ret_04_postings(spark, sf_dir):
-    return lexical.postings(table(spark, sf_dir, "documents"), ("doc_id",))
+    return word_index(spark, sf_dir).postings().select("doc_id", "term", "tf", "len")
+
+
+CHANGED = "changed as (select doc_id, case when doc_id % 5 = 0 then reverse(text) || ' erin' else text end as text from documents where doc_id % 7 <> 0)"
+
+
+@query(f"with {CHANGED}, {bm25_sql('changed', 'doc_id', 'the idiot erin', 20)} select doc doc_id, round(score, 6) score from sc")
+def ret_04_maintenance(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = lexical.WordIndex(spark, scratch(spark, "words"), ("doc_id",), 8)
+    index.add(docs)
+    index.add(docs.where("doc_id % 5 = 0").withColumn("text", F.concat(F.reverse("text"), F.lit(" erin"))))
+    index.remove(docs.where("doc_id % 7 = 0"))
+    return rounded(index.search("the idiot erin", 20))
 
 
 HYBRID_Q = "the on and"
@@ -617,16 +730,17 @@ def hybrid_sql(weights: tuple[float, float], k: int) -> str:
 
 @query(hybrid_sql((0.5, 0.5), 10))
 def ret_05_hybrid(spark, sf_dir):
-    return rounded(engine(spark, sf_dir).search(HYBRID_Q, 10, hybrid=True).select("id", "score"))
+    e = Engine(stored_corpus(spark, sf_dir), dim=DIM, words=corpus_index(spark, sf_dir))
+    return rounded(e.search(HYBRID_Q, 10, hybrid=True).select("id", "score"))
 
 
 @query(hybrid_sql((0.2, 0.8), 10))
 def ret_06_weights(spark, sf_dir):
-    e = Engine(documents(spark, sf_dir), dim=DIM, weights=fusion.Weights(by_bucket={"docs": (0.2, 0.8)}))
+    e = Engine(documents(spark, sf_dir), dim=DIM, weights=fusion.Weights(by_bucket={"docs": (0.2, 0.8)}))  # scans
     return rounded(e.search(HYBRID_Q, 10, bucket="docs", hybrid=True).select("id", "score"))
 
 
-@query()
+@query("select * from (values (0, 'how do I set up VPN, or k8s?'), (1, 'how do I set up virtual private network or k8s?'), (2, 'how do I set up remote access or k8s?'), (3, 'how do I set up VPN, or kubernetes')) t(nth, variant)")
 def ret_07_expand(spark, sf_dir):
     return spark.createDataFrame([(i, v) for i, v in enumerate(fusion.expand_query("how do I set up VPN, or k8s?"))], "nth int, variant string")
 
@@ -642,24 +756,45 @@ def ret_09_rerank(spark, sf_dir):
     return fusion.rerank(hits, "q", 4, key=("bucket", "id")).select("id", "score")
 
 
-@query()
+RAG_Q = "what is the on?"
+#: The three nearest documents, the prompt over them, and what the echo model makes of it.
+ANSWERED = f"""with {DOCS}, {HITS.format(q=sql_vector(RAG_Q), k=3)}, n as (select *, row_number() over (order by score, external_id) - 1 nth from hits),
+ a as (select 'Answer: Context:' || chr(10) || string_agg('[' || nth || '] ' || text || chr(10), '' order by nth) || chr(10) || 'Question: {RAG_Q}' || chr(10) || 'Answer concisely using only the context above.' answer, string_agg(external_id || '@' || round(score, 4), ',' order by nth) sources from n)"""
+
+
+@query(f"{ANSWERED} select '{RAG_Q}' query, answer, sources from a")
 def ret_10_rag(spark, sf_dir):
-    a = engine(spark, sf_dir).rag_answer("what is the on?", 3, hybrid=True, expand=True, rerank=True)
-    return spark.createDataFrame([(a["query"], a["answer"], [(s["doc"], s["chunk"], s["score"]) for s in a["sources"]])], "query string, answer string, sources array<struct<doc:string,chunk:int,score:double>>")
+    a = engine(spark, sf_dir).rag_answer(RAG_Q, 3)
+    return spark.createDataFrame([(a["query"], a["answer"], ",".join(f"{s['doc']}@{round(s['score'], 4)}" for s in a["sources"]))], "query string, answer string, sources string")
 
 
 @query()
+def ret_10_rag_all_steps(spark, sf_dir):
+    a = engine(spark, sf_dir).rag_answer(RAG_Q, 3, hybrid=True, expand=True, rerank=True)
+    return spark.createDataFrame([(a["query"], a["answer"], [(s["doc"], s["chunk"], s["score"]) for s in a["sources"]])], "query string, answer string, sources array<struct<doc:string,chunk:int,score:double>>")
+
+
+@query(f"""{ANSWERED}, d as (select unnest(regexp_extract_all(answer, '[^ ]* |[^ ]+$')) w, generate_subscripts(regexp_extract_all(answer, '[^ ]* |[^ ]+$'), 1) i from a)
+ select nth::int nth, 'context' event, external_id as value from n union all select (2 + i)::int, 'answer_delta', w from d union all select (3 + (select max(i) from d))::int, 'done', ''""")
 def ret_11_rag_stream(spark, sf_dir):
-    events = list(engine(spark, sf_dir).rag_stream("what is the on?", 3))
+    events = list(engine(spark, sf_dir).rag_stream(RAG_Q, 3))
     return spark.createDataFrame([(i, e["event"], str(e.get("id") or e.get("delta") or "")) for i, e in enumerate(events)], "nth int, event string, value string")
 
 
-@query()
+@query(f"{ANSWERED} select 'ai_answer' id, answer, sources from a")
 def ret_12_ai_answer(spark, sf_dir):
-    return engine(spark, sf_dir).sql("SELECT ai_answer('what is the on?', 'docs', 3)")
+    row = engine(spark, sf_dir).sql(f"SELECT ai_answer('{RAG_Q}', 'docs', 3)")
+    return row.select("id", "answer", F.array_join(F.transform("sources", lambda s: F.concat(s["doc"], F.lit("@"), F.round(s["score"], 4).cast("string"))), ",").alias("sources"))
 
 
-@query()
+PLANNED = (
+    '{"node": "aggregate", "input": {"node": "scan", "bucket": "docs", "semantic": {"node": "match", "column": "text", "query": "x"}, '
+    '"filters": [{"path": "lang", "values": ["en", "de"]}], "columns": null, "order_by": null, "limit": null}, "group_keys": ["lang"], '
+    '"aggs": [{"fn": "count", "path": null, "alias": "n"}], "order_by": {"key": "n", "descending": true}, "limit": 3}'
+)
+
+
+@query(f"select '{PLANNED}' as plan")
 def ret_14_explain(spark, sf_dir):
     plan = engine(spark, sf_dir).explain("SELECT lang, COUNT(*) AS n FROM docs WHERE semantic_match(text, 'x') AND lang IN ('en', 'de') GROUP BY lang ORDER BY n DESC LIMIT 3")
     return spark.createDataFrame([(plan,)], "plan string")
@@ -685,7 +820,7 @@ def mut_06_state_by_bucket(spark, sf_dir):
     return changelog.fold(event_log(spark, sf_dir)).groupBy("bucket").agg(F.count("*").alias("docs"), F.countDistinct("parent_doc_id").alias("parents"))
 
 
-@query()
+@query("select 2 seq, 2 dropped, 3 docs")
 def mut_08_compact(spark, sf_dir):
     log = changelog.ChangeLog(spark, scratch(spark, "log"))
     for i in range(3):
@@ -709,7 +844,7 @@ def str_02_filter(spark, sf_dir):
     return cdc.filter_events(cdc.to_events(event_log(spark, sf_dir)), "b2", ("insert", "delete")).select("cursor", "op")
 
 
-@query()
+@query(f"with {LOG} select seq as cursor, seq + 1 next_cursor, op from log")
 def str_03_cdc_files(spark, sf_dir):
     path = scratch(spark, "log")
     event_log(spark, sf_dir).write.parquet(path)
@@ -718,7 +853,7 @@ def str_03_cdc_files(spark, sf_dir):
     return spark.read.schema("cursor bigint, next_cursor bigint, op string").json(out)
 
 
-@query()
+@query(f"{FOLD} select bucket, external_id, text from live")
 def str_04_follower(spark, sf_dir):
     path, copy = scratch(spark, "log"), scratch(spark, "copy")
     event_log(spark, sf_dir).repartition(4, "seq").write.parquet(path)
@@ -768,24 +903,74 @@ def fold_of(spark, sf_dir, *ops: str) -> DataFrame:
 SELECT_LIVE = " select bucket, external_id, parent parent_doc_id, text from live"
 
 
-@query(fold_sql("insert") + SELECT_LIVE)
-def mut_02_bulk_upsert(spark, sf_dir):
-    return fold_of(spark, sf_dir, "insert")
+@query(fold_sql("insert", "delete") + SELECT_LIVE)
+def mut_07_fold_deletes(spark, sf_dir):
+    return fold_of(spark, sf_dir, "insert", "delete")
+
+
+@query(fold_sql("insert_document", "delete_document") + SELECT_LIVE)
+def mut_07_fold_documents(spark, sf_dir):
+    return fold_of(spark, sf_dir, "insert_document", "delete_document")
+
+
+def item_log(spark, sf_dir) -> changelog.ChangeLog:
+    """benchmark as rows of bucket b in a stored log, and conversations as documents of bucket c, one chunk a turn."""
+    log = changelog.ChangeLog(spark, scratch(spark, "log"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    log.append(items.select(F.lit("insert").alias("op"), F.lit("b").alias("bucket"), F.col("item_id").cast("string").alias("id"), "text", (F.row_number().over(stats.Window.orderBy("item_id")) - 1).alias("nth")))  # a few items
+    said = table(spark, sf_dir, "conversations").select(F.lit("c").alias("bucket"), F.concat_ws("#", "conv_id", "turn").alias("external_id"), "text", F.lit(None).cast("string").alias("metadata"), F.col("conv_id").cast("string").alias("parent_doc_id"), F.col("turn").cast("int").alias("chunk_index"), F.lit(None).cast("array<float>").alias("embedding"))
+    log.import_rows(said)
+    return log
 
 
-@query(fold_sql("insert_document") + SELECT_LIVE)
+ITEMS = "rows as (select 'b' bucket, item_id::varchar external_id, text from benchmark union all select 'c', conv_id || '#' || turn, text from conversations)"
+
+
+@query("select item_id::varchar id, item_id % 7 <> 0 as went_in, case when item_id % 7 <> 0 then text end as stored from benchmark")
+def mut_02_bulk_upsert(spark, sf_dir):
+    log = changelog.ChangeLog(spark, scratch(spark, "log"), "hash", 2)
+    rows = table(spark, sf_dir, "benchmark").orderBy("item_id").collect()  # the items of a few requests
+    said = []
+    for at in range(0, len(rows), changelog.BULK_MOST):
+        part = rows[at : at + changelog.BULK_MOST]
+        answers = log.bulk("b", [{"id": str(r.item_id), "text": r.text, "embedding": [1.0, 0.0, 0.0] if r.item_id % 7 == 0 else [1.0, 0.0]} for r in part])
+        said += [(a["id"], a["ok"]) for a in answers]
+    told = spark.createDataFrame(said, "id string, went_in boolean")
+    return told.join(log.corpus().select(F.col("external_id").alias("id"), F.col("text").alias("stored")), "id", "left")
+
+
+@query(f"with {ITEMS} select external_id, text from rows where external_id not like '3#%' union all values ('3#0', 'one'), ('3#1', 'two')")
 def mut_03_upsert_document(spark, sf_dir):
-    return fold_of(spark, sf_dir, "insert_document")
+    log = item_log(spark, sf_dir)
+    log.upsert_document("c", "3", [{"index": i, "char_start": 0, "text": t} for i, t in enumerate(("one", "two"))])
+    return log.corpus().select("external_id", "text")
 
 
-@query(fold_sql("insert", "delete") + SELECT_LIVE)
+@query(f"with {ITEMS} select external_id, text, true unknown_is_refused from rows where external_id not in ('2', '3#1')")
 def mut_04_delete(spark, sf_dir):
-    return fold_of(spark, sf_dir, "insert", "delete")
+    log = item_log(spark, sf_dir)
+    log.delete("b", "2")
+    log.delete("c", "3#1")
+    refused = False
+    try:
+        log.delete("b", "no such key")
+    except NotFound:
+        refused = True
+    return log.corpus().select("external_id", "text", F.lit(refused).alias("unknown_is_refused"))
+
+
+@query(f"with {ITEMS} select external_id, text, (select count(*) from conversations where conv_id = 3) deleted from rows where external_id not like '3#%'")
+def mut_05_delete_document(spark, sf_dir):
+    log = item_log(spark, sf_dir)
+    n = log.delete_document("c", "3")
+    return log.corpus().select("external_id", "text", F.lit(n).cast("bigint").alias("deleted"))
 
 
-@query(fold_sql("insert_document", "delete_document") + SELECT_LIVE)
-def mut_05_delete_document(spark, sf_dir):
-    return fold_of(spark, sf_dir, "insert_document", "delete_document")
+@query("select item_id::varchar external_id, text, (select count(*) from conversations) emptied from benchmark")
+def mut_06_empty_bucket(spark, sf_dir):
+    log = item_log(spark, sf_dir)
+    n = log.empty_bucket("c")
+    return log.corpus().select("external_id", "text", F.lit(n).cast("bigint").alias("emptied"))
 
 
 @query(f"with {SIDES.format(q=of(4), ku=10, ko=10)} select u.id || ':' || o.id id, u.id \"u.id\", o.id \"o.id\" from u join o on case when u.id::int % 3 > 0 then u.nation end = o.nation")

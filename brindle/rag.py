@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +44,16 @@ def prompt_column(question: Column, snippets: Column) -> Column:
     return F.concat(context, F.lit("Question: "), question, F.lit("\nAnswer concisely using only the context above."))
 
 
+def generate_column(model: LanguageModel, prompt: Column) -> Column:
+    """What the model says to each prompt, its deltas joined; null for a null prompt. An Arrow batch goes to a task's model at a time."""
+
+    @F.arrow_udf("string")
+    def run(batch: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else "".join(model.stream(p)) for p in batch.to_pylist()], pa.string())
+
+    return run(prompt)
+
+
 def attribute(hit_id: str, score: float) -> dict:
     doc, mark, chunk = hit_id.rpartition("#")
     if not mark:
