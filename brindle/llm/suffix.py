@@ -670,7 +670,7 @@ def _merge(batches):
 def _bits(rows: DataFrame) -> int:
     """How many bits of a hash name a bucket: so many that a bucket holds about BUCKET bytes."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(MOST_BITS, max(2, int(total // BUCKET).bit_length()))
+    return min(MOST_BITS, max(7, int(total // BUCKET).bit_length()))
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
