@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import join_hot, stored
+from .common import Between, join_hot, stored
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
@@ -123,9 +123,10 @@ def format_tree(conversations: DataFrame, tokenizer_path: str) -> tuple[DataFram
         yield from _chunks(turns(), named_schema)
 
     sorted_rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
-    named, _ = stored(sorted_rows.mapInArrow(chain, f"conv_id {id_type}, k bigint, key binary, role string, text string"), "turns")
-    passing, _ = stored(named.groupBy("key").agg(F.count("*").alias("n"), F.min("conv_id").alias("owner")), "passing")
-    counted = join_hot(named, passing, "key").select("conv_id", "k", "key", "role", "text", "n", "owner")
+    between = Between(spark)
+    named = between.stored(sorted_rows.mapInArrow(chain, f"conv_id {id_type}, k bigint, key binary, role string, text string"), "turns")
+    passing = between.stored(named.groupBy("key").agg(F.count("*").alias("n"), F.min("conv_id").alias("owner")), "passing")
+    counted = join_hot(named, passing, "key", between=between).select("conv_id", "k", "key", "role", "text", "n", "owner")
 
     node_schema = pa.schema([("conv_id", arrow_id), ("nth", pa.int64()), ("key", pa.binary()), ("owned", pa.bool_()), ("path", pa.binary()), ("position", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("loss", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))])
 
@@ -174,7 +175,7 @@ def format_tree(conversations: DataFrame, tokenizer_path: str) -> tuple[DataFram
             at = int(ends[-1]) if len(n) else at
 
     line = merged.where("owned").select("path", "key", "n_tokens")
-    laid, _ = stored(line.repartitionByRange("path").sortWithinPartitions("path").select("key", "n_tokens").mapInArrow(lay, "key binary, part bigint, local bigint, n_tokens bigint"), "line")
+    laid = between.stored(line.repartitionByRange("path").sortWithinPartitions("path").select("key", "n_tokens").mapInArrow(lay, "key binary, part bigint, local bigint, n_tokens bigint"), "line")
     parts = laid.groupBy("part").agg(F.sum("n_tokens")).orderBy("part").collect()  # a row a partition
     base, bases = 0, []
     for part, n in parts:
@@ -200,11 +201,12 @@ def format_tree(conversations: DataFrame, tokenizer_path: str) -> tuple[DataFram
 
         yield from _chunks(nodes(), trail_schema)
 
-    placed, _ = stored(starts, "places")
-    walked = join_hot(merged.select("conv_id", "nth", "key", "owned", "n_tokens"), placed, "key").select("conv_id", "nth", "key", "owned", "start", "n_tokens")
+    placed = between.stored(starts, "places")
+    walked = join_hot(merged.select("conv_id", "nth", "key", "owned", "n_tokens"), placed, "key", between=between).select("conv_id", "nth", "key", "owned", "start", "n_tokens")
     trails = walked.repartition("conv_id").sortWithinPartitions("conv_id", "nth").mapInArrow(trail, "key binary, start bigint, ancestors array<struct<a:bigint,b:bigint>>")
     bodies = merged.where("owned").select("key", "n_tokens", "position", "ids", "loss", F.col("conv_id").alias("owner"))
     nodes, _ = stored(bodies.join(trails, "key").select("key", "start", "n_tokens", "position", "ids", "loss", "ancestors", "owner"), "nodes")
+    between.drop()
     return nodes, merged.select("conv_id", "nth", "key")
 
 

@@ -53,7 +53,25 @@ def discard(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, share: int = 1000, least: int = 100, size: Column | None = None, most_bytes: int = 16 << 20) -> DataFrame:
+class Between:
+    """Tables that are needed until a later one is stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+        table, path = stored(df, label, compression)
+        self.paths.append(path)
+        return table
+
+    def drop(self) -> None:
+        """Deletes them; what was made from them must be stored by now."""
+        for path in self.paths:
+            discard(self.spark, path)
+        self.paths.clear()
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, share: int = 1000, least: int = 100, size: Column | None = None, most_bytes: int = 16 << 20, between: Between | None = None) -> DataFrame:
     """left join right on `key`, of which right has one row each, where few keys may hold many of left's rows.
 
     Keys of more than 1 / share of left's rows (and of more than `least`) are fewer than `share`. Their rows of right are
@@ -62,7 +80,7 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, share: int = 1000, lea
     tables: both are read twice.
     """
     total = left.count()
-    names, _ = stored(left.groupBy(F.col(key).alias("__hot")).count().where(F.col("count") > max(total // share, least)).select("__hot"), "hot")
+    names = (between or Between(left.sparkSession)).stored(left.groupBy(F.col(key).alias("__hot")).count().where(F.col("count") > max(total // share, least)).select("__hot"), "hot")
     rows = right.join(F.broadcast(names), F.col(key) == F.col("__hot"), "left_semi")
     if names.isEmpty() or (size is not None and (rows.agg(F.sum(size)).first()[0] or 0) > most_bytes):
         return left.join(right, key)

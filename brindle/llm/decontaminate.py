@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Between, stored
 
 WIDTH = 8
 #: Rows up to this many (about 40 MB) are broadcast: windows of the benchmark, slots, ids with leaks. More are joined by
@@ -100,12 +100,13 @@ def _row(id_column: str, text_column: str) -> Column:
     return F.xxhash64(F.col(id_column).cast("string"), F.col(text_column).cast("string"))
 
 
-def alignments(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", capitals: bool = True) -> DataFrame:
+def alignments(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", capitals: bool = True, between: Between | None = None) -> DataFrame:
     """(doc, item, template, diagonal, places, consistent): one row for each alignment of a row of docs and an item in a template.
 
     doc is the row's name, see _row(); repeated rows have one.
     places are those of the item's windows that the alignment covers; consistent says that its slots answer each other.
     """
+    between = between or Between(docs.sparkSession)
     texts = docs.select(_row(id_column, text_column).alias("doc"), F.col(text_column).cast("string").alias("text")).where("text is not null")
     items = benchmark.select(F.col(item_column).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null and item is not null")
     kinds = {1: False, 2: True} if capitals else {1: False}
@@ -115,12 +116,12 @@ def alignments(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     bench = F.broadcast(bench) if bench.count() <= BROADCAST_MOST else bench
     own = _windows(texts, "doc", "j", capitals)
     met = own.join(bench, "hash").select("doc", "item", (F.col("j") - F.col("i")).alias("diagonal"), "i", F.expr("templates & asked").alias("templates"))
-    hits, _ = stored(each(met).distinct(), "hits")
+    hits = between.stored(each(met).distinct(), "hits")
 
     slotted = [items.select("item", F.lit(t).alias("template"), F.posexplode(template_slots(F.col("text"), c)).alias("p", "slot")) for t, c in kinds.items()]
     slots = reduce(DataFrame.unionByName, slotted).where("slot.word like '%‹%'").select("item", "template", "p", F.col("slot.value").alias("theirs"))
     covered = hits.select("doc", "item", "template", "diagonal", F.explode(F.sequence(F.col("i"), F.col("i") + WIDTH - 1)).alias("p"))
-    asked, _ = stored(covered.join(F.broadcast(slots) if slots.count() <= BROADCAST_MOST else slots, ["item", "template", "p"]).distinct(), "slots")
+    asked = between.stored(covered.join(F.broadcast(slots) if slots.count() <= BROADCAST_MOST else slots, ["item", "template", "p"]).distinct(), "slots")
     wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("item", "template", "diagonal", "p", "theirs")).alias("wanted"))
     wanted = F.broadcast(wanted) if asked.count() <= BROADCAST_MOST else wanted  # else the texts are shuffled
     found = texts.withColumnRenamed("doc", "of").join(wanted, F.col("of") == F.col("doc"))
@@ -135,7 +136,7 @@ def alignments(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     return met.select("doc", "item", "template", "diagonal", "places", F.coalesce("consistent", F.lit(True)).alias("consistent"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.3, least_windows: int = 8, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", capitals: bool = True) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.3, least_windows: int = 8, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", capitals: bool = True, between: Between | None = None) -> DataFrame:
     """(doc, item, covered, windows, first) of each leak: consistent alignments cover enough of the item's windows.
 
     doc is the row's name, see _row(): rows that share an id, or have none, are judged one by one. A window that a text
@@ -145,7 +146,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.3
     """
     sizes = benchmark.select(F.col(item_column).alias("item"), template_words(F.col("text").cast("string")).alias("words")).where("words is not null and item is not null")
     sizes = sizes.groupBy("item").agg(F.max(F.greatest(F.size("words") - WIDTH + 1, F.least(F.size("words"), F.lit(1)))).alias("windows"))
-    met = alignments(docs, benchmark, id_column, text_column, item_column, capitals).where("consistent")
+    met = alignments(docs, benchmark, id_column, text_column, item_column, capitals, between).where("consistent")
     met = met.select("doc", "item", (F.col("template") == 1).cast("bigint").alias("first"), F.explode("places").alias("i")).groupBy("doc", "item", "i").agg(F.max("first").alias("first"))
     met = met.groupBy("doc", "item").agg(F.count("*").alias("covered"), F.sum("first").alias("first"))
     leaks = met.join(sizes, "item").select("doc", "item", "covered", F.col("windows").cast("bigint").alias("windows"), "first")
@@ -157,7 +158,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
     Of rows that share an id only those with a leak go.
     """
-    leaks, _ = stored(contaminated(docs, benchmark, id_column=id_column, text_column=text_column, **options).select(F.col("doc").alias("__leaked")).distinct(), "leaks")
+    between = Between(docs.sparkSession)
+    leaks, _ = stored(contaminated(docs, benchmark, id_column=id_column, text_column=text_column, between=between, **options).select(F.col("doc").alias("__leaked")).distinct(), "leaks")
+    between.drop()
     leaks = F.broadcast(leaks) if leaks.count() <= BROADCAST_MOST else leaks
     return docs.join(leaks, _row(id_column, text_column) == F.col("__leaked"), "left_anti")
 
@@ -168,9 +171,11 @@ def report(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", tex
     Leaks are found in both templates; n_windows counts the windows covered in the first. Rows that share an id each have
     their own result.
     """
-    leaks = contaminated(docs, benchmark, id_column=id_column, text_column=text_column, **options)
+    between = Between(docs.sparkSession)
+    leaks = contaminated(docs, benchmark, id_column=id_column, text_column=text_column, between=between, **options)
     by_doc = leaks.groupBy("doc").agg(F.count("*").alias("n_items"), F.array_join(F.transform(F.array_sort(F.collect_set("item")), lambda x: x.cast("string")), ",").alias("items"), F.sum("first").alias("n_windows"))
     by_doc, _ = stored(by_doc, "leaks")
+    between.drop()
     by_doc = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_MOST else by_doc
     joined = docs.select(F.col(id_column), _row(id_column, text_column).alias("__row")).join(by_doc, F.col("__row") == F.col("doc"), "left")
     return joined.select(id_column, (F.coalesce("n_items", F.lit(0)) > 0).alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"), F.coalesce("items", F.lit("")).alias("items"), F.coalesce("n_windows", F.lit(0)).cast("bigint").alias("n_windows"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, slices, stored, texts
+from .common import Between, slices, stored, texts
 from .simhash import BKTree, _majority, components
 
 WIDTH, LEAST, RADIUS, BANDS = 5, 0.8, 22, 10
@@ -176,7 +176,7 @@ def _unsigned(fps) -> list[int]:
     return [f & (1 << 64) - 1 for f in fps]
 
 
-def similar_pairs(reps: DataFrame, sets, radius: int = RADIUS, least: float = LEAST) -> DataFrame:
+def similar_pairs(reps: DataFrame, sets, between: Between, radius: int = RADIUS, least: float = LEAST) -> DataFrame:
     """(a, b), a < b, of rows (row, fp, n, keys): links that join what similar pairs join, each once.
 
     sets gives the table (row, s) for a table of rows. Whatever its size, a shard is one task's at a time: its rows are
@@ -194,18 +194,17 @@ def similar_pairs(reps: DataFrame, sets, radius: int = RADIUS, least: float = LE
         return [(min(p), max(p)) for p in links(list(names), _unsigned(fps), list(own), radius, least)]
 
     sharded = dealt.repartition(*shard).sortWithinPartitions(*shard)
-    near, path = stored(sharded.mapInArrow(_by_shard(met, [*shard, "row", "fp"]), "k bigint, key bigint, row bigint, fp bigint"), "near")
-    own, own_path = sets(near.select("row").distinct())
-    full = near.join(own, "row").select(*shard, "row", "fp", "s")
+    own_between = Between(reps.sparkSession)
+    near = own_between.stored(sharded.mapInArrow(_by_shard(met, [*shard, "row", "fp"]), "k bigint, key bigint, row bigint, fp bigint"), "near")
+    full = near.join(own_between.stored(sets(near.select("row").distinct()), "shingles"), "row").select(*shard, "row", "fp", "s")
     found = full.repartition(*shard).sortWithinPartitions(*shard).mapInArrow(_by_shard(linked, ["a", "b"]), "a bigint, b bigint")
-    pairs, _ = stored(found.distinct(), "candidates")
-    discard(reps.sparkSession, path)
-    discard(reps.sparkSession, own_path)
+    pairs = between.stored(found.distinct(), "candidates")
+    own_between.drop()
     return pairs
 
 
-def shingle_sets(docs: DataFrame, rows: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, str]:
-    """(row, s): the sorted 32-bit hashes of the shingles of each of the rows named; stored, with the path."""
+def shingle_sets(docs: DataFrame, rows: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(row, s): the sorted 32-bit hashes of the shingles of each of the rows named."""
     ends = rows.select(F.col("row").alias("end"))
     ends = F.broadcast(ends) if ends.count() <= BROADCAST_MOST else ends
     named = docs.select(row_name(id_column, text_column).alias("row"), F.col(text_column).cast("string").alias("text"))
@@ -214,7 +213,7 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, width: int = WIDTH, id_column
         for piece in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([np.unique(shingles(t, width).astype(np.uint32)).tobytes() for t in texts(piece.column(1)).to_pylist()], pa.binary())], ["row", "s"])
 
-    return stored(named.join(ends, F.col("row") == F.col("end"), "left_semi").mapInArrow(sets, "row bigint, s binary").groupBy("row").agg(F.min("s").alias("s")), "shingles")
+    return named.join(ends, F.col("row") == F.col("end"), "left_semi").mapInArrow(sets, "row bigint, s binary").groupBy("row").agg(F.min("s").alias("s"))
 
 
 def groups(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -226,13 +225,13 @@ def groups(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_column:
     are null. Rows that share an id are linked by their texts alone; repeated rows have one name. Ids may be of any type
     that has an order. An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    between = Between(docs.sparkSession)
     sketched, _ = stored(sketches(docs, width, id_column, text_column), "sketches")
-    reps, path = stored(sketched.groupBy("sig").agg(F.min(F.struct("row", "fp", "n", "keys")).alias("r")).select("sig", "r.*"), "representatives")
-    pairs = similar_pairs(reps.select("row", "fp", "n", "keys"), lambda rows: shingle_sets(docs, rows, width, id_column, text_column), least=least)
-    roots = components(pairs)
+    reps = between.stored(sketched.groupBy("sig").agg(F.min(F.struct("row", "fp", "n", "keys")).alias("r")).select("sig", "r.*"), "representatives")
+    pairs = similar_pairs(reps.select("row", "fp", "n", "keys"), lambda rows: shingle_sets(docs, rows, width, id_column, text_column), between, least=least)
+    roots = components(pairs, between=between)
     named, _ = stored(reps.select("sig", "row").join(roots, F.col("row") == F.col("node"), "left").select(F.col("sig").alias("s"), F.coalesce("root", "row").alias("group")), "groups")
-    discard(spark, path)
+    between.drop()
     members = sketched.select("id", "row", "sig").join(named, F.col("sig") == F.col("s")).select("id", "row", "group")
     firsts = members.groupBy(F.col("group").alias("g")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("f"))
     return members.join(firsts, F.col("group") == F.col("g")).select("id", "row", F.col("f.id").alias("component"), (F.col("row") == F.col("f.row")).alias("first"))

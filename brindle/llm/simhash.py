@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, slices, stored, texts
+from .common import Between, discard, slices, stored, texts
 
 BITS = 64
 #: Fingerprints that one tree may hold before its shard is dealt again; it bounds the time of a task, not the result.
@@ -126,13 +126,13 @@ def _mask(shift: int, width: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def links(distinct: DataFrame, radius: int, tree_most: int = TREE_MOST) -> DataFrame:
+def links(distinct: DataFrame, radius: int, tree_most: int = TREE_MOST, between: Between | None = None) -> DataFrame:
     """Star links (a, b), b < a, whose components are those of all pairs within the radius. distinct: column fp, once each."""
     parts = radius + 1
     first = _stretches(BITS, parts)
     masks = [(k, _mask(*s)) for k, s in enumerate(first)]
     dealt = _deal(distinct, ["fp"], masks, "k", "key")
-    once, _ = stored(dealt.repartition("k", "key").sortWithinPartitions("k", "key").mapInArrow(_grow(2, radius, tree_most), "a bigint, b bigint, k bigint, key bigint"), "shards")
+    once = (between or Between(distinct.sparkSession)).stored(dealt.repartition("k", "key").sortWithinPartitions("k", "key").mapInArrow(_grow(2, radius, tree_most), "a bigint, b bigint, k bigint, key bigint"), "shards")
 
     def rest(k: int) -> list[int]:
         """Masks of stretches of the bits outside stretch k."""
@@ -196,7 +196,7 @@ def _grow(width: int, radius: int, tree_most: int | None):
     return run
 
 
-def components(stars: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(stars: DataFrame, most_rounds: int = 60, between: Between | None = None) -> DataFrame:
     """(node, root) of every node in a link, root the smallest signed value of its component.
 
     Alternates two steps till nothing changes: every node's larger neighbours are linked to its smallest one, then
@@ -225,6 +225,8 @@ def components(stars: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    if between is not None:
+        between.paths.append(path)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -237,8 +239,10 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_column:
     """
     printed, _ = stored(fingerprints(docs, width, id_column, text_column), "fingerprints")
     least = printed.groupBy("fp").agg(F.min(id_column).alias("least"))
-    roots = components(links(least.select("fp"), radius))
+    between = Between(docs.sparkSession)
+    roots = components(links(least.select("fp"), radius, between=between), between=between)
     labelled, _ = stored(least.join(roots, least.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "roots")
+    between.drop()
     names = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     named = labelled.join(names, "root").select(F.col("fp").alias("f"), "component_id")
     return printed.join(named, F.col("fp") == F.col("f")).select(id_column, "fp", "component_id")

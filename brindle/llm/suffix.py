@@ -489,7 +489,6 @@ def least_starts(data: np.ndarray, begin: np.ndarray, off: np.ndarray, size: np.
             first = np.flatnonzero(_fresh(core[head]))
             count = np.diff(first, append=len(head))
             held = np.full((len(head), hi - lo + 1), LAST, np.int64)
-            alone = head[first[count == 1]]
             starts = np.arange(lo, hi + 1)
             inside = (starts >= low[head][:, None]) & (starts <= high[head][:, None])
             held[inside] = np.repeat(doc[k[head]], inside.sum(axis=1))
@@ -508,8 +507,8 @@ def least_starts(data: np.ndarray, begin: np.ndarray, off: np.ndarray, size: np.
             if waiting:
                 _array(waiting, data, begin, off, doc, lo, hi)
                 waiting, symbols = [], 0
-            if told is not None:
-                told["lines"] = told.get("lines", 0) + len(head) - len(alone)
+            if told is not None:  # strings that a suffix array decides
+                told["starts"] = told.get("starts", 0) + int(inside[np.repeat((count > 1) & (count <= group), count)].sum())
             kept = ~many
             least[k[kept][:, None], starts[None, :]] = held[which[kept]]
     return least

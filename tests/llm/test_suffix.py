@@ -72,3 +72,41 @@ def test_against_every_string(spark, tmp_path):
 
 def test_empty(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_regions_of_one_anchor_against_every_string():
+    """Groups split at every size, so that suffix arrays get few or all of the lines."""
+    import numpy as np
+
+    rng = random.Random(9)
+    anchor = bytes(range(97, 97 + suffix.K))
+    regions = []
+    for k in range(120):
+        left = bytes(rng.choice(b"xy") for _ in range(rng.randint(0, 4))) + rng.choice([b"lll", b"lmm", b"mmm"]) * rng.randint(3, 9)
+        right = rng.choice([b"rr", b"rs"]) * rng.randint(3, 14) + bytes(rng.choice(b"uv") for _ in range(rng.randint(0, 4)))
+        left, right = left[-suffix.REST :], right[: suffix.REST]
+        if len(left) + suffix.K + len(right) >= suffix.LENGTH:
+            regions.append((len(left), rng.randint(0, 60), left + anchor + right))
+    least = {}
+    for off, doc, raw in regions:
+        for at in range(min(off, len(raw) - suffix.LENGTH) + 1):
+            own = raw[at : at + suffix.LENGTH]
+            least[own] = min(least.get(own, doc), doc)
+    data = np.frombuffer(b"".join(r for _, _, r in regions), np.uint8)
+    off, doc = (np.array([r[i] for r in regions], np.int64) for i in (0, 1))
+    size = np.array([len(r) for _, _, r in regions], np.int64)
+    for group in (1, 2, 5, 1000):
+        told = {}
+        got = suffix.least_starts(data, np.cumsum(size) - size, off, size, doc, np.zeros(len(off), np.uint64), group=group, told=told)
+        for k, (o, _, raw) in enumerate(regions):
+            for at in range(min(o, len(raw) - suffix.LENGTH) + 1):
+                assert got[k, o - at] == least[raw[at : at + suffix.LENGTH]]
+        assert (told["starts"] > 0) == (group > 1)
+
+
+def test_ids_must_be_whole_numbers(spark):
+    import pytest
+
+    with pytest.raises(TypeError):
+        suffix.remove_repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+    assert suffix.remove_repeats(spark.createDataFrame([(1, "x" * 60), (2, "x" * 60)], "doc_id smallint, text string")).where("n_bytes > length(kept)").count() == 1
