@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -94,6 +96,13 @@ def texts(column: pa.Array) -> pa.Array:
     return pc.fill_null(column, "")
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the system: a worker lives on and serves the stages after it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can't, nothing is lost but this
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each piece has about `most` bytes in `column`, or a single longer row.
 
@@ -110,3 +119,4 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
                 start, held = i, 0
             held += size
         yield batch.slice(start)
+    give_back()

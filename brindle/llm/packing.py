@@ -31,6 +31,8 @@ SHORTEST_POWER = 8
 #: Words kept with their ids from slice to slice and task to task; only speed depends on it.
 WORDS_KEPT = 400_000
 END_ID = 1
+#: Texts on which a tokenizer must keep what WordTokens asks of it, or it is refused.
+PROBES = ["The cat, Sat. on THE  mat", "a B c\nDe\tfg, hi.", "Ünï çà ÉÉ word, other.", "Tokenization of unusualwords, Xyzzyplugh."]
 _tokenizers: dict[str, object] = {}
 _encoders: dict[str, WordTokens] = {}
 
@@ -49,6 +51,12 @@ class WordTokens:
         if path not in _tokenizers:
             _tokenizers[path] = Tokenizer.from_file(path)
         self.tokenizer = _tokenizers[path]
+        whole, parts = ([e.ids for e in self.tokenizer.encode_batch(texts_, add_special_tokens=False)] for texts_ in (PROBES, [w for p in PROBES for w in p.split()]))
+        joined = iter(parts)
+        if any(ids != list(itertools.chain.from_iterable(itertools.islice(joined, len(p.split())))) for ids, p in zip(whole, PROBES, strict=True)):
+            raise ValueError(f"{path}: this tokenizer joins what white space separates; its words cannot be encoded one by one")
+        if [e.ids for e in self.tokenizer.encode_batch([p.lower().replace(".", " .").replace(",", " ,") for p in PROBES], add_special_tokens=False)] != whole:
+            raise ValueError(f"{path}: this tokenizer does not lower-case, or keeps marks and letters together")
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import slices, texts
+from .common import give_back, slices, texts
 
 LENGTH, K = 50, 20
 WINDOW = LENGTH - K + 1
@@ -617,6 +617,7 @@ def _judge_all(batches):
             per = np.bincount(region[x:y] - base, minlength=n).astype(np.uint8)
             out.append((None, r[1], r[2], per.tobytes(), a[x:y].astype(np.uint8).tobytes(), b[x:y].astype(np.uint8).tobytes(), _planes(least[x:y])))
         yield _bulk(out)
+    give_back()
 
 
 RANGES = pa.schema([("of", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])

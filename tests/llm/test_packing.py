@@ -77,3 +77,36 @@ def test_pieces(spark):
         used += at if at & (at - 1) == 0 else 2048
     assert used <= 1.02 * sum(p.length for p in pieces) + 2048 * 3
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_other_tokenizers_are_refused():
+    import pytest
+
+    with pytest.raises(ValueError):
+        packing.WordTokens(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_query_by_the_tokenizer_itself(spark, tmp_path):
+    import zlib
+
+    from brindle.llm import queries
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["the", "Sea", "12,5", "end.", "éÀ"]) for _ in range(rng.choice([0, 3, 700, 5000]))), i) for i in range(30)] + [(None, None, 1), (50, "", 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, sequence_id int").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    tokenizer = Tokenizer.from_file(PATH)
+    ids = {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for d, t, _ in rows}
+    seen, sequences = {d: [] for d in ids}, {}
+    for r in queries.op5_packing(spark, str(tmp_path)).collect():
+        own = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.length == len(own) > 0 and r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(np.array(own, "<u4").tobytes())
+        seen[r.doc_id] += range(r.start, r.start + r.length)
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sorted(s) == list(range(len(ids[d]))) for d, s in seen.items())
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
