@@ -7,13 +7,13 @@ import time
 from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import rag
 from .embed import CachedEmbedder, Embedder, HashEmbedder
 from .errors import InvalidRequest
-from .operators import fusion, knn, lexical
+from .operators import fusion, journal, knn, lexical
 from .plans import execute
 from .plans.plan import Answer, plan, to_json
 
@@ -81,6 +81,7 @@ class Engine:
         self.weights, self.synonyms, self.reranker = weights or fusion.Weights(), synonyms, reranker
         self.candidates, self.cache = candidates, cache or ResultCache()
         self.words, self.probes = words, probes
+        self.slow = journal.SlowLog()
         self.index, self.indexed = knn.IvfIndex.load(corpus.sparkSession, near) if near else (None, None)
 
     def replace_corpus(self, corpus: DataFrame) -> None:
@@ -104,6 +105,13 @@ class Engine:
             self.cache.put(key, found)
         return found
 
+    def query(self, text: str) -> list[Row]:
+        """The rows of a statement, brought to the driver; how long it took goes to the slow log."""
+        began = time.perf_counter()
+        rows = self.sql(text).collect()
+        self.slow.note(text, (time.perf_counter() - began) * 1000, len(rows))
+        return rows
+
     def explain(self, text: str) -> str:
         """The typed plan as JSON; nothing runs and the cache isn't touched."""
         if not text.strip():

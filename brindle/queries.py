@@ -19,7 +19,7 @@ from .functions import text as T
 from .functions import vectors as V
 from .operators import chunking, fusion, knn, lexical, stats
 from .sources import changelog, corpus
-from .sources.files import pretty_json
+from .sources.files import ingest, pretty_json
 from .streaming import cdc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -419,7 +419,7 @@ def agg_15_bucket_stats(spark, sf_dir):
     return found.withColumn("keys", F.array_join(F.transform("keys", lambda k: F.concat_ws("=", k["key"], k["count"])), ","))
 
 
-RANKED = """asked as (select vec_id query_id, embedding::DOUBLE[] q, label from embeddings where vec_id % 50 = 0),
+RANKED = """asked as (select vec_id query_id, embedding::DOUBLE[] q, label from embeddings where vec_id % 100 = 0),
  ranked as (select query_id, a.label wanted, e.vec_id row_id, e.label got, row_number() over (partition by query_id order by list_cosine_distance(e.embedding::DOUBLE[], q), e.vec_id) rank
  from asked a, embeddings e where e.vec_id <> a.query_id)"""
 
@@ -427,7 +427,7 @@ RANKED = """asked as (select vec_id query_id, embedding::DOUBLE[] q, label from
 @query(f"with {RANKED}, f as (select query_id, min(rank) filter (where rank <= 10 and wanted = got) first from ranked group by query_id) select count(*) queries, round(avg((first is not null)::int::double), 6) recall_at_k, round(avg(coalesce(1.0 / first, 0)), 6) mrr from f")
 def agg_16_retrieval_quality(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    asked = e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     ranked = knn.batch_topk(e, asked, 11).where("query_id != vec_id")
     order = F.row_number().over(stats.Window.partitionBy("query_id").orderBy("score", "vec_id"))
     ranked = ranked.withColumn("rank", order).select("query_id", F.col("vec_id").alias("row_id"), "rank")
@@ -519,10 +519,15 @@ def sca_12_char_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.char_count(F.col("text")).cast("bigint").alias("char_count"))
 
 
-@query("select doc_id, length(text) char_count, 'text' doc_type, source from documents")
+SUMMARY = r"case when length(t) <= 280 then t when instr(t[:280], ' ') > 0 then regexp_replace(t[:280], ' [^ ]*$', '') || '…' else t[:280] || '…' end"
+KEYWORDS = f"w as (select doc_id, unnest({TOKENS.format('text')}) w from documents), c as (select doc_id, w, count(*) n from w where length(w) >= 3 and w not in ({','.join(repr(s) for s in T.STOPWORDS)}) group by all), k as (select *, row_number() over (partition by doc_id order by n desc, w) r from c)"
+
+
+@query(rf"with {KEYWORDS}, m as (select doc_id, string_agg(w, ',' order by r) filter (where r <= 8) kw from k group by doc_id), f as (select doc_id, length(text) char_count, source, trim(regexp_replace(text, '\s+', ' ', 'g')) t from documents) select doc_id, char_count, 'text' doc_type, source, {SUMMARY} summary, coalesce(kw, '') keywords from f left join m using (doc_id)")
 def sca_13_metadata(spark, sf_dir):
-    built = table(spark, sf_dir, "documents").select("doc_id", T.build_metadata(F.col("text"), F.lit("text"), F.col("source")).alias("m"))
-    return built.select("doc_id", M.json_number(F.col("m"), "char_count").cast("bigint").alias("char_count"), M.json_text(F.col("m"), "doc_type").alias("doc_type"), M.json_text(F.col("m"), "source").alias("source"))
+    built_ = table(spark, sf_dir, "documents").select("doc_id", T.build_metadata(F.col("text"), F.lit("text"), F.col("source")).alias("m"))
+    fields = F.from_json("m", "char_count bigint, doc_type string, source string, summary string, keywords array<string>")
+    return built_.select("doc_id", fields.alias("f")).select("doc_id", "f.char_count", "f.doc_type", "f.source", "f.summary", F.array_join("f.keywords", ",").alias("keywords"))
 
 
 @query("select conv_id || '#' || turn chunk_id, conv_id::varchar doc, turn::int chunk from conversations")
@@ -639,7 +644,7 @@ def ret_01_knn(spark, sf_dir):
 @query(f"with {RANKED.replace('where e.vec_id <> a.query_id', '')} select query_id, row_id vec_id, rank::int rank from ranked where rank <= 10")
 def ret_01_knn_batch(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return knn.batch_topk(e, e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 10).select("query_id", "vec_id", "rank")
+    return knn.batch_topk(e, e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 10).select("query_id", "vec_id", "rank")
 
 
 @query("with a as (select 'l2sq' metric, vec_id, list_distance(embedding::DOUBLE[], " + of(0) + ") ** 2 d from embeddings union all select 'neg_dot', vec_id, -list_dot_product(embedding::DOUBLE[], " + of(0) + ") from embeddings) select metric, vec_id, round(d, 6) score from a qualify row_number() over (partition by metric order by d, vec_id) <= 10")
@@ -982,13 +987,17 @@ def join_04_null_keys(spark, sf_dir):
     return e.sql(f"SELECT u.id, o.id FROM users u JOIN orders o ON u.nation = o.nation WHERE vector_distance(u.embedding, '{v}') AND vector_distance(o.embedding, '{v}')").drop("bucket", "score")
 
 
-@query()
+@query("select 'kb' bucket, 'item-' || item_id || '#0' external_id, text, 'item-' || item_id parent_doc_id, 0 chunk_index, 'text' doc_type, length(text)::varchar char_count from benchmark where length(text) between 1 and 500")
 def src_07_ingest(spark, sf_dir):
     path = scratch(spark, "files")
-    table(spark, sf_dir, "benchmark").select("text").repartition(4, "text").write.text(path)
-    from .sources.files import ingest
-
-    return ingest(spark, path, "kb").select("bucket", "text", "parent_doc_id", "chunk_index", "metadata")
+    for r in table(spark, sf_dir, "benchmark").where("length(text) <= 500").collect():  # a file for each of a few items
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-{r.item_id % 3}/item-{r.item_id}.txt")
+        out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+        out.write(bytearray(r.text.encode()))
+        out.close()
+    rows = ingest(spark, path, "kb")
+    told = (M.json_text(F.col("metadata"), c).alias(c) for c in ("doc_type", "char_count"))
+    return rows.select("bucket", "external_id", "text", "parent_doc_id", "chunk_index", *told)
 
 
 @query(f"with {LOG} select seq, op, bucket, id from log")

@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 from ..errors import InvalidPlan, InvalidRequest, NotFound, Unsupported
 from ..functions.text import version_lt
 from ..model import CHANGELOG, CORPUS
+from ..operators.journal import AuditRing
 from ..operators.stats import count_chunks
 from .corpus import COLUMNS, check_import
 
@@ -66,6 +67,7 @@ class ChangeLog:
 
     def __init__(self, spark: SparkSession, path: str, model: str = "hash", dim: int | None = None):
         self.spark, self.path, self.model, self.dim = spark, path.rstrip("/"), model, dim
+        self.audit = AuditRing()
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -152,6 +154,7 @@ class ChangeLog:
 
     def upsert(self, bucket: str, key: str, text: str, embedding: Sequence[float] | None = None, metadata: object = None) -> int:
         self._check(bucket, key, embedding)
+        self.audit.note("insert", bucket, key)
         return self.append(self._rows([{"op": "insert", "bucket": bucket, "id": key, "text": text, "embedding": embedding, "metadata": None if metadata is None else json.dumps(metadata)}]))
 
     def bulk(self, bucket: str, items: Sequence[dict]) -> list[dict]:
@@ -168,11 +171,14 @@ class ChangeLog:
                 said.append({"id": item.get("id"), "ok": False, "error": str(e)})
         if good:
             self.append(self._rows(good))
+            for item in good:
+                self.audit.note("insert", bucket, item["id"])
         return said
 
     def upsert_document(self, bucket: str, doc_id: str, chunks: Sequence[dict], metadata: object = None) -> int:
         """Replaces a document's chunks ({index, char_start, text, vector})."""
         self._check(bucket, doc_id)
+        self.audit.note("insert_document", bucket, doc_id)
         values = [(c["index"], c["char_start"], c["text"], c.get("vector")) for c in chunks]
         return self.append(self._rows([{"op": "insert_document", "bucket": bucket, "id": doc_id, "chunks": values, "metadata": None if metadata is None else json.dumps(metadata)}]))
 
@@ -180,17 +186,20 @@ class ChangeLog:
         if self.rows_of(bucket, key).where(F.col("external_id") == key).isEmpty():
             raise NotFound(f"{bucket}/{key}")
         self.append(self._rows([{"op": "delete", "bucket": bucket, "id": key}]))
+        self.audit.note("delete", bucket, key)
 
     def delete_document(self, bucket: str, doc_id: str) -> int:
         n = count_chunks(self.rows_of(bucket, doc_id), bucket, doc_id).first()[0]
         if not n:
             raise NotFound(f"{bucket}/{doc_id}")
         self.append(self._rows([{"op": "delete_document", "bucket": bucket, "id": doc_id}]))
+        self.audit.note("delete_document", bucket, doc_id)
         return n
 
     def empty_bucket(self, bucket: str) -> int:
         n = self.corpus().where(F.col("bucket") == bucket).count()
         self.append(self._rows([{"op": "empty_bucket", "bucket": bucket}]))
+        self.audit.note("empty_bucket", bucket, None)
         return n
 
     def import_rows(self, rows: DataFrame) -> int:

@@ -53,8 +53,11 @@ def extract(files: DataFrame, strict: bool = False) -> DataFrame:
     return read.select("doc_id", "source", "doc_type", "text", T.build_metadata(F.col("text"), F.col("doc_type"), F.col("source")).alias("metadata"))
 
 
-def ingest(spark: SparkSession, path: str, bucket: str, size: int = 500, overlap: int = 50) -> DataFrame:
-    """Corpus rows, without vectors, of a folder's files: each file cut by its type's strategy."""
-    docs = extract(read_files(spark, path)).where("text is not null")
+def ingest(spark: SparkSession, path: str, bucket: str, size: int = 500, overlap: int = 50, strict: bool = True) -> DataFrame:
+    """Corpus rows, without vectors, of a folder's files: each file cut by its type's strategy.
+
+    A file in a format that isn't read is an error, unless strict is off: then it is left out, and extract() shows it.
+    """
+    docs = extract(read_files(spark, path), strict).where("text is not null")
     cut = docs.select("doc_id", "metadata", F.explode(chunks(F.col("text"), strategy_for(F.col("doc_type")), size, overlap)).alias("c"))
     return cut.select(F.lit(bucket).alias("bucket"), F.concat("doc_id", F.lit("#"), F.col("c.index").cast("string")).alias("external_id"), F.col("c.text").alias("text"), "metadata", F.col("doc_id").alias("parent_doc_id"), F.col("c.index").alias("chunk_index"))

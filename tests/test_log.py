@@ -174,7 +174,9 @@ def test_files(spark, tmp_path):
     assert json.loads(docs["b"].metadata)["doc_type"] == "html" and json.loads(docs["b"].metadata)["char_count"] == 6
     with pytest.raises(Unsupported):
         files.extract(files.read_files(spark, str(tmp_path / "in")), strict=True)
-    rows = {(r.external_id, r.text) for r in files.ingest(spark, str(tmp_path / "in"), "kb").collect()}
+    with pytest.raises(Unsupported):
+        files.ingest(spark, str(tmp_path / "in"), "kb")
+    rows = {(r.external_id, r.text) for r in files.ingest(spark, str(tmp_path / "in"), "kb", strict=False).collect()}
     assert {("a#0", "# A\ntext\n"), ("a#1", "# B\nmore"), ("f#1", "def f():\n    pass\n")} <= rows and not any(i.startswith("e#") for i, _ in rows)
 
 
@@ -210,3 +212,76 @@ def test_search_and_answers(spark):
     assert a["answer"].startswith("Answer: Context:\n[0] alpha beta") and a["sources"][0] == {"doc": "d", "chunk": 0, "score": 4.0}
     events = list(e.rag_stream("alpha beta", 2))
     assert [x["event"] for x in events[:2]] == ["context"] * 2 and events[-1] == {"event": "done"} and "".join(x["delta"] for x in events if x["event"] == "answer_delta").startswith("Answer: ")
+
+
+class Answers:
+    """An HTTP server on this machine that notes what is posted and answers as told."""
+
+    def __init__(self, answer):
+        import http.server
+        import threading
+
+        seen = self.seen = []
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_POST(self):
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                seen.append(body)
+                status, said = answer(body, len(seen))
+                self.send_response(status)
+                self.end_headers()
+                self.wfile.write(b"" if said is None else json.dumps(said).encode())
+
+            def log_message(self, *_):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        self.url = f"http://127.0.0.1:{self.server.server_address[1]}/"
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+
+def test_webhook_posts_each_event_once(spark, tmp_path):
+    from brindle import remote
+
+    log = [(i, "insert", "b", str(i), f"t{i}", None, None, None, 0) for i in range(5)]
+    spark.createDataFrame(log, CHANGELOG).write.parquet(str(tmp_path / "log"))
+    server = Answers(lambda body, n: (500 if body["cursor"] == 3 else 200, None))
+    failed = []
+    cdc.to_callable(cdc.to_events(cdc.tail(spark, str(tmp_path / "log"))), remote.webhook(server.url), str(tmp_path / "cursor"), failed.append).awaitTermination()
+    assert [e["cursor"] for e in server.seen] == [0, 1, 2, 3] and len(failed) == 1  # what a sink fails on is dropped, the log goes on
+    assert server.seen[0]["key"] == {"bucket": "b", "id": "0"} and server.seen[0]["body"]["text"] == "t0"
+
+
+def test_http_reranker(spark):
+    from brindle import remote
+    from brindle.operators import fusion
+
+    hits = spark.createDataFrame([("b", str(i), f"text {i}", "{}", i / 10) for i in range(4)], "bucket string, id string, text string, metadata string, score double")
+    scores = Answers(lambda body, n: (200, {"scores": [len(d) * 0 + float(d[-1] == "2") for d in body["documents"]]}))
+    got = fusion.rerank(hits, "q", 2, remote.HttpReranker(scores.url), key=("bucket", "id")).collect()
+    assert [r.id for r in got] == ["2", "0"] and scores.seen == [{"query": "q", "documents": [f"text {i}" for i in range(4)]}]
+    some = Answers(lambda body, n: (200, {"results": [{"index": 3, "score": 0.9}, {"index": 1, "score": 0.5}]}))
+    assert [r.id for r in fusion.rerank(hits, "q", 3, remote.HttpReranker(some.url), key=("bucket", "id")).collect()] == ["3", "1", "0"]
+    for bad in ({"scores": [1.0]}, {"results": [{"index": 9, "score": 1}]}, {"other": 1}):
+        with pytest.raises(InvalidRequest):
+            remote.HttpReranker(Answers(lambda body, n, bad=bad: (200, bad)).url)("q", ["a", "b"])
+    assert remote.HttpReranker("http://127.0.0.1:9/")("q", []) == []
+
+
+def test_slow_log_and_audit(spark, tmp_path):
+    from brindle.operators.journal import AuditRing, SlowLog
+
+    slow = SlowLog(2, 10)
+    for sql, took in (("a", 5), ("b", 20), ("c", 30), ("d", 20), ("e", 25)):
+        slow.note(sql, took, 1)
+    assert [(e.sql, e.seq) for e in slow.entries()] == [("c", 3), ("e", 5)] and slow.table(spark).count() == 2
+    log = changelog.ChangeLog(spark, str(tmp_path / "log"))
+    log.audit = AuditRing(3, lambda: 1.0)
+    log.upsert("b", "1", "one")
+    log.bulk("b", [{"id": "2"}, {"id": ""}])
+    log.delete("b", "1")
+    log.empty_bucket("b")
+    assert [(r.seq, r.op, r.id) for r in log.audit.table(spark).collect()] == [(4, "empty_bucket", None), (3, "delete", "1"), (2, "insert", "2")]
+    e = Engine(log.corpus().withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>")), HashEmbedder(2))
+    e.slow.least_ms = 0
+    assert e.query("SELECT id FROM b WHERE semantic_match(t, 'x')") == [] and e.slow.entries()[0].rows == 0
