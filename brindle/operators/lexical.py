@@ -5,6 +5,7 @@ bm25() scans the documents; a WordIndex keeps postings on disk, takes documents
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 from functools import reduce
 
@@ -125,7 +126,7 @@ class WordIndex:
         tokens = docs.select(*self.key, F.when(F.col("text").isNotNull(), tokenize(F.col("text"))).alias("tokens"))
         # Keys with their lengths; null for one that is only removed.
         tokens.select(*self.key, F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("len")).write.parquet(f"{at}/keys")
-        rows = postings(docs.where("text is not null"), self.key).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(self.parts)).cast("int"))
+        rows = postings(docs.where("text is not null"), self.key).withColumn("part", (F.crc32("term") % self.parts).cast("int"))
         rows.repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{at}/postings")
         new = self.spark.read.parquet(f"{at}/keys")
         n, total = new.agg(F.count("len"), F.coalesce(F.sum("len"), F.lit(0))).first()
@@ -167,7 +168,7 @@ class WordIndex:
         if not terms:
             schema = self.spark.read.parquet(f"{self.path}/segment={done[0]}/keys").select(*self.key)
             return schema.withColumn("score", F.lit(0.0)).limit(0)
-        folders = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(self.parts)).cast("int")).distinct().collect()]
+        folders = sorted({zlib.crc32(t.encode()) % self.parts for t in terms})
         found = self._read("postings", done).where(F.col("part").isin(folders) & F.col("term").isin(terms))
         found = self._live(found, done).select(*self.key, "term", "tf", "len")
         df = F.broadcast(found.groupBy(F.col("term").alias("_term")).agg(F.count("*").alias("_df")))  # a row a term
@@ -186,7 +187,7 @@ class WordIndex:
         done = self.segments()
         at = f"{other.path}/segment=0"
         self._live_keys(done).write.parquet(f"{at}/keys")
-        rows = self.postings().withColumn("part", F.pmod(F.xxhash64("term"), F.lit(self.parts)).cast("int"))
+        rows = self.postings().withColumn("part", (F.crc32("term") % self.parts).cast("int"))
         rows.repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{at}/postings")
         self.spark.createDataFrame([self.counts()], "n bigint, tokens bigint").coalesce(1).write.parquet(f"{at}/counts")
         return other
