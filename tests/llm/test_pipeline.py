@@ -14,7 +14,8 @@ def test_stages_on_what_came_before(spark):
     kept = {r.doc_id for r in once.collect()}
     assert kept == {r.id for r in neardup.groups(clean).where("id = component").collect()}
     rest = corpus_pipeline.drop_leaks(spark, once, SF).cache()
-    leaks = {r.doc for r in decontaminate.contaminated(once, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    names = {r[0]: r[1] for r in once.select(decontaminate._row("doc_id", "text"), "doc_id").collect()}
+    leaks = {names[r.doc] for r in decontaminate.contaminated(once, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert {r.doc_id for r in rest.collect()} == kept - leaks
     safe = corpus_pipeline.redact_personal_data(spark, rest, SF)
     assert safe.columns == docs.columns and safe.schema == docs.schema
