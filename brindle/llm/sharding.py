@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import discard, stored
 
 #: Vectors that the driver places.
-UNITS = 1 << 17
+UNITS = 1 << 15
 #: Parts that a shard's share of rows has when its rows are numbered, so that no task numbers a large group by itself.
 PARTS = 32
 #: Fixed value: what a byte-level tokenizer takes for one piece at most, before merges; pieces are counted as tokens.
