@@ -21,21 +21,24 @@ class Embedder(Protocol):
 
 
 class HashEmbedder:
-    """Vectors that a text's hash seeds: FNV-1a, then xorshift64; the top 24 bits of each number, in (-1, 1), unit length."""
+    """Vectors that a text's hash seeds: FNV-1a, then xorshift64; the top 24 bits of each number, in (-1, 1), unit length.
 
-    def __init__(self, dim: int = 64, model: str = "hash"):
-        self.dim, self.model = dim, model
+    In single precision unless dtype is np.float64.
+    """
+
+    def __init__(self, dim: int = 64, model: str = "hash", dtype: type = np.float32):
+        self.dim, self.model, self.dtype = dim, model, dtype
 
     def embed(self, texts: list[str]) -> np.ndarray:
         state = np.array([self._seed(t.encode()) for t in texts], np.uint64)
-        out = np.empty((len(texts), self.dim), np.float32)
+        out = np.empty((len(texts), self.dim), self.dtype)
         for k in range(self.dim):
             state ^= state << np.uint64(13)
             state ^= state >> np.uint64(7)
             state ^= state << np.uint64(17)
-            out[:, k] = (state >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24) * 2 - 1
-        norms = np.zeros(len(texts), np.float32)
-        for k in range(self.dim):  # in single precision, one after the other
+            out[:, k] = (state >> np.uint64(40)).astype(self.dtype) / self.dtype(1 << 24) * 2 - 1
+        norms = np.zeros(len(texts), self.dtype)
+        for k in range(self.dim):  # in this precision, one after the other
             norms += out[:, k] * out[:, k]
         norms = np.sqrt(norms)
         return out / np.where(norms > 0, norms, 1)[:, None]
@@ -78,9 +81,9 @@ class CachedEmbedder:
 
 
 def embed_column(embedder: Embedder, text: Column) -> Column:
-    """array<float> of a text column, by Arrow batches."""
+    """array<float> of a text column, by Arrow batches; array<double> of an embedder in doubles."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>" if getattr(embedder, "dtype", np.float32) == np.float64 else "array<float>")
     def run(column: pd.Series) -> pd.Series:
         return pd.Series(list(embedder.embed(column.fillna("").tolist())))
 

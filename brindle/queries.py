@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -559,8 +560,8 @@ EMBEDDED = f"""b as (select item_id, hex(encode(text)) x from benchmark), f as (
 
 @query(f"with {EMBEDDED.format(zero=1)} select item_id, len(v) dim, list_transform(v, lambda k: round(10000 * k / sqrt(list_sum(list_transform(v, lambda y: y * y))))::bigint)::varchar as shown from v")
 def sca_19_hash_embedding(spark, sf_dir):
-    e = table(spark, sf_dir, "benchmark").select("item_id", embed_column(HashEmbedder(DIM), F.col("text")).alias("v"))
-    shown = F.concat(F.lit("["), F.array_join(F.transform("v", lambda x: F.round(x.cast("double") * 10000).cast("bigint").cast("string")), ", "), F.lit("]"))
+    e = table(spark, sf_dir, "benchmark").select("item_id", embed_column(HashEmbedder(DIM, dtype=np.float64), F.col("text")).alias("v"))
+    shown = F.concat(F.lit("["), F.array_join(F.transform("v", lambda x: F.round(x * 10000).cast("bigint").cast("string")), ", "), F.lit("]"))
     return e.select("item_id", F.size("v").alias("dim"), shown.alias("shown"))
 
 

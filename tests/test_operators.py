@@ -174,6 +174,20 @@ def test_hash_embedder():
     assert (c.embed(["a", "b", "a", ""]) == v).all() and c.evictions == 1 and (c.embed(["b"])[0] == v[1]).all() and c.hits == 1
 
 
+def test_hash_embedding_query_rounds_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from brindle.queries import ORACLES, QUERIES
+
+    path = str(tmp_path / "benchmark.parquet")  # numbers near a half, which single precision rounds the other way
+    spark.createDataFrame([(i, f"text {n}") for i, n in enumerate((18, 313, 455, 578, 722, 1053))] + [(6, "")], "item_id bigint, text string").write.parquet(path)
+    db = duckdb.connect()
+    db.execute(f"create view benchmark as from read_parquet('{path}/*.parquet')")
+    want = db.execute(ORACLES["sca_19_hash_embedding"]).fetchall()
+    assert sorted(map(tuple, QUERIES["sca_19_hash_embedding"](spark, str(tmp_path)).collect())) == sorted(want)
+    assert HashEmbedder(8).embed(["a"]).dtype == np.float32  # the engine's vectors stay single
+
+
 def test_stats(spark):
     rows = [("a", "1", None, '{"x": 1, "y": 2}'), ("a", "d#0", "d", '{"x": 1}'), ("a", "d#1", "d", None), ("b", "1", None, "{}")]
     df = spark.createDataFrame(rows, "bucket string, external_id string, parent_doc_id string, metadata string")
