@@ -103,20 +103,25 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def parts(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut so that each piece has about `most` bytes in `column`, or a single longer row."""
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+    start = held = 0
+    for i, size in enumerate(sizes.to_pylist()):
+        if held and held + size > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    yield batch.slice(start)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each piece has about `most` bytes in `column`, or a single longer row.
+    """parts() of all batches.
 
     Whole rows only: memory is bounded by the largest text, and no text is cut.
     """
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
-        start = held = 0
-        for i, size in enumerate(sizes.to_pylist()):
-            if held and held + size > most:
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += size
-        yield batch.slice(start)
+        yield from parts(batch, column, most)
     give_back()

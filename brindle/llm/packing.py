@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import slices, texts
+from .common import parts, slices, texts
 
 WINDOW = 2048
 SENTENCE_PENALTY, INNER_PENALTY = 4, 12
@@ -30,6 +30,8 @@ GAP, STEP = 96, 48
 SHORTEST_POWER = 8
 #: Words kept with their ids from slice to slice and task to task; only speed depends on it.
 WORDS_KEPT = 400_000
+#: Bytes of text that a slice holds, whose cuts are chosen at once, and that are encoded at a time.
+SLICE, PART = 6 << 20, 1 << 20
 END_ID = 1
 #: Texts on which a tokenizer must keep what WordTokens asks of it, or it is refused.
 PROBES = ["The cat, Sat. on THE  mat", "a B c\nDe\tfg, hi.", "Ünï çà ÉÉ word, other.", "Tokenization of unusualwords, Xyzzyplugh."]
@@ -73,12 +75,13 @@ class WordTokens:
         flats, lengths = [self.flat], [self.lengths]
 
         def one_by_one(words: list[str]) -> None:
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            flats.append(np.fromiter(itertools.chain.from_iterable(lists), np.uint32))
-            lengths.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            for at in range(0, len(words), 2_000):
+                lists = [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + 2_000], add_special_tokens=False)]
+                flats.append(np.fromiter(itertools.chain.from_iterable(lists), np.uint32))
+                lengths.append(np.fromiter(map(len, lists), np.int64, len(lists)))
 
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
+        for at in range(0, len(plain), 5_000):
+            part = plain[at : at + 5_000]
             line = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
             ids = np.array(line.ids, np.uint32)
             last = np.flatnonzero(self.ends_word[ids])
@@ -92,6 +95,15 @@ class WordTokens:
         marks = np.fromiter((w.rstrip("\"')]*%&$#|")[-1:] in (".", "?", "!") for w in other), bool, len(other))
         self.flat, self.lengths, self.ends = np.concatenate(flats), np.concatenate(lengths), np.concatenate([self.ends, np.zeros(len(plain), bool), marks])
 
+    def encode_slice(self, batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """encode() of all texts in the column, of which about PART bytes are in work at a time."""
+        found, total = [], 0
+        for piece in parts(batch, column, PART):
+            ids, ends, sentence_ends = self.encode(texts(piece.column(column)))
+            found.append((ids, ends + total, sentence_ends + total))
+            total += len(ids)
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts with END_ID after each, the texts' ends, the sentences' ends) as places in the line."""
         if not pc.any(pc.match_substring(column, "<|")).as_py():  # marks of special ids keep their case
@@ -201,8 +213,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_c
     def run(batches):
         encoder = _encoder(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 40
-        for piece in slices(batches, text_column, 6 << 20):
-            ids, doc_ends, sentence_ends = encoder.encode(texts(piece.column(1)))
+        for piece in slices(batches, text_column, SLICE):
+            ids, doc_ends, sentence_ends = encoder.encode_slice(piece, text_column)
             places, penalty = candidate_cuts(doc_ends, sentence_ends)
             cuts = places[best_cuts(places, penalty, window)]
             points = _union(cuts, np.concatenate([[0], doc_ends]))

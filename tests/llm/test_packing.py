@@ -3,6 +3,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from brindle.llm import packing
@@ -110,3 +111,21 @@ def test_query_by_the_tokenizer_itself(spark, tmp_path):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_a_slice_is_encoded_in_parts_with_the_same_result():
+    import tracemalloc
+
+    rng = random.Random(5)
+    words = ["river", "Stone", "cloud.", "12.5", "(green)", "quiet,", "over?"]
+    rows = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 4000))) for _ in range(250)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"id": range(len(rows)), "text": pa.array(rows)})
+    encoder = packing.WordTokens(PATH)
+    want = encoder.encode(pc.fill_null(batch.column("text"), ""))
+    encoder.encode_slice(batch.slice(0, 3), "text")
+    tracemalloc.start()
+    got = encoder.encode_slice(batch, "text")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(got, want, strict=True))
+    assert most < 7 * batch.column("text").nbytes  # encoding the slice at once takes 12 times its bytes
