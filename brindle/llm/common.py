@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -59,18 +60,27 @@ class Between:
     """Tables that are needed until a later one is stored."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.held = spark, [], []
 
     def stored(self, df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
         table, path = stored(df, label, compression)
         self.paths.append(path)
         return table
 
+    def kept(self, df: DataFrame) -> DataFrame:
+        """`df` kept on the executors' disks, for small tables in many partitions: a file each costs more than its rows, and
+        on a local file system a process that sets its mode. What an executor loses is made anew."""
+        self.held.append(df.persist(StorageLevel.DISK_ONLY))
+        return df
+
     def drop(self) -> None:
         """Deletes them; what was made from them must be stored by now."""
         for path in self.paths:
             discard(self.spark, path)
+        for df in self.held:
+            df.unpersist()
         self.paths.clear()
+        self.held.clear()
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, share: int = 1000, least: int = 100, size: Column | None = None, most_bytes: int = 16 << 20, between: Between | None = None) -> DataFrame:

@@ -116,12 +116,12 @@ def alignments(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     bench = F.broadcast(bench) if bench.count() <= BROADCAST_MOST else bench
     own = _windows(texts, "doc", "j", capitals)
     met = own.join(bench, "hash").select("doc", "item", (F.col("j") - F.col("i")).alias("diagonal"), "i", F.expr("templates & asked").alias("templates"))
-    hits = between.stored(each(met).distinct(), "hits")
+    hits = between.kept(each(met).distinct())
 
     slotted = [items.select("item", F.lit(t).alias("template"), F.posexplode(template_slots(F.col("text"), c)).alias("p", "slot")) for t, c in kinds.items()]
     slots = reduce(DataFrame.unionByName, slotted).where("slot.word like '%‹%'").select("item", "template", "p", F.col("slot.value").alias("theirs"))
     covered = hits.select("doc", "item", "template", "diagonal", F.explode(F.sequence(F.col("i"), F.col("i") + WIDTH - 1)).alias("p"))
-    asked = between.stored(covered.join(F.broadcast(slots) if slots.count() <= BROADCAST_MOST else slots, ["item", "template", "p"]).distinct(), "slots")
+    asked = between.kept(covered.join(F.broadcast(slots) if slots.count() <= BROADCAST_MOST else slots, ["item", "template", "p"]).distinct())
     wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("item", "template", "diagonal", "p", "theirs")).alias("wanted"))
     wanted = F.broadcast(wanted) if asked.count() <= BROADCAST_MOST else wanted  # else the texts are shuffled
     found = texts.withColumnRenamed("doc", "of").join(wanted, F.col("of") == F.col("doc"))

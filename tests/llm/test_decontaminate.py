@@ -117,3 +117,18 @@ def test_both_templates_from_one_pass(spark):
     got = rows.select("text", D._marked(F.col("text")).alias("m")).select(plain.alias("p"), capital.alias("c"), D.template_words(F.col("text")).alias("wp"), D.template_words(F.col("text"), True).alias("wc")).collect()
     for r in got:
         assert r.p == r.wp and r.c == r.wc
+
+
+def test_only_the_leaks_are_stored_and_nothing_stays_kept(spark, monkeypatch):
+    from brindle.llm import common
+
+    labels, plain = [], common.stored
+    for module in (common, D):
+        monkeypatch.setattr(module, "stored", lambda df, label, *rest, **options: labels.append(label) or plain(df, label, *rest, **options))
+    item = "the quick brown fox jumps over the lazy dog and then it runs far away from here"
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "something else"), (3, None)], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    assert sorted((r.doc_id, r.contaminated, r.n_items) for r in D.report(docs, benchmark).collect()) == [(1, True, 1), (2, False, 0), (3, False, 0)]
+    assert [r.doc_id for r in D.decontaminate(docs, benchmark).orderBy("doc_id").collect()] == [2, 3]
+    assert labels == ["leaks", "leaks"] and spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
