@@ -74,9 +74,13 @@ def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _rolled(hs: str) -> Column:
-    count = F.size(hs)
-    return F.when(count >= WIDTH, F.transform(F.sequence(F.lit(1), F.greatest(count - WIDTH + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(hs, i, WIDTH)))).when(count > 0, F.array(F.xxhash64(hs, count)))
+def _rolled(hs: str, place: str) -> Column:
+    """The hash of the window that begins at the place, null where none does; fewer than WIDTH words are one window.
+
+    Elements are named one by one: slices of the array would be copied, and hashed outside of generated code.
+    """
+    at, count = F.col(place), F.size(hs)
+    return F.when((at < count) & (at <= F.greatest(count - WIDTH, F.lit(0))), F.xxhash64(*(F.get(hs, at + k) for k in range(WIDTH))))
 
 
 def _windows(texts: DataFrame, key: str, place: str, capitals: bool) -> DataFrame:
@@ -84,15 +88,19 @@ def _windows(texts: DataFrame, key: str, place: str, capitals: bool) -> DataFram
 
     templates has bit 1 for a window of the first template and bit 2 for one of that with capitals.
     """
+    # Places come from an outer explode: of an inner one the optimizer infers a filter on the array, and works it out twice.
     if not capitals:
         hashed = texts.select(key, _hashed(template_words(F.col("text"))).alias("hs"))
-        return hashed.select(key, F.posexplode(_rolled("hs")).alias(place, "hash")).withColumn("templates", F.lit(1))
+        placed = hashed.select(key, "hs", F.posexplode_outer("hs").alias(place, "_"))
+        return placed.select(key, place, _rolled("hs", place).alias("hash"), F.lit(1).alias("templates")).where("hash is not null")
     plain, capital = _both_words(F.col("marked"))
     hashed = texts.select(key, _marked(F.col("text")).alias("marked")).select(key, _hashed(plain).alias("hs"), _hashed(capital).alias("cs"))
-    rolled = hashed.select(key, F.posexplode(F.arrays_zip(_rolled("hs").alias("h"), _rolled("cs").alias("c"))).alias(place, "w"))
-    first = F.struct(F.col("w.h").alias("hash"), F.when(F.col("w.h").eqNullSafe(F.col("w.c")), 3).otherwise(1).alias("templates"))
-    both = F.when(F.col("w.h").eqNullSafe(F.col("w.c")), F.array(first)).otherwise(F.array(first, F.struct(F.col("w.c").alias("hash"), F.lit(2).alias("templates"))))
-    return rolled.select(key, place, F.explode(both).alias("w")).select(key, place, "w.hash", "w.templates").where("hash is not null")
+    longer = F.when(F.size("cs") > F.size("hs"), F.col("cs")).otherwise(F.col("hs"))
+    placed = hashed.select(key, "hs", "cs", F.posexplode_outer(longer).alias(place, "_"))
+    rolled = placed.select(key, place, _rolled("hs", place).alias("h"), _rolled("cs", place).alias("c"))
+    same = F.col("h").eqNullSafe(F.col("c"))
+    both = F.stack(F.lit(2), F.col("h"), F.when(same, 3).otherwise(1), F.when(~same, F.col("c")), F.lit(2))
+    return rolled.select(key, place, both.alias("hash", "templates")).where("hash is not null")
 
 
 def _row(id_column: str, text_column: str) -> Column:

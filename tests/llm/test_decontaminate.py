@@ -132,3 +132,31 @@ def test_only_the_leaks_are_stored_and_nothing_stays_kept(spark, monkeypatch):
     assert sorted((r.doc_id, r.contaminated, r.n_items) for r in D.report(docs, benchmark).collect()) == [(1, True, 1), (2, False, 0), (3, False, 0)]
     assert [r.doc_id for r in D.decontaminate(docs, benchmark).orderBy("doc_id").collect()] == [2, 3]
     assert labels == ["leaks", "leaks"] and spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
+
+
+def test_windows_are_made_in_one_pass_of_generated_code(spark):
+    texts = [(0, None), (1, ""), (2, "One"), (3, "a b c"), (4, "a b c d e f g h"), (5, "So Bob met Eve at 5 km. Then Ann gave 3 kg to Max Lee, and he ran 7 miles. Who Won?"), (6, "a b c " * 5)]
+    rows = spark.createDataFrame(texts, "k int, text string")
+
+    def windows(words):
+        return [words[i : i + 8] for i in range(max(len(words) - 7, min(len(words), 1)))]
+
+    for capitals in (True, False):
+        kinds = {1: False, 2: True} if capitals else {1: False}
+        own = D._windows(rows, "k", "j", capitals)
+        got, hashes = {}, {}
+        for r in own.collect():
+            for t in kinds:
+                if r.templates & t:
+                    assert (r.k, t, r.j) not in got
+                    got[r.k, t, r.j] = r.hash
+        want = {}
+        for t, c in kinds.items():
+            for r in rows.select("k", D.template_words(D.F.col("text"), c).alias("w")).collect():
+                want |= {(r.k, t, j): tuple(w) for j, w in enumerate(windows(r.w or []))}
+        assert got.keys() == want.keys()
+        for at, words in want.items():
+            assert hashes.setdefault(words, got[at]) == got[at]
+        assert len(set(hashes.values())) == len(hashes)
+        plan = own._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("split(") == len(kinds) and "slice(" not in plan  # texts are cut once a template, windows not copied
