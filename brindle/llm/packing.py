@@ -34,7 +34,10 @@ WORDS_KEPT = 400_000
 SLICE, PART = 6 << 20, 1 << 20
 END_ID = 1
 #: Texts on which a tokenizer must keep what WordTokens asks of it, or it is refused.
-PROBES = ["The cat, Sat. on THE  mat", "a B c\nDe\tfg, hi.", "Ünï çà ÉÉ word, other.", "Tokenization of unusualwords, Xyzzyplugh."]
+PROBES = ["The cat, Sat. on THE  mat", "a B c\nDe\tfg, hi.", "Ünï çà ÉÉ word, other.", "Tokenization of unusualwords, Xyzzyplugh.", 'So*** é&& it\'s; (no) "Why?!" 50%% [x]: a,###\nB.$$$ c- d| à!']
+#: Marks at a word's end that are cut off as a word of their own. The letter before them is one that stays a single letter when
+#: normalized, lest it leave an accent that belongs to the marks.
+MARKS = r"""([a-z0-9À-ÖØ-öø-ÿ])([.,!?;:*%&$#)\]"|-]+)(?:\s|$)"""
 _tokenizers: dict[str, object] = {}
 _encoders: dict[str, WordTokens] = {}
 
@@ -42,13 +45,13 @@ _encoders: dict[str, WordTokens] = {}
 class WordTokens:
     """Ids of whole texts by a tokenizer that never joins what white space separates: each distinct word is encoded once.
 
-    The tokenizer must lower-case and part letters from marks, so that small letters and a space before a lone full stop
-    or comma change nothing.
+    The tokenizer must lower-case and part letters from marks, so that small letters and a space before the MARKS that end a
+    word change nothing.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if path not in _tokenizers:
             _tokenizers[path] = Tokenizer.from_file(path)
@@ -57,21 +60,33 @@ class WordTokens:
         joined = iter(parts)
         if any(ids != list(itertools.chain.from_iterable(itertools.islice(joined, len(p.split())))) for ids, p in zip(whole, PROBES, strict=True)):
             raise ValueError(f"{path}: this tokenizer joins what white space separates; its words cannot be encoded one by one")
-        if [e.ids for e in self.tokenizer.encode_batch([p.lower().replace(".", " .").replace(",", " ,") for p in PROBES], add_special_tokens=False)] != whole:
+        if [e.ids for e in self.tokenizer.encode_batch([p.lower().replace(".", " .").replace(",", " ,") for p in PROBES[:-1]] + self.plainer(pa.array(PROBES)).to_pylist()[-1:], add_special_tokens=False)] != whole:
             raise ValueError(f"{path}: this tokenizer does not lower-case, or keeps marks and letters together")
+        # The model alone, for words of a to z, in which there is nothing to normalize or to part.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        small = [" ".join(w for w in p.split() if w.isascii() and w.isalpha()).lower() for p in PROBES]
+        if [e.ids for e in self.model.encode_batch(small, add_special_tokens=False)] != [e.ids for e in self.tokenizer.encode_batch(small, add_special_tokens=False)]:
+            self.model = self.tokenizer
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.forget()
 
+    @staticmethod
+    def plainer(column: pa.Array) -> pa.Array:
+        """The texts in fewer different words: small letters, MARKS apart."""
+        return pc.replace_substring_regex(pc.ascii_lower(column), MARKS, r"\1 \2 ")
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.lengths, self.ends, self.flat = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint32)
 
     def learn(self, fresh: list[str]) -> None:
         """Encodes the words and keeps them; plain words go as one line, a word for each stretch between spaces."""
-        plain = [w for w in fresh if w.isalpha()]
-        other = [w for w in fresh if not w.isalpha()]
+        small = [w for w in fresh if w.isascii() and w.isalpha() and w.islower()]
+        letters = [w for w in fresh if w.isalpha() and not (w.isascii() and w.islower())]
+        plain, other = small + letters, [w for w in fresh if not w.isalpha()]
         flats, lengths = [self.flat], [self.lengths]
 
         def one_by_one(words: list[str]) -> None:
@@ -80,9 +95,8 @@ class WordTokens:
                 flats.append(np.fromiter(itertools.chain.from_iterable(lists), np.uint32))
                 lengths.append(np.fromiter(map(len, lists), np.int64, len(lists)))
 
-        for at in range(0, len(plain), 5_000):
-            part = plain[at : at + 5_000]
-            line = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+        for tokenizer, part in ((t, words[at : at + 5_000]) for t, words in ((self.model, small), (self.tokenizer, letters)) for at in range(0, len(words), 5_000)):
+            line = tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
             ids = np.array(line.ids, np.uint32)
             last = np.flatnonzero(self.ends_word[ids])
             if len(last) == len(part):
@@ -107,16 +121,19 @@ class WordTokens:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts with END_ID after each, the texts' ends, the sentences' ends) as places in the line."""
         if not pc.any(pc.match_substring(column, "<|")).as_py():  # marks of special ids keep their case
-            column = pc.replace_substring_regex(pc.ascii_lower(column), r"([a-z0-9])([.,]) ", r"\1 \2 ")
+            column = self.plainer(column)
         words = pc.ascii_split_whitespace(column)
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = _strings(coded.dictionary)
         if len(self.known) > WORDS_KEPT:
             self.forget()
-        fresh = [w for w in distinct if w and w not in self.known]
-        if fresh:
+        look = lambda words: np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        own = look(distinct)
+        missing = [i for i in np.flatnonzero(own < 0).tolist() if distinct[i]]
+        if missing:
+            fresh = [distinct[i] for i in missing]
             self.learn(fresh)
-        own = np.fromiter((self.known[w] if w else -1 for w in distinct), np.int64, len(distinct))
+            own[missing] = look(fresh)
         # The ids that are kept, then an empty word (-2) and the end mark (-1).
         lengths = np.concatenate([self.lengths, [0, 1]])
         first = np.cumsum(lengths) - lengths
@@ -139,6 +156,11 @@ class WordTokens:
         return flat[place], after[marks], after[ends_sentence[word] & (n > 0)]
 
 
+def _strings(words: pa.Array) -> list[str]:
+    """The words, none with a space in it, as a list; one by one they cost several times as much."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ") if len(words) else []
+
+
 def _encoder(path: str) -> WordTokens:
     """The encoder of this Python process; a later task finds its words known."""
     if path not in _encoders:

@@ -129,3 +129,21 @@ def test_a_slice_is_encoded_in_parts_with_the_same_result():
     tracemalloc.stop()
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(got, want, strict=True))
     assert most < 7 * batch.column("text").nbytes  # encoding the slice at once takes 12 times its bytes
+
+
+def test_marks_at_a_words_end_make_no_new_words():
+    letters = ["river", "Stone", "É", "naïve", "x9", "don't", "á", "İ", "क़", "ΑΣ", "'s", ""]
+    marks = ["", ".", ",", "***", "&&&", ".)", "?!", '"', ":;", "%%", "...$", "|", "-]", "'", ".'", "!́", "<", "·"]
+    rows = [f"{w}{m}{after}{w}{m}" for w in letters for m in marks for after in (" ", "\n", "  ", "\t", "\x1c")] + ["", " ", "..", "q."]
+    encoder = packing.WordTokens(PATH)
+    ids, ends, sentence_ends = encoder.encode(pa.array(rows))
+    tokenizer, start = Tokenizer.from_file(PATH), 0
+    for row, end in zip(rows, ends, strict=True):
+        assert ids[start:end].tolist() == [*tokenizer.encode(row, add_special_tokens=False).ids, 1], row
+        start = end
+    assert encoder.model is not encoder.tokenizer
+    encoder = packing.WordTokens(PATH)
+    many = [w + m for w in ("river", "stone", "é") for m in (".", ",", "***", "&&&", ".)", "?!", "%%")]
+    ids, ends, sentence_ends = encoder.encode(pa.array([" ".join(many) + " " + "\n".join(many)]))
+    assert set(encoder.known) == {"river", "stone", "é", ".", ",", "***", "&&&", ".)", "?!", "%%"}
+    assert len(sentence_ends) == 2 * 3 * 3
